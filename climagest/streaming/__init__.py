@@ -1,0 +1 @@
+"""Intentionally empty: every operation of this engine is a batch operation."""

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climagest.operators.blocks import (
     BROADCAST_BYTES,
     Blocks,
+    exposure_on,
     fold_exposure,
     fold_running_totals,
-    look_up,
-    total_before,
+    totals_between,
 )
 from climagest.operators.numbering import number_rows
 from climagest.operators.weather import daily_exposure, location_percentiles
-from climagest.operators.wide import exposure_wide
+from climagest.operators.wide import WIDE_KEYS, exposure_wide
 from climagest.schema import PERCENTILES
 from climagest.sources.shared import small, written
 
@@ -41,14 +41,15 @@ def percentile_dataset(
     births: DataFrame, blocks: Blocks, percentiles: DataFrame, n_days: int
 ) -> DataFrame:
     """Wide exposures of births that have one on their first day, with the
-    percentiles of their postcode and a running Identifier."""
-    wide = exposure_wide(births, blocks, n_days).where("Day_1 IS NOT NULL AND RFA_ID IS NOT NULL")
-    joined = wide.join(small(percentiles), "location")
-    return number_rows(
-        joined.select("location", *PERCENTILES, *(c for c in wide.columns if c != "location")),
-        DATASET_ORDER,
-        name="Identifier",
-    )
+    percentiles of their postcode and a running Identifier.
+
+    Births are numbered while they are narrow; the days are added afterwards.
+    """
+    begun = exposure_on(births.where("RFA_ID IS NOT NULL"), blocks, "pre", "_day_1").where("_day_1 IS NOT NULL")
+    numbered = number_rows(begun.drop("_day_1"), DATASET_ORDER, name="Identifier")
+    keep = ["location", *PERCENTILES, *(c for c in WIDE_KEYS if c != "location"), "Identifier"]
+    wide = exposure_wide(numbered.join(small(percentiles), "location"), blocks, n_days, keep=keep)
+    return wide.select(*(c for c in wide.columns if c != "Identifier"), "Identifier")
 
 
 def thresholds(dataset: DataFrame) -> DataFrame:
@@ -67,12 +68,11 @@ def fold_bands(
     such multiples are exact, and a tiny rest.
     """
     days = written(daily_exposure(weather).where("exposure IS NOT NULL"), "daily")
-    scale = days.groupBy("location").agg(
-        F.ceil(F.log2(F.greatest(F.max(F.abs("exposure")) * F.count("*"), F.lit(1e-300)))).alias("_power")
-    )
+    largest_sum = F.max(F.abs("exposure")) * F.count("*")
+    scale = days.groupBy("location").agg(F.ceil(F.log2(F.greatest(largest_sum, F.lit(1e-300)))).alias("_power"))
+    per_location = small(percentiles.join(scale, "location"))
     daily = written(
-        days.join(small(scale), "location")
-        .join(small(percentiles), "location")
+        days.join(per_location, "location")
         .withColumn("_unit", F.pow(F.lit(2.0), F.col("_power") - 52))
         .withColumn("_coarse", F.rint(F.col("exposure") / F.col("_unit")) * F.col("_unit"))
         .select(
@@ -85,14 +85,13 @@ def fold_bands(
         ),
         "band-days",
     )
-    counts = {"days": F.when(F.col("exposure").isNotNull(), 1)}
-    sums = {}
+    totals = {"days": F.when(F.col("exposure").isNotNull(), 1)}
     for name in BANDS:
         inside = F.col(f"_in_{name}")
-        counts[f"{name}_n"] = F.when(inside, 1)
-        sums[f"{name}_coarse"] = F.when(inside, F.col("_coarse"))
-        sums[f"{name}_rest"] = F.when(inside, F.col("_rest"))
-    return fold_running_totals(daily, counts, sums, ("exposure",), broadcast_bytes)
+        totals[f"{name}_n"] = F.when(inside, 1)
+        totals[f"{name}_coarse"] = F.when(inside, F.col("_coarse"))
+        totals[f"{name}_rest"] = F.when(inside, F.col("_rest"))
+    return fold_running_totals(daily, totals, counts=False, exposure=True, broadcast_bytes=broadcast_bytes)
 
 
 def band_means(
@@ -109,28 +108,19 @@ def band_means(
     into is null, or NaN with ``empty="nan"``. ``identifier`` adds the number the
     birth has in the percentile dataset.
     """
-    names = [v for v in bands.values if v != "exposure"]
-    spans = bands.spans.select("location", "last_day")
-    rows = births.where("RFA_ID IS NOT NULL").join(spans, "location")
-    rows = look_up(rows, bands, F.col("pre"), {"exposure": "_day_1"}).where("_day_1 IS NOT NULL")
-    rows = rows.withColumn("_from", F.date_add("pre", first - 1))
-    rows = rows.withColumn("_to", F.least(F.date_add("pre", last), F.date_add("tr3_end", 1)))
-    rows = rows.withColumn("_to", F.greatest("_from", "_to"))
-    rows = total_before(rows, bands, F.col("_from"), {n: f"{n}_from" for n in names})
-    rows = total_before(rows, bands, F.col("_to"), {n: f"{n}_to" for n in names})
-
-    def within(name: str) -> Column:
-        return F.col(f"{name}_to") - F.col(f"{name}_from")
-
-    complete = within("days") == last - first + 1
-    none = F.lit(float("nan")) if empty == "nan" else F.lit(None).cast("double")
+    rows = births.where("RFA_ID IS NOT NULL").join(bands.spans.select("location", "last_day"), "location")
+    rows = exposure_on(rows, bands, "pre", "_day_1").where("_day_1 IS NOT NULL")
+    start = F.date_add("pre", first - 1)
+    stop = F.greatest(start, F.least(F.date_add("pre", last), F.date_add("tr3_end", 1)))
+    rows = totals_between(rows, bands, start, stop)
+    empty_mean = "double('NaN')" if empty == "nan" else "double(NULL)"
     means = []
     for name in BANDS:
-        n = within(f"{name}_n")
-        mean = F.when(n > 0, (within(f"{name}_coarse") + within(f"{name}_rest")) / n).otherwise(none)
-        means.append((F.when(complete, mean) if name in OUTER_BANDS else mean).alias(name))
-    kept = ["admd", "pre"] if identifier else []
-    result = rows.select("RFA_ID", "location", *means, *kept)
+        mean = f"if({name}_n > 0, ({name}_coarse + {name}_rest) / {name}_n, {empty_mean})"
+        if name in OUTER_BANDS:
+            mean = f"if(days = {last - first + 1}, {mean}, NULL)"
+        means.append(f"{mean} AS {name}")
+    result = rows.selectExpr("RFA_ID", "location", *means, *(["admd", "pre"] if identifier else []))
     if not identifier:
         return result
     return number_rows(result, DATASET_ORDER, name="Identifier").select(*BAND_COLUMNS, "Identifier")
@@ -159,7 +149,7 @@ def prepared_bands(weather: DataFrame, all_weather: DataFrame | None = None, **o
     the postcode bounds.
     """
     percentiles = location_percentiles(weather if all_weather is None else all_weather)
-    return fold_bands(weather, percentiles, **options)
+    return fold_bands(weather, written(percentiles, "percentiles"), **options)
 
 
 def exposure_blocks(weather: DataFrame, **options) -> Blocks:

@@ -1,7 +1,7 @@
 """Weather folded into blocks of 32 days, and lookups into them.
 
-One row per postcode and block, with one array of 32 entries per value, is the
-form in which births meet the weather. Compared with one row per day it has a
+One row per postcode and block, holding the values of its days in an array, is
+the form in which births meet the weather. Compared with one row per day it has a
 thirtieth of the join keys and fits a broadcast much longer, and a hot postcode
 still spreads over as many keys as its history has blocks.
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from climagest.sources.shared import small, written
+from climagest.sources.shared import SMALL_ROWS, written
 
 _BLOCK_BITS = 5
 BLOCK_DAYS = 1 << _BLOCK_BITS
@@ -45,66 +45,90 @@ def first_day_of_block(block: Column) -> Column:
 class Blocks:
     """Folded weather.
 
-    ``frame``: location, block and one array per entry of ``values``, stored.
+    ``frame``: location, block and the arrays, stored. ``exposure`` has one entry
+    per day, ``totals`` has ``len(names)`` entries per day, one day after another.
     ``spans``: location, first and last day with weather.
+    ``few``: the postcodes are checked to be few.
     ``fits``: the folded table is checked to be small enough for a broadcast.
     """
 
     frame: DataFrame
     spans: DataFrame
-    values: tuple[str, ...]
+    names: tuple[str, ...]
+    few: bool
     fits: bool
 
 
-def day_spans(daily: DataFrame, key: str = "location") -> DataFrame:
-    return daily.groupBy(key).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+@dataclass(frozen=True)
+class _Size:
+    locations: int
+    blocks: int
+    top: int
+
 
+def day_spans(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("location").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
-def _block_count(spans: DataFrame) -> int:
+
+def _size(daily: DataFrame, weight: Column) -> _Size:
+    """Number of postcodes and of blocks, and the largest total weight of a postcode."""
     blocks = block_of(F.col("last_day")) - block_of(F.col("first_day")) + 2
-    return spans.agg(F.sum(blocks).alias("n")).first()["n"] or 0
+    row = (
+        daily.groupBy("location")
+        .agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.sum(weight).alias("weight"))
+        .agg(F.count("*").alias("locations"), F.sum(blocks).alias("blocks"), F.max("weight").alias("top"))
+        .first()
+    )
+    return _Size(row["locations"], row["blocks"] or 0, row["top"] or 0)
+
+
+def _folded(frame: DataFrame, spans: DataFrame, names: tuple[str, ...], size: _Size, row_bytes: int, limit: int) -> Blocks:
+    few = size.locations <= SMALL_ROWS
+    return Blocks(
+        written(frame, "blocks"),
+        F.broadcast(spans) if few else spans,
+        names,
+        few,
+        size.blocks * row_bytes <= limit,
+    )
 
 
 def fold_exposure(daily: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Blocks:
     """Fold location, date, exposure (unique days); a missing day is null in its array."""
     stored = written(daily.where(F.col("exposure").isNotNull()), "daily")
-    spans = day_spans(stored)
     by_place = F.map_from_entries(F.collect_list(F.struct(place_in_block(F.col("date")), "exposure")))
+    places = F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1))
     frame = (
         stored.groupBy("location", block_of(F.col("date")).alias("block"))
         .agg(by_place.alias("_days"))
-        .select(
-            "location",
-            "block",
-            F.transform(F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1)), lambda i: F.try_element_at("_days", i)).alias(
-                "exposure"
-            ),
-        )
+        .select("location", "block", F.transform(places, lambda i: F.try_element_at("_days", i)).alias("exposure"))
     )
-    row_bytes = 64 + 8 * BLOCK_DAYS
-    return Blocks(written(frame, "blocks"), small(spans), ("exposure",), _block_count(spans) * row_bytes <= broadcast_bytes)
+    row_bytes = 96 + 8 * BLOCK_DAYS
+    return _folded(frame, day_spans(stored), (), _size(stored, F.lit(1)), row_bytes, broadcast_bytes)
 
 
 def fold_running_totals(
     daily: DataFrame,
-    counts: Mapping[str, Column],
-    sums: Mapping[str, Column] | None = None,
-    plain: tuple[str, ...] = (),
+    totals: Mapping[str, Column],
+    counts: bool = True,
+    exposure: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> Blocks:
     """Fold running totals over the days of each postcode.
 
-    ``daily``: stored table of location, date (unique days) and more. ``counts``
-    and ``sums`` map a name to what is added up; the array then holds the total
-    over all earlier days. Counts are kept as int where that is checked to be
-    enough, sums as double. Columns named in ``plain`` are folded as they are.
+    ``daily``: stored table of location, date (unique days) and more. ``totals``
+    maps a name to what is added up; the array holds the total over all earlier
+    days. ``counts`` says that all of them are whole and not negative; they are
+    then kept as int where that is checked to be enough, and as double otherwise.
+    ``exposure`` folds the exposure itself, too.
 
     Only the pre-aggregated days of a postcode share a window here, so its size
     is bounded by the calendar and not by the number of births or weather rows.
     """
-    sums = sums or {}
     spans = day_spans(daily)
-    count_type = "int" if _largest_total(daily, counts) <= _MAX_INT else "bigint"
+    largest = F.greatest(F.lit(0), *totals.values()) if counts else F.lit(1)
+    size = _size(daily, largest)
+    element = ("int" if size.top <= _MAX_INT else "bigint") if counts else "double"
     calendar = spans.select(
         "location",
         F.explode(
@@ -112,36 +136,29 @@ def fold_running_totals(
         ).alias("date"),
     )
     earlier = Window.partitionBy("location").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-
-    def running(column: Column, element: str) -> Column:
-        return F.coalesce(F.sum(column).over(earlier), F.lit(0)).cast(element)
-
-    totals = calendar.join(daily, ["location", "date"], "left").select(
-        "location",
-        "date",
-        *(running(c, count_type).alias(name) for name, c in counts.items()),
-        *(running(c, "double").alias(name) for name, c in sums.items()),
-        *plain,
+    entries = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(element) for c in totals.values()]
+    kept = ["exposure"] if exposure else []
+    running = calendar.join(daily, ["location", "date"], "left").select(
+        "location", "date", F.array(*entries).alias("totals"), *kept
     )
-    values = (*counts, *sums, *plain)
+    days = F.array_sort(F.collect_list(F.struct("date", "totals", *kept)))
     frame = (
-        totals.groupBy("location", block_of(F.col("date")).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("date", *values))).alias("_days"))
-        .select("location", "block", *(F.col("_days").getField(v).alias(v) for v in values))
+        running.groupBy("location", block_of(F.col("date")).alias("block"))
+        .agg(days.alias("_days"))
+        .select(
+            "location",
+            "block",
+            F.flatten(F.col("_days").getField("totals")).alias("totals"),
+            *(F.col("_days").getField(k).alias(k) for k in kept),
+        )
     )
-    count_width = 4 if count_type == "int" else 8
-    widths = [count_width] * len(counts) + [8] * (len(sums) + len(plain))
-    row_bytes = 64 + sum(24 + width * BLOCK_DAYS for width in widths)
-    return Blocks(written(frame, "blocks"), small(spans), values, _block_count(spans) * row_bytes <= broadcast_bytes)
-
+    width = 4 if element == "int" else 8
+    row_bytes = 96 + (width * len(totals) + 8 * len(kept)) * BLOCK_DAYS
+    return _folded(frame, spans, tuple(totals), size, row_bytes, broadcast_bytes)
 
-def _largest_total(daily: DataFrame, counts: Mapping[str, Column]) -> int:
-    by_location = daily.groupBy("location").agg(*(F.sum(c).alias(name) for name, c in counts.items()))
-    return by_location.agg(F.greatest(F.lit(0), *(F.max(name) for name in counts)).alias("top")).first()["top"] or 0
 
-
-def join_blocks(df: DataFrame, blocks: Blocks, key: str, block: Column, names: Mapping[str, str]) -> DataFrame:
-    """Add the arrays ``names`` (value -> column) of the block; null where there is none.
+def join_blocks(df: DataFrame, blocks: Blocks, key: str, block: Column, arrays: Mapping[str, str]) -> DataFrame:
+    """Add ``arrays`` (array of the blocks -> column) of the block; null where there is none.
 
     If the blocks fit a broadcast, ``df`` is not moved at all. Otherwise both
     sides are shuffled on postcode, block and a salt taken from the whole row of
@@ -151,7 +168,7 @@ def join_blocks(df: DataFrame, blocks: Blocks, key: str, block: Column, names: M
     side = blocks.frame.select(
         F.col("location").alias("_location"),
         F.col("block").alias("_block"),
-        *(F.col(value).alias(name) for value, name in names.items()),
+        *(F.col(array).alias(name) for array, name in arrays.items()),
     )
     match = (F.col(key) == F.col("_location")) & (block == F.col("_block"))
     if blocks.fits:
@@ -162,30 +179,32 @@ def join_blocks(df: DataFrame, blocks: Blocks, key: str, block: Column, names: M
     return joined.drop("_location", "_block", "_salt", "_side_salt")
 
 
-def look_up(
-    df: DataFrame,
-    blocks: Blocks,
-    date: Column,
-    names: Mapping[str, str],
-    key: str = "location",
-    otherwise: int | None = None,
-) -> DataFrame:
-    """Add the entries ``names`` (value -> column) of the day ``date``."""
-    day = df.withColumn("_date", date)
-    found = join_blocks(day, blocks, key, block_of(F.col("_date")), {v: f"_{n}" for v, n in names.items()})
-    place = place_in_block(F.col("_date"))
-    entries = []
-    for name in names.values():
-        entry = F.get(f"_{name}", place)
-        entries.append((entry if otherwise is None else F.coalesce(entry, F.lit(otherwise))).alias(name))
-    return found.select(*df.columns, *entries)
-
-
-def total_before(
-    df: DataFrame, blocks: Blocks, date: Column, names: Mapping[str, str], key: str = "location"
+def exposure_on(df: DataFrame, blocks: Blocks, date: str, name: str = "exposure", key: str = "location") -> DataFrame:
+    """Add the exposure on the day in column ``date``."""
+    found = join_blocks(df, blocks, key, block_of(F.col(date)), {"exposure": "_values"})
+    return found.select(*df.columns, F.get("_values", place_in_block(F.col(date))).alias(name))
+
+
+def totals_between(
+    df: DataFrame, blocks: Blocks, start: Column, stop: Column, key: str = "location"
 ) -> DataFrame:
-    """Running totals before ``date``. Needs ``last_day`` of the postcode in ``df``.
+    """Add one column per name of the blocks: its total from ``start`` up to the day before ``stop``.
 
-    Before the first block there is nothing, and beyond the last day nothing more.
+    Needs ``last_day`` of the postcode in ``df``. Before the first block there is
+    nothing yet, and beyond the last day nothing is added any more.
     """
-    return look_up(df, blocks, F.least(date, F.date_add("last_day", 1)), names, key, otherwise=0)
+    beyond = F.date_add("last_day", 1)
+    rows = df.withColumns({"_from": F.least(start, beyond), "_to": F.least(stop, beyond)})
+    rows = join_blocks(rows, blocks, key, block_of(F.col("_from")), {"totals": "_from_totals"})
+    rows = join_blocks(rows, blocks, key, block_of(F.col("_to")), {"totals": "_to_totals"})
+    width = len(blocks.names)
+    rows = rows.withColumns(
+        {f"_{end}_at": place_in_block(F.col(f"_{end}")) * width for end in ("from", "to")}
+    )
+    return rows.selectExpr(
+        *df.columns,
+        *(
+            f"coalesce(get(_to_totals, _to_at + {k}), 0) - coalesce(get(_from_totals, _from_at + {k}), 0) AS {name}"
+            for k, name in enumerate(blocks.names)
+        ),
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climagest.operators.numbering import number_values
@@ -14,47 +14,40 @@ from climagest.sources.shared import SMALL_ROWS, has_at_most
 COHORT_COLUMNS = ("ZIP", "ADMD", "RFA_ID", "start", "End", "Number")
 
 
-def numbered_locations(births: DataFrame, locations: DataFrame) -> DataFrame:
+def numbered_locations(births: DataFrame, locations: DataFrame, few: bool) -> DataFrame:
     """The ``locations`` that have births, with their run id.
 
     The run id counts the postcodes among all births in weather postcodes,
     before any window drops births.
     """
-    few = has_at_most(locations, SMALL_ROWS)
     side = F.broadcast(locations) if few else locations
-    matched = births.join(side, "location", "left_semi")
-    numbers = number_values(matched, "location", few=few)
+    numbers = number_values(births.join(side, "location", "left_semi"), "location", few=few)
     return F.broadcast(numbers) if few else numbers
 
 
-def in_windows(
-    births: DataFrame,
-    windows: Sequence[Window],
-    extra: Callable[[Window], list[Column]] = lambda window: [],
-) -> DataFrame:
-    """One row per birth and window it belongs to, from a single pass over the births."""
-
-    def one(window: Window) -> Column:
-        stop = F.date_sub(window.stop, 1) if window.stop else F.col("admd")
-        return F.struct(
-            F.lit(window.name).alias("window"),
-            F.col(window.start).alias("start"),
-            stop.alias("End"),
-            F.expr(window.keep).alias("_keep"),
-            *extra(window),
-        )
+def in_windows(births: DataFrame, windows: Sequence[Window]) -> DataFrame:
+    """One row per birth and window it belongs to, from a single pass over the births.
 
+    ``stop`` is the day after ``End``.
+    """
+    structs = ", ".join(
+        f"struct('{w.name}' AS window, {w.start} AS start, {w.stop or 'date_add(admd, 1)'} AS stop, {w.keep} AS _keep)"
+        for w in windows
+    )
     return (
-        births.select(
-            F.col("location").alias("ZIP"),
-            F.col("admd").alias("ADMD"),
+        births.selectExpr("location", "admd", "RFA_ID", "Number", f"inline(array({structs}))")
+        .where("_keep")
+        .dropna(subset=["start", "stop", "location"])
+        .selectExpr(
+            "window",
+            "location AS ZIP",
+            "admd AS ADMD",
             "RFA_ID",
+            "start",
+            "date_sub(stop, 1) AS End",
             "Number",
-            F.inline(F.array(*(one(w) for w in windows))),
+            "stop",
         )
-        .where("_keep")
-        .dropna(subset=["start", "End", "ZIP"])
-        .drop("_keep")
     )
 
 
@@ -66,5 +59,5 @@ def window_cohort(
     ``births`` come from ``gestation_dates``, ``weather`` from ``prepare_weather``.
     """
     locations = weather.select("location").distinct()
-    numbered = births.join(numbered_locations(births, locations), "location")
-    return in_windows(numbered, [WINDOWS[name] for name in windows]).select("window", *COHORT_COLUMNS)
+    numbers = numbered_locations(births, locations, has_at_most(locations, SMALL_ROWS))
+    return in_windows(births.join(numbers, "location"), [WINDOWS[name] for name in windows]).drop("stop")

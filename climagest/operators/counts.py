@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climagest.functions.dates import day_sequence
@@ -14,12 +14,12 @@ from climagest.operators.blocks import (
     Blocks,
     block_of,
     fold_running_totals,
-    total_before,
+    totals_between,
 )
 from climagest.operators.cohort import COHORT_COLUMNS, in_windows, numbered_locations
 from climagest.operators.numbering import number_values
 from climagest.operators.weather import daily_flag_counts
-from climagest.schema import WINDOWS, Window
+from climagest.schema import WINDOWS
 from climagest.sources.shared import written
 
 
@@ -27,15 +27,12 @@ from climagest.sources.shared import written
 class FlagDays:
     """Weather ready for counting: read once, used for every window.
 
-    ``daily``: stored counts per postcode and day. ``locations``: the postcodes.
-    ``blocks``: running totals, keyed by postcode or, for the ordinal alignment,
-    by run id.
+    ``daily``: stored counts per postcode and day. ``blocks``: running totals,
+    keyed by postcode or, for the ordinal alignment, by run id.
     """
 
     daily: DataFrame
-    locations: DataFrame
     blocks: Blocks
-    names: tuple[str, ...]
     ordinal: bool
 
 
@@ -53,11 +50,10 @@ def flag_days(
     """
     names = tuple(flags.values())
     daily = written(daily_flag_counts(weather, flags), "flag-days")
-    locations = daily.select("location").distinct()
     ordinal = align == "ordinal"
     keyed = written(_by_run_id(daily, names), "flag-runs") if ordinal else daily
     blocks = fold_running_totals(keyed, {name: F.col(name) for name in names}, broadcast_bytes=broadcast_bytes)
-    return FlagDays(daily, locations, blocks, names, ordinal)
+    return FlagDays(daily, blocks, ordinal)
 
 
 def window_counts(
@@ -65,28 +61,17 @@ def window_counts(
 ) -> DataFrame:
     """Ten counts per birth and window.
 
-    Every window lies between two of the dates pre, tr1, tr2, tr3 and the day
-    after delivery. The running totals are looked up once per date and subtracted;
-    with broadcast blocks the births are neither shuffled nor expanded by day.
+    The running totals are looked up at both ends of the window and subtracted.
+    With broadcast blocks the births are neither shuffled nor expanded by day.
     """
-    wanted = [WINDOWS[name] for name in windows]
-    rows = births.join(numbered_locations(births, days.locations), "location")
-    key = "Number" if days.ordinal else "location"
-    spans = days.blocks.spans.select(F.col("location").alias("_span"), "last_day")
-    rows = rows.join(spans, F.col(key) == F.col("_span"), "left").drop("_span")
-    rows = rows.withColumn("after", F.date_add("admd", 1))
-    used = dict.fromkeys(date for w in wanted for date in (w.start, w.stop or "after"))
-    for date in used:
-        rows = total_before(rows, days.blocks, F.col(date), {n: f"{n}_before_{date}" for n in days.names}, key)
-
-    def counts(window: Window) -> list[Column]:
-        stop = window.stop or "after"
-        return [
-            (F.col(f"{n}_before_{stop}") - F.col(f"{n}_before_{window.start}")).cast("long").alias(n)
-            for n in days.names
-        ]
-
-    return in_windows(rows, wanted, counts).select("window", *COHORT_COLUMNS, *days.names)
+    blocks = days.blocks
+    locations = days.daily.select("location").distinct()
+    numbers = numbered_locations(births, locations, blocks.few)
+    rows = in_windows(births.join(numbers, "location"), [WINDOWS[name] for name in windows])
+    key = "Number" if days.ordinal else "ZIP"
+    spans = blocks.spans.select(F.col("location").alias(key), "last_day")
+    counted = totals_between(rows.join(spans, key, "left"), blocks, F.col("start"), F.col("stop"), key)
+    return counted.select("window", *COHORT_COLUMNS, *(F.col(n).cast("long").alias(n) for n in blocks.names))
 
 
 def window_counts_by_join(cohort: DataFrame, days: FlagDays, method: str = "bucketed") -> DataFrame:
@@ -99,12 +84,12 @@ def window_counts_by_join(cohort: DataFrame, days: FlagDays, method: str = "buck
     Births sharing postcode, start and end share the counts, so the join runs over
     the distinct intervals and its result is joined back.
     """
-    names = days.names
+    names = days.blocks.names
     keys = ["ZIP", "start", "End"]
     intervals = cohort.select(*keys).distinct()
     weather = days.daily.withColumnRenamed("location", "ZIP")
     if method == "interval":
-        pairs = intervals.join(weather, (intervals.ZIP == weather.ZIP) & F.col("date").between(*keys[1:]), "left")
+        pairs = intervals.join(weather, (intervals.ZIP == weather.ZIP) & F.col("date").between(F.col("start"), F.col("End")), "left")
         pairs = pairs.drop(weather.ZIP)
     elif method == "bucketed":
         touched = F.sequence(block_of(F.col("start")), block_of(F.col("End")))

@@ -10,9 +10,9 @@ from climagest.functions.dates import day_sequence
 from climagest.operators.blocks import (
     Blocks,
     block_of,
+    exposure_on,
     first_day_of_block,
     join_blocks,
-    look_up,
     place_in_block,
 )
 
@@ -38,7 +38,7 @@ def day_spine(births: DataFrame, first: int = 1, last: int | None = None) -> Dat
 
 def attach_exposure(days: DataFrame, blocks: Blocks) -> DataFrame:
     """Add the exposure of the row's postcode and date; null where there is none."""
-    return look_up(days, blocks, F.col("date"), {"exposure": "exposure"})
+    return exposure_on(days, blocks, "date")
 
 
 def day_exposure(births: DataFrame, blocks: Blocks, first: int = 1, last: int | None = None) -> DataFrame:

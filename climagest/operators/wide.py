@@ -15,14 +15,18 @@ WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
 GROUP_ROWS = 100_000
 
 
-def exposure_wide(births: DataFrame, blocks: Blocks, n_days: int, first: int = 1) -> DataFrame:
-    """One row per birth with Day_``first`` .. Day_``n_days``; null after delivery.
+def exposure_wide(
+    births: DataFrame, blocks: Blocks, n_days: int, first: int = 1, keep: Sequence[str] = WIDE_KEYS
+) -> DataFrame:
+    """One row per birth with the columns ``keep`` and Day_``first`` .. Day_``n_days``.
 
-    A birth's days lie in a few consecutive blocks. With broadcast blocks these
-    are looked up one after the other and laid end to end, without any shuffle.
-    Otherwise births are numbered, split by block, joined once and put together.
+    Days after delivery are null. A birth's days lie in a few consecutive blocks.
+    With broadcast blocks these are looked up one after the other and laid end to
+    end, without any shuffle. Otherwise births are numbered, split by block,
+    joined once and put together.
     """
-    begun = births.withColumn("_begin", F.date_add("pre", first - 1))
+    needed = list(dict.fromkeys([*keep, "location", "RFA_ID", "pre", "tr3_end"]))
+    begun = births.select(*needed, F.date_add("pre", first - 1).alias("_begin"))
     length = n_days - first + 1
     # as many blocks as the range touches when it begins on a block's last day
     touched = (BLOCK_DAYS - 1 + length + BLOCK_DAYS - 1) // BLOCK_DAYS
@@ -34,14 +38,10 @@ def exposure_wide(births: DataFrame, blocks: Blocks, n_days: int, first: int = 1
         rows = rows.withColumn("_days", F.concat(*parts))
     else:
         rows = _gathered(begun, blocks, touched)
-    place = place_in_block(F.col("_begin"))
-    return rows.select(
-        *WIDE_KEYS,
-        *(
-            F.when(F.date_add("pre", day - 1) <= F.col("tr3_end"), F.get("_days", place + (day - first))).alias(name)
-            for day, name in enumerate(day_names(first, n_days), start=first)
-        ),
-    )
+    begin = place_in_block(F.col("_begin")).alias("_place")
+    rows = rows.select(*keep, "_days", begin, F.date_diff("tr3_end", "_begin").alias("_last"))
+    days = enumerate(day_names(first, n_days))
+    return rows.selectExpr(*keep, *(f"if({k} <= _last, get(_days, _place + {k}), NULL) AS {name}" for k, name in days))
 
 
 def _gathered(begun: DataFrame, blocks: Blocks, touched: int) -> DataFrame:

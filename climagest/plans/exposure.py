@@ -12,6 +12,7 @@ from climagest.operators.weather import location_percentiles, prepare_weather
 from climagest.operators.wide import exposure_wide
 from climagest.schema import POSTCODE_BOUNDS
 from climagest.sources.readers import read_births, read_weather
+from climagest.sources.shared import written
 from climagest.sources.writers import write_by_location, write_table
 
 
@@ -50,7 +51,7 @@ def write_percentile_dataset(
     raw = read_weather(spark, weather_path)
     cohort = exposure_births(prepare_births(read_births(spark, births_path)))
     blocks = exposure_blocks(prepare_weather(raw, exposure_col))
-    percentiles = location_percentiles(prepare_weather(raw, exposure_col, bounds=None))
+    percentiles = written(location_percentiles(prepare_weather(raw, exposure_col, bounds=None)), "percentiles")
     n_days = longest_span(cohort).first()["max_days"]
     write_by_location(percentile_dataset(cohort, blocks, percentiles, n_days), output)
 

@@ -178,12 +178,12 @@ def _bands(first: int, last: int) -> str:
     return f"""
         SELECT RFA_ID, location,
           round(CASE WHEN count(exposure) = {last - first + 1}
-                THEN avg(exposure) FILTER (WHERE exposure < percentile_05) END, 6) AS mean_below_5th,
-          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_05 AND percentile_10), 6) AS mean_5th_to_10th,
-          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_10 AND percentile_90), 6) AS mean_10th_to_90th,
-          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_90 AND percentile_95), 6) AS mean_90th_to_95th,
+                THEN avg(exposure) FILTER (WHERE exposure < percentile_05) END, 8) AS mean_below_5th,
+          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_05 AND percentile_10), 8) AS mean_5th_to_10th,
+          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_10 AND percentile_90), 8) AS mean_10th_to_90th,
+          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_90 AND percentile_95), 8) AS mean_90th_to_95th,
           round(CASE WHEN count(exposure) = {last - first + 1}
-                THEN avg(exposure) FILTER (WHERE exposure > percentile_95) END, 6) AS mean_above_95th,
+                THEN avg(exposure) FILTER (WHERE exposure > percentile_95) END, 8) AS mean_above_95th,
           Identifier
         FROM (SELECT i.RFA_ID, i.location, i.Identifier, e.exposure, p.*
               FROM identified i JOIN percentiles p USING (location)

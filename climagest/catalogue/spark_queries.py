@@ -45,6 +45,9 @@ from climagest.sources.readers import list_locations, read_births, read_location
 from climagest.sources.shared import fresh_path, written
 from climagest.sources.writers import write_by_location, write_csv, write_table, write_window_counts
 
+# Means of half-integers over 64 days end exactly between two numbers of six places.
+BAND_PLACES = 8
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -361,7 +364,8 @@ def thresholds_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bands_query(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
-    return rounded(band_means(_cohort(spark, folder), _bands(spark, folder), first, last), BANDS)
+    means = band_means(_cohort(spark, folder), _bands(spark, folder), first, last)
+    return rounded(means, BANDS, BAND_PLACES)
 
 
 def bands_from_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -373,7 +377,7 @@ def bands_from_wide(spark: SparkSession, folder: str) -> DataFrame:
     days = between_columns(dataset, "Day_1", "Day_14")
     long = unpivot_days(dataset.select(*keys, *days), keys).withColumnRenamed("value", "exposure")
     means = band_means_of_days(long, thresholds(dataset), keys, len(days))
-    return rounded(means.select("RFA_ID", "location", *BANDS, "Identifier"), BANDS)
+    return rounded(means.select("RFA_ID", "location", *BANDS, "Identifier"), BANDS, BAND_PLACES)
 
 
 def _stored_bands(spark: SparkSession, folder: str) -> str:

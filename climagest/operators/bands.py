@@ -34,7 +34,6 @@ BANDS = {
     "mean_90th_to_95th": "exposure >= percentile_90 AND exposure <= percentile_95",
     "mean_above_95th": "exposure > percentile_95",
 }
-BAND_COLUMNS = ("RFA_ID", "location", *BANDS)
 
 
 def percentile_dataset(
@@ -108,11 +107,13 @@ def band_means(
     into is null, or NaN with ``empty="nan"``. ``identifier`` adds the number the
     birth has in the percentile dataset.
     """
-    rows = births.where("RFA_ID IS NOT NULL").join(bands.spans.select("location", "last_day"), "location")
-    rows = exposure_on(rows, bands, "pre", "_day_1").where("_day_1 IS NOT NULL")
+    begun = exposure_on(births.where("RFA_ID IS NOT NULL"), bands, "pre", "_day_1").where("_day_1 IS NOT NULL")
+    rows = begun.select("RFA_ID", "location", "admd", "pre", "tr3_end")
+    if identifier:
+        rows = number_rows(rows, DATASET_ORDER, name="Identifier")
     start = F.date_add("pre", first - 1)
     stop = F.greatest(start, F.least(F.date_add("pre", last), F.date_add("tr3_end", 1)))
-    rows = totals_between(rows, bands, start, stop)
+    rows = totals_between(rows.join(bands.spans.select("location", "last_day"), "location"), bands, start, stop)
     empty_mean = "double('NaN')" if empty == "nan" else "double(NULL)"
     means = []
     for name in BANDS:
@@ -120,10 +121,7 @@ def band_means(
         if name in OUTER_BANDS:
             mean = f"if(days = {last - first + 1}, {mean}, NULL)"
         means.append(f"{mean} AS {name}")
-    result = rows.selectExpr("RFA_ID", "location", *means, *(["admd", "pre"] if identifier else []))
-    if not identifier:
-        return result
-    return number_rows(result, DATASET_ORDER, name="Identifier").select(*BAND_COLUMNS, "Identifier")
+    return rows.selectExpr("RFA_ID", "location", *means, *(["Identifier"] if identifier else []))
 
 
 def band_means_of_days(

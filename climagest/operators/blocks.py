@@ -26,6 +26,9 @@ BLOCK_DAYS = 1 << _BLOCK_BITS
 BROADCAST_BYTES = 512 * 1024 * 1024
 SALTS = 16
 _MAX_INT = 2**31 - 1
+# More subtractions than this in one expression list make a generated method of
+# over 8000 bytes, which the JVM leaves uncompiled.
+_DIRECT_TOTALS = 12
 
 
 def block_of(date: Column) -> Column:
@@ -198,13 +201,15 @@ def totals_between(
     rows = join_blocks(rows, blocks, key, block_of(F.col("_from")), {"totals": "_from_totals"})
     rows = join_blocks(rows, blocks, key, block_of(F.col("_to")), {"totals": "_to_totals"})
     width = len(blocks.names)
-    rows = rows.withColumns(
-        {f"_{end}_at": place_in_block(F.col(f"_{end}")) * width for end in ("from", "to")}
-    )
-    return rows.selectExpr(
-        *df.columns,
-        *(
-            f"coalesce(get(_to_totals, _to_at + {k}), 0) - coalesce(get(_from_totals, _from_at + {k}), 0) AS {name}"
-            for k, name in enumerate(blocks.names)
-        ),
-    )
+    rows = rows.withColumns({f"_{end}_at": place_in_block(F.col(f"_{end}")) * width for end in ("from", "to")})
+    if width <= _DIRECT_TOTALS:
+        total = "coalesce(get(_to_totals, _to_at + {k}), 0) - coalesce(get(_from_totals, _from_at + {k}), 0)"
+    else:
+        nothing = F.array_repeat(F.lit(0), width)
+        at_to, at_from = (
+            F.coalesce(F.slice(f"_{end}_totals", F.col(f"_{end}_at") + 1, F.lit(width)), nothing)
+            for end in ("to", "from")
+        )
+        rows = rows.withColumn("_total", F.zip_with(at_to, at_from, lambda to, since: to - since))
+        total = "_total[{k}]"
+    return rows.selectExpr(*df.columns, *(f"{total.format(k=k)} AS {name}" for k, name in enumerate(blocks.names)))

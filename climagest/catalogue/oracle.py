@@ -125,6 +125,10 @@ def sql(select: str, *uses: str, **extra: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in declared.items()) + "\n" + select
 
 
+def settled(value: str, places: int = 6) -> str:
+    return f"round(round({value}, {places + 4}), {places})"
+
+
 def _counts(family: str, windows: tuple[str, ...]) -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE w.{flag} = 1) AS {name}" for flag, name in FLAGS[family].items())
     names = ", ".join(f"'{w}'" for w in windows)
@@ -175,15 +179,19 @@ def _wide(first: int, last: int) -> str:
 
 
 def _bands(first: int, last: int) -> str:
+    def inside(condition: str) -> str:
+        return f"avg(exposure) FILTER (WHERE exposure {condition})"
+
+    def complete(mean: str) -> str:
+        return f"CASE WHEN count(exposure) = {last - first + 1} THEN {mean} END"
+
     return f"""
         SELECT RFA_ID, location,
-          round(CASE WHEN count(exposure) = {last - first + 1}
-                THEN avg(exposure) FILTER (WHERE exposure < percentile_05) END, 8) AS mean_below_5th,
-          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_05 AND percentile_10), 8) AS mean_5th_to_10th,
-          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_10 AND percentile_90), 8) AS mean_10th_to_90th,
-          round(avg(exposure) FILTER (WHERE exposure BETWEEN percentile_90 AND percentile_95), 8) AS mean_90th_to_95th,
-          round(CASE WHEN count(exposure) = {last - first + 1}
-                THEN avg(exposure) FILTER (WHERE exposure > percentile_95) END, 8) AS mean_above_95th,
+          {settled(complete(inside("< percentile_05")))} AS mean_below_5th,
+          {settled(inside("BETWEEN percentile_05 AND percentile_10"))} AS mean_5th_to_10th,
+          {settled(inside("BETWEEN percentile_10 AND percentile_90"))} AS mean_10th_to_90th,
+          {settled(inside("BETWEEN percentile_90 AND percentile_95"))} AS mean_90th_to_95th,
+          {settled(complete(inside("> percentile_95")))} AS mean_above_95th,
           Identifier
         FROM (SELECT i.RFA_ID, i.location, i.Identifier, e.exposure, p.*
               FROM identified i JOIN percentiles p USING (location)
@@ -195,12 +203,12 @@ def _band_query(first: int, last: int, select: str = "SELECT * FROM means") -> s
     return sql(select, "identified", "percentiles", "exposed", means=_bands(first, last))
 
 
-_ROUNDED_PERCENTILES = ", ".join(f"round(percentile_{p}, 6) AS percentile_{p}" for p in ("95", "90", "10", "05"))
+_ROUNDED_PERCENTILES = ", ".join(f"{settled('percentile_' + p)} AS percentile_{p}" for p in ("95", "90", "10", "05"))
 
-_DAY_SUMMARY = """
+_DAY_SUMMARY = f"""
     SELECT location, day_idx, count(*) AS n_births, count(exposure) AS n_exposed,
-           round(sum(exposure), 6) AS sum_exposure, round(min(exposure), 6) AS min_exposure,
-           round(max(exposure), 6) AS max_exposure"""
+           {settled("sum(exposure)", 2)} AS sum_exposure, {settled("min(exposure)")} AS min_exposure,
+           {settled("max(exposure)")} AS max_exposure"""
 
 _NESTED = "SELECT location, RFA_ID, admd, pre, n_days FROM cohort"
 
@@ -209,7 +217,7 @@ ORACLE: dict[str, str] = {
     "births_clean_text": sql("SELECT * FROM births_parsed", "births_parsed"),
     "births_from_csv": sql("SELECT CAST(RFA_ID AS VARCHAR) AS RFA_ID, location, admd, gest FROM births_parsed", "births_parsed"),
     "weather_clean": sql(
-        "SELECT location, date, round(exposure, 6) AS exposure FROM local_temperature", "local_temperature"
+        f"SELECT location, date, {settled('exposure')} AS exposure FROM local_temperature", "local_temperature"
     ),
     "gestation_dates": sql("SELECT * FROM dated", "dated"),
     "gestation_dates_text": sql(
@@ -300,8 +308,9 @@ ORACLE: dict[str, str] = {
         "cohort",
     ),
     "exposure_calculation": sql(
-        """SELECT location, birth_row, RFA_ID, admd, count(*) AS n_days, count(exposure) AS n_exposed,
-               min(date) AS first_date, round(avg(exposure), 6) AS mean_exposure, round(max(exposure), 6) AS max_exposure
+        f"""SELECT location, birth_row, RFA_ID, admd, count(*) AS n_days, count(exposure) AS n_exposed,
+               min(date) AS first_date, {settled("avg(exposure)")} AS mean_exposure,
+               {settled("max(exposure)")} AS max_exposure
         FROM exposed JOIN (SELECT RFA_ID, row_number() OVER (PARTITION BY location ORDER BY RFA_ID) AS birth_row
                            FROM cohort) r USING (RFA_ID)
         GROUP BY ALL""",
@@ -333,8 +342,8 @@ ORACLE: dict[str, str] = {
         f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, 14)} FROM exposed GROUP BY ALL", "exposed"
     ),
     "exposure_unpivot": sql(
-        """SELECT c.location, 'Day_' || k AS name, count(*) AS n_births, count(e.exposure) AS n_exposed,
-               round(sum(e.exposure), 6) AS sum_value
+        f"""SELECT c.location, 'Day_' || k AS name, count(*) AS n_births, count(e.exposure) AS n_exposed,
+               {settled("sum(e.exposure)", 2)} AS sum_value
         FROM (SELECT *, UNNEST(generate_series(92, 182)) AS k FROM cohort) c
         LEFT JOIN exposed e ON e.RFA_ID = c.RFA_ID AND e.day_idx = c.k
         GROUP BY c.location, k""",
@@ -349,7 +358,7 @@ ORACLE: dict[str, str] = {
         "cohort",
     ),
     "grouped_map_mean": sql(
-        "SELECT location, count(*) AS births, round(avg(n_days), 6) AS mean_days FROM cohort GROUP BY location", "cohort"
+        f"SELECT location, count(*) AS births, {settled('avg(n_days)')} AS mean_days FROM cohort GROUP BY location", "cohort"
     ),
     **{
         name: sql(f"SELECT location, {_ROUNDED_PERCENTILES} FROM percentiles", "percentiles")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climagest.catalogue import standin
@@ -45,14 +45,17 @@ from climagest.sources.readers import list_locations, read_births, read_location
 from climagest.sources.shared import fresh_path, written
 from climagest.sources.writers import write_by_location, write_csv, write_table, write_window_counts
 
-# Means of half-integers over 64 days end exactly between two numbers of six places.
-BAND_PLACES = 8
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def settled(column: Column | str, places: int) -> Column:
+    """Rounded for comparison. A first, finer rounding removes the noise of summation,
+    so that values lying exactly between two numbers go the same way everywhere."""
+    return F.round(F.round(column, places + 4), places)
+
+
 def rounded(df: DataFrame, columns: Iterable[str], places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    return df.withColumns({c: settled(c, places) for c in columns})
 
 
 # -- inputs ------------------------------------------------------------------
@@ -210,7 +213,7 @@ def _by_day(days: DataFrame) -> DataFrame:
         F.min("exposure").alias("min_exposure"),
         F.max("exposure").alias("max_exposure"),
     )
-    return rounded(summed, ["sum_exposure", "min_exposure", "max_exposure"])
+    return rounded(rounded(summed, ["min_exposure", "max_exposure"]), ["sum_exposure"], 2)
 
 
 def day_exposure_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -303,7 +306,7 @@ def unpivoted_days(spark: SparkSession, folder: str) -> DataFrame:
         .agg(
             F.count("*").alias("n_births"),
             F.count("value").alias("n_exposed"),
-            F.round(F.sum("value"), 6).alias("sum_value"),
+            settled(F.sum("value"), 2).alias("sum_value"),
         )
     )
 
@@ -365,7 +368,7 @@ def thresholds_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 def bands_query(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
     means = band_means(_cohort(spark, folder), _bands(spark, folder), first, last)
-    return rounded(means, BANDS, BAND_PLACES)
+    return rounded(means, BANDS)
 
 
 def bands_from_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -377,7 +380,7 @@ def bands_from_wide(spark: SparkSession, folder: str) -> DataFrame:
     days = between_columns(dataset, "Day_1", "Day_14")
     long = unpivot_days(dataset.select(*keys, *days), keys).withColumnRenamed("value", "exposure")
     means = band_means_of_days(long, thresholds(dataset), keys, len(days))
-    return rounded(means.select("RFA_ID", "location", *BANDS, "Identifier"), BANDS, BAND_PLACES)
+    return rounded(means.select("RFA_ID", "location", *BANDS, "Identifier"), BANDS)
 
 
 def _stored_bands(spark: SparkSession, folder: str) -> str:

@@ -45,6 +45,5 @@ def move_after(df: DataFrame, names: Sequence[str], anchor: str) -> DataFrame:
 def pad_with_nulls(array: Column, length: Column | int, element_type: str) -> Column:
     """Lengthen ``array`` with nulls; an array already long enough is left alone."""
     wanted = F.lit(length) if isinstance(length, int) else length
-    missing = wanted - F.size(array)
-    padding = F.array_repeat(F.lit(None).cast(element_type), missing)
-    return F.when(missing > 0, F.concat(array, padding)).otherwise(array)
+    missing = F.greatest(wanted - F.size(array), F.lit(0))
+    return F.concat(array, F.array_repeat(F.lit(None).cast(element_type), missing))

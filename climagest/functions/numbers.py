@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A plain decimal number, optionally signed, optionally with an exponent. Java's
-# parser would also take suffixes such as "29001d", which are not numbers here.
+# Plain decimal numbers, optionally signed. Java's parser would also take suffixes
+# such as "29001d", which are not numbers here.
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+WHOLE_PATTERN = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+
+
+def _matching(column: Column | str, pattern: str) -> Column:
+    text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.when(text.rlike(pattern), text)
 
 
 def to_number(column: Column | str) -> Column:
     """Number held by ``column`` as a double; malformed text becomes null."""
-    text = F.col(column) if isinstance(column, str) else column
-    text = text.cast("string")
-    number = F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
-    return drop_nan(number)
+    return _matching(column, NUMBER_PATTERN).try_cast("double")
 
 
 def to_whole(column: Column | str) -> Column:
     """Whole number held by ``column`` as an int; anything else becomes null."""
-    number = to_number(column)
-    return F.when(number == F.floor(number), number).try_cast("int")
+    return _matching(column, WHOLE_PATTERN).try_cast("double").try_cast("int")
 
 
 def drop_nan(column: Column | str) -> Column:

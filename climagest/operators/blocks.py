@@ -23,6 +23,8 @@ from climagest.sources.shared import SMALL_ROWS, written
 _BLOCK_BITS = 5
 BLOCK_DAYS = 1 << _BLOCK_BITS
 
+REACH = 4  # blocks per row of folded exposure
+
 BROADCAST_BYTES = 512 * 1024 * 1024
 SALTS = 16
 _MAX_INT = 2**31 - 1
@@ -49,7 +51,8 @@ class Blocks:
     """Folded weather.
 
     ``frame``: location, block and the arrays, stored. ``exposure`` has one entry
-    per day, ``totals`` has ``len(names)`` entries per day, one day after another.
+    per day for ``reach`` blocks from this one on, ``totals`` has ``len(names)``
+    entries per day of the block, one day after another.
     ``spans``: location, first and last day with weather.
     ``few``: the postcodes are checked to be few.
     ``fits``: the folded table is checked to be small enough for a broadcast.
@@ -60,6 +63,7 @@ class Blocks:
     names: tuple[str, ...]
     few: bool
     fits: bool
+    reach: int = 1
 
 
 @dataclass(frozen=True)
@@ -85,29 +89,45 @@ def _size(daily: DataFrame, weight: Column) -> _Size:
     return _Size(row["locations"], row["blocks"] or 0, row["top"] or 0)
 
 
-def _folded(frame: DataFrame, spans: DataFrame, names: tuple[str, ...], size: _Size, row_bytes: int, limit: int) -> Blocks:
+def _folded(
+    frame: DataFrame, spans: DataFrame, names: tuple[str, ...], size: _Size, row_bytes: int, limit: int, reach: int = 1
+) -> Blocks:
     few = size.locations <= SMALL_ROWS
-    return Blocks(
-        written(frame, "blocks"),
-        F.broadcast(spans) if few else spans,
-        names,
-        few,
-        size.blocks * row_bytes <= limit,
-    )
+    fits = size.blocks * row_bytes <= limit
+    return Blocks(written(frame, "blocks"), F.broadcast(spans) if few else spans, names, few, fits, reach)
 
 
-def fold_exposure(daily: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Blocks:
-    """Fold location, date, exposure (unique days); a missing day is null in its array."""
+def fold_exposure(daily: DataFrame, reach: int = REACH, broadcast_bytes: int = BROADCAST_BYTES) -> Blocks:
+    """Fold location, date, exposure (unique days); a missing day is null in its array.
+
+    Every row holds ``reach`` blocks, its own and the following ones, so that a
+    pregnancy is covered by a few lookups. Each day is thus stored ``reach`` times.
+    """
     stored = written(daily.where(F.col("exposure").isNotNull()), "daily")
-    by_place = F.map_from_entries(F.collect_list(F.struct(place_in_block(F.col("date")), "exposure")))
-    places = F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1))
+    length = reach * BLOCK_DAYS
+    by_place = F.map_from_entries(F.collect_list(F.struct("_place", "exposure")))
     frame = (
-        stored.groupBy("location", block_of(F.col("date")).alias("block"))
+        stored.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("_behind"))
+        .select(
+            "location",
+            (block_of(F.col("date")) - F.col("_behind")).alias("block"),
+            (place_in_block(F.col("date")) + F.col("_behind") * BLOCK_DAYS).alias("_place"),
+            "exposure",
+        )
+        .groupBy("location", "block")
         .agg(by_place.alias("_days"))
-        .select("location", "block", F.transform(places, lambda i: F.try_element_at("_days", i)).alias("exposure"))
+        .select(
+            "location",
+            "block",
+            F.transform(
+                F.sequence(F.lit(0), F.lit(length - 1)), lambda place: F.try_element_at("_days", place)
+            ).alias("exposure"),
+        )
     )
-    row_bytes = 96 + 8 * BLOCK_DAYS
-    return _folded(frame, day_spans(stored), (), _size(stored, F.lit(1)), row_bytes, broadcast_bytes)
+    size = _size(stored, F.lit(1))
+    spare = size.locations * reach  # rows before the first block
+    size = _Size(size.locations, size.blocks + spare, size.top)
+    return _folded(frame, day_spans(stored), (), size, 96 + 8 * length, broadcast_bytes, reach)
 
 
 def fold_running_totals(

@@ -13,7 +13,6 @@ from climagest.operators.blocks import (
     exposure_on,
     first_day_of_block,
     join_blocks,
-    place_in_block,
 )
 
 
@@ -43,21 +42,23 @@ def attach_exposure(days: DataFrame, blocks: Blocks) -> DataFrame:
 
 def day_exposure(births: DataFrame, blocks: Blocks, first: int = 1, last: int | None = None) -> DataFrame:
     """``day_spine`` followed by ``attach_exposure``, meeting the weather once per
-    birth and 32-day block instead of once per birth and day."""
+    birth and row of blocks instead of once per birth and day."""
     start, end = _range(first, last)
     ranged = births.withColumn("_start", start).withColumn("_end", end).where("_start <= _end")
-    touched = F.sequence(block_of(F.col("_start")), block_of(F.col("_end")))
+    touched = F.sequence(block_of(F.col("_start")), block_of(F.col("_end")), F.lit(blocks.reach))
     split = ranged.withColumn("_touched", F.explode(touched))
     met = join_blocks(split, blocks, "location", F.col("_touched"), {"exposure": "_values"})
-    opening = F.greatest(F.col("_start"), first_day_of_block(F.col("_touched")))
-    closing = F.least(F.col("_end"), F.date_sub(first_day_of_block(F.col("_touched") + 1), 1))
+    met = met.withColumn("_from", first_day_of_block(F.col("_touched")))
+    beyond = first_day_of_block(F.col("_touched") + blocks.reach)
+    opening = F.greatest(F.col("_start"), F.col("_from"))
+    closing = F.least(F.col("_end"), F.date_sub(beyond, 1))
     return met.select(
-        *births.columns, "_values", F.explode(day_sequence(opening, closing)).alias("date")
+        *births.columns, "_values", "_from", F.explode(day_sequence(opening, closing)).alias("date")
     ).select(
         *births.columns,
         (F.date_diff("date", "pre") + 1).alias("day_idx"),
         "date",
-        F.get("_values", place_in_block(F.col("date"))).alias("exposure"),
+        F.get("_values", F.date_diff("date", "_from")).alias("exposure"),
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from climagest.functions.columns import day_names, named_like
@@ -28,14 +29,14 @@ def exposure_wide(
     needed = list(dict.fromkeys([*keep, "location", "RFA_ID", "pre", "tr3_end"]))
     begun = births.select(*needed, F.date_add("pre", first - 1).alias("_begin"))
     length = n_days - first + 1
-    # as many blocks as the range touches when it begins on a block's last day
-    touched = (BLOCK_DAYS - 1 + length + BLOCK_DAYS - 1) // BLOCK_DAYS
+    # as many rows of blocks as the range touches when it begins on a block's last day
+    touched = math.ceil((BLOCK_DAYS - 1 + length) / (blocks.reach * BLOCK_DAYS))
     if blocks.fits:
-        rows, empty = begun, F.array_repeat(F.lit(None).cast("double"), BLOCK_DAYS)
+        rows = begun
         for k in range(touched):
-            rows = join_blocks(rows, blocks, "location", block_of(F.col("_begin")) + k, {"exposure": f"_block_{k}"})
-        parts = [F.coalesce(F.col(f"_block_{k}"), empty) for k in range(touched)]
-        rows = rows.withColumn("_days", F.concat(*parts))
+            block = block_of(F.col("_begin")) + k * blocks.reach
+            rows = join_blocks(rows, blocks, "location", block, {"exposure": f"_block_{k}"})
+        rows = rows.withColumn("_days", F.concat(*(F.coalesce(f"_block_{k}", _missing(blocks)) for k in range(touched))))
     else:
         rows = _gathered(begun, blocks, touched)
     begin = place_in_block(F.col("_begin")).alias("_place")
@@ -44,14 +45,17 @@ def exposure_wide(
     return rows.selectExpr(*keep, *(f"if({k} <= _last, get(_days, _place + {k}), NULL) AS {name}" for k, name in days))
 
 
+def _missing(blocks: Blocks) -> Column:
+    return F.array_repeat(F.lit(None).cast("double"), blocks.reach * BLOCK_DAYS)
+
+
 def _gathered(begun: DataFrame, blocks: Blocks, touched: int) -> DataFrame:
-    order = ["location", "RFA_ID", "pre", "tr3_end"]
-    numbered = number_rows(begun, order, name="_birth")
-    split = numbered.select("*", F.explode(F.array(*(F.lit(k) for k in range(touched)))).alias("_k"))
-    met = join_blocks(split, blocks, "location", block_of(F.col("_begin")) + F.col("_k"), {"exposure": "_block"})
-    empty = F.array_repeat(F.lit(None).cast("double"), BLOCK_DAYS)
+    numbered = number_rows(begun, ["location", "RFA_ID", "pre", "tr3_end"], name="_birth")
+    split = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(touched - 1))).alias("_k"))
+    block = block_of(F.col("_begin")) + F.col("_k") * blocks.reach
+    met = join_blocks(split, blocks, "location", block, {"exposure": "_block"})
     # at most ``touched`` arrays per birth are collected
-    pieces = F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_block", empty).alias("_block"))))
+    pieces = F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_block", _missing(blocks)).alias("_block"))))
     return (
         met.groupBy("_birth", *begun.columns)
         .agg(pieces.alias("_pieces"))

@@ -24,8 +24,10 @@ def kind(data_type: pa.DataType) -> str:
 
 
 def sorted_rows(table: pa.Table, names: list[str]) -> list[tuple]:
-    columns = [table.column(name).to_pylist() for name in names]
-    return sorted(zip(*columns), key=lambda row: tuple((value is not None, str(type(value)), value) if value is not None else (False, "", 0) for value in row))
+    """Rows in an order given by their values. Columns that tell rows apart come first."""
+    keys = sorted(names, key=lambda name: pa.types.is_floating(table.schema.field(name).type))
+    ordered = table.sort_by([(name, "ascending") for name in keys[:12]])
+    return list(zip(*(ordered.column(name).to_pylist() for name in names)))
 
 
 def differences(spark_table: pa.Table, sql_table: pa.Table) -> list[str]:

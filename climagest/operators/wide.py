@@ -53,13 +53,13 @@ def _gathered(begun: DataFrame, blocks: Blocks, touched: int) -> DataFrame:
     numbered = number_rows(begun, ["location", "RFA_ID", "pre", "tr3_end"], name="_birth")
     split = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(touched - 1))).alias("_k"))
     block = block_of(F.col("_begin")) + F.col("_k") * blocks.reach
-    met = join_blocks(split, blocks, "location", block, {"exposure": "_block"})
+    met = join_blocks(split, blocks, "location", block, {"exposure": "_piece"})
     # at most ``touched`` arrays per birth are collected
-    pieces = F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_block", _missing(blocks)).alias("_block"))))
+    pieces = F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_piece", _missing(blocks)).alias("_piece"))))
     return (
         met.groupBy("_birth", *begun.columns)
         .agg(pieces.alias("_pieces"))
-        .withColumn("_days", F.flatten(F.col("_pieces").getField("_block")))
+        .withColumn("_days", F.flatten(F.col("_pieces").getField("_piece")))
     )
 
 

@@ -20,7 +20,7 @@ from climagest.operators.cohort import COHORT_COLUMNS, in_windows, numbered_loca
 from climagest.operators.numbering import number_values
 from climagest.operators.weather import daily_flag_counts
 from climagest.schema import WINDOWS
-from climagest.sources.shared import written
+from climagest.sources.shared import SMALL_ROWS, has_at_most, written
 
 
 @dataclass(frozen=True)
@@ -113,12 +113,13 @@ def _by_run_id(daily: DataFrame, names: Sequence[str]) -> DataFrame:
     """Counts keyed by run id, which each flag numbers on its own."""
     long = daily.unpivot(["location", "date"], list(names), "flag", "n").where("n > 0")
     seen = long.select("flag", "location").distinct()
+    few = has_at_most(seen, SMALL_ROWS)
     numbered = None
     for name in names:
-        one = number_values(seen.where(F.col("flag") == name), "location", few=True).withColumn("flag", F.lit(name))
+        one = number_values(seen.where(F.col("flag") == name), "location", few=few).withColumn("flag", F.lit(name))
         numbered = one if numbered is None else numbered.unionByName(one)
     return (
-        long.join(F.broadcast(numbered), ["flag", "location"])
+        long.join(F.broadcast(numbered) if few else numbered, ["flag", "location"])
         .groupBy(F.col("Number").alias("location"), "date")
         .agg(*(F.sum(F.when(F.col("flag") == name, F.col("n")).otherwise(0)).alias(name) for name in names))
     )

@@ -8,8 +8,8 @@ import __spark_entry__ as entry_points
 from compare import database, differences
 
 FOLDER = entry_points.SMALLEST
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = entry_points.QUERIES
+ORACLE = entry_points.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from climagest.llm.bpe import token_digest
+from climagest.llm.near_dedup import near_duplicates
 from climagest.llm.pii import pii_digest
 
 
@@ -15,4 +18,17 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii}
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_digest(table(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_near_dedup": op2_near_dedup,
+    "op7_bpe": op7_bpe,
+}

@@ -1,13 +1,64 @@
-"""Stages that turn documents into training data."""
+"""Stages that turn documents into training data.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; its result is
+written as Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from climagest.llm.bpe import encode
+from climagest.llm.exact_dedup import drop_copies
+from climagest.llm.mixing import mixed
+from climagest.llm.near_dedup import keep_one
+from climagest.llm.toxicity import drop_toxic
+from climagest.sources.shared import written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled ones, rejects go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays."""
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of its domain, language and source ask for."""
+    return mixed(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text that is left; repeated rows of the mixture stay repeated."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing),
+    ("byte-level BPE", encoding),
+]
+#: The classifier and the encoding have no SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the documents of a folder."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

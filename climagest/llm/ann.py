@@ -34,11 +34,11 @@ class Settings:
     sample: int = 20_000
     sample_numbers: int = 4_000_000
     #: Distinct vectors wanted in a list, and most lists.
-    list_size: int = 150
+    list_size: int = 50
     lists: int = 4096
     #: A vector goes to at most so many lists, of centroids at most so many times as far as the nearest.
-    replicas: int = 4
-    replica_ratio: float = 1.15
+    replicas: int = 8
+    replica_ratio: float = 1.25
     #: A query looks into at most so many lists, at most so many times as far as the nearest.
     probes: int = 96
     probe_ratio: float = 1.6
@@ -145,7 +145,7 @@ class Graph:
                 if len(own) == self.settings.replicas or distance > self.settings.replica_ratio * distances[0]:
                     break
                 gaps = self.centroids[own] - self.centroids[c]
-                if (np.sqrt((gaps * gaps).sum(axis=1)) > 0.7 * distance).all():
+                if (np.sqrt((gaps * gaps).sum(axis=1)) > 0.5 * distance).all():
                     own.append(int(c))
             chosen.append(own)
         return chosen

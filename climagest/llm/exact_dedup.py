@@ -24,6 +24,8 @@ from climagest.sources.shared import fresh_path, small, written
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # no megabytes set aside beforehand for the log of each partition
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -103,13 +105,16 @@ def exact_duplicates(
     rows.drop("text").write.parquet(arrivals)
     groups = written(keyed_state(spark, arrivals, batch_bytes), "groups")
 
-    hits = small(groups.where("n > 1").select("digest"))
-    texts = rows.join(hits, "digest", "left_semi")
+    repeated = small(groups.where("n > 1"))
+    texts = rows.join(repeated, "digest", "left_semi")
     spans = texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     clashes = written(spans.where("low <> high").select("digest"), "clashes")
 
     placed = spark.read.parquet(arrivals)
-    found = placed.join(small(groups), "digest")
+    # a digest that came once stands for the row itself
+    alone = F.struct("doc_id", FILE, ROW)
+    found = placed.join(repeated, "digest", "left")
+    found = found.withColumns({"keep": F.coalesce("keep", alone), "n": F.coalesce("n", F.lit(1))})
     if not clashes.isEmpty():
         apart = rows.join(small(clashes), "digest", "left_semi")
         exact = apart.groupBy("digest", "text").agg(

@@ -68,10 +68,16 @@ CTES = {
         FROM (SELECT DISTINCT location FROM births
               WHERE location IN (SELECT location FROM local_temperature)) z""",
     "windowed": " UNION ALL ".join(
-        f"""SELECT '{w.name}' AS "window", location AS ZIP, admd AS ADMD, RFA_ID, {w.start} AS start,
-            {"CAST(" + w.start + " + 90 AS DATE)" if w.stop else "admd"} AS "End", Number
-            FROM dated JOIN numbers USING (location) WHERE ({w.keep}) AND {w.start} IS NOT NULL"""
-        for w in WINDOWS.values()
+        f"""SELECT '{name}' AS "window", location AS ZIP, admd AS ADMD, RFA_ID, {start} AS start,
+            CAST({end} AS DATE) AS "End", Number
+            FROM dated JOIN numbers USING (location) WHERE ({keep}) AND {start} IS NOT NULL"""
+        for name, start, end, keep in (
+            ("preconception", "pre", "pre + 90", "true"),
+            ("trimester1", "tr1", "tr1 + 90", "true"),
+            ("trimester2", "tr2", "tr2 + 90", "tr3 < admd"),
+            ("trimester2_preterm", "tr2", "admd", "tr3 > admd AND tr2 < admd"),
+            ("trimester3", "tr3", "admd", "tr3 < admd"),
+        )
     ),
     "days": """
         SELECT location, RFA_ID, admd, pre, tr3_end, CAST(i + 1 AS INTEGER) AS day_idx,
@@ -208,7 +214,7 @@ _ROUNDED_PERCENTILES = ", ".join(f"{settled('percentile_' + p)} AS percentile_{p
 _DAY_SUMMARY = f"""
     SELECT location, day_idx, count(*) AS n_births, count(exposure) AS n_exposed,
            {settled("sum(exposure)", 2)} AS sum_exposure, {settled("min(exposure)")} AS min_exposure,
-           {settled("max(exposure)")} AS max_exposure"""
+           {settled("max(exposure)")} AS max_exposure, {settled("sum(exposure * (RFA_ID % 97))", 2)} AS marked_exposure"""
 
 _NESTED = "SELECT location, RFA_ID, admd, pre, n_days FROM cohort"
 
@@ -216,6 +222,13 @@ ORACLE: dict[str, str] = {
     "births_clean": sql("SELECT * FROM births", "births"),
     "births_clean_text": sql("SELECT * FROM births_parsed", "births_parsed"),
     "births_from_csv": sql("SELECT CAST(RFA_ID AS VARCHAR) AS RFA_ID, location, admd, gest FROM births_parsed", "births_parsed"),
+    "births_from_csv_dates": sql(
+        "SELECT RFA_ID, location, CASE WHEN RFA_ID % 5 = 0 OR RFA_ID % 7 <> 0 THEN admd END AS admd, gest FROM births", "births"
+    ),
+    "weather_text_zip": sql(
+        f"""SELECT location, date, {settled('exposure')} AS exposure FROM local_temperature WHERE day(date) <> 13""",
+        "local_temperature",
+    ),
     "weather_clean": sql(
         f"SELECT location, date, {settled('exposure')} AS exposure FROM local_temperature", "local_temperature"
     ),
@@ -284,18 +297,22 @@ ORACLE: dict[str, str] = {
         f"hot_counts_{form}": _counts("Hot", tuple(WINDOWS)) for form in ("interval", "bucketed", "spine", "shuffled")
     },
     **{f"{family.lower()}_counts_ordinal": _ordinal_counts(family) for family in FLAGS},
+    "hot_window_files": _counts("Hot", tuple(WINDOWS)),
+    "cold_window_files": _counts("Cold", tuple(WINDOWS)),
+    "hot_counts_by_window": _counts("Hot", tuple(WINDOWS)),
     "csv_roundtrip": "SELECT * EXCLUDE (\"window\", start), start AS Pre FROM ("
     + _counts("Cold", ("preconception",))
     + ") counts",
     "day_spine": sql(
         """SELECT location, day_idx, count(*) AS n_births, min(date) AS first_date, max(date) AS last_date,
-        CAST(sum(datediff('day', DATE '1970-01-01', date)) AS BIGINT) AS sum_of_days
+        CAST(sum(datediff('day', DATE '1970-01-01', date)) AS BIGINT) AS sum_of_days,
+        CAST(sum(datediff('day', DATE '1970-01-01', date) * (RFA_ID % 97)) AS BIGINT) AS marked_days
         FROM days GROUP BY location, day_idx""",
         "days",
     ),
     "day_exposure": sql(f"{_DAY_SUMMARY} FROM exposed GROUP BY location, day_idx", "exposed"),
     "day_exposure_attached": sql(
-        f"{_DAY_SUMMARY} FROM exposed WHERE day_idx <= 91 GROUP BY location, day_idx", "exposed"
+        f"{_DAY_SUMMARY} FROM exposed GROUP BY location, day_idx", "exposed"
     ),
     "day_exposure_padded": sql(
         f"""SELECT c.location, CAST(p.position AS INTEGER) AS position,
@@ -319,10 +336,18 @@ ORACLE: dict[str, str] = {
     "exposure_of_flag": sql(
         f"""{_DAY_SUMMARY} FROM (SELECT d.*, CAST(w.Heatwave_days AS DOUBLE) AS exposure
                                  FROM days d LEFT JOIN hot_weather w USING (location, date)) e
-        WHERE day_idx BETWEEN 92 AND 182 GROUP BY location, day_idx""",
+        GROUP BY location, day_idx""",
         "days",
         "hot_weather",
     ),
+    "exposure_wide_other_column": sql(
+        f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, LAST_DAY)} FROM doubled GROUP BY ALL",
+        "exposed",
+        doubled="SELECT * REPLACE (exposure * 2 AS exposure) FROM exposed",
+    ),
+    "exposure_wide_file": sql(
+        f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, LAST_DAY)} FROM exposed GROUP BY ALL", "exposed"
+    ),
     "exposure_wide": sql(
         f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, LAST_DAY)} FROM exposed GROUP BY ALL", "exposed"
     ),
@@ -338,13 +363,14 @@ ORACLE: dict[str, str] = {
         FROM exposed GROUP BY location, RFA_ID""",
         "exposed",
     ),
-    "exposure_wide_14": sql(
-        f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, 14)} FROM exposed GROUP BY ALL", "exposed"
+    "exposure_pivot": sql(
+        f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, LAST_DAY)} FROM exposed GROUP BY ALL", "exposed"
     ),
     "exposure_unpivot": sql(
         f"""SELECT c.location, 'Day_' || k AS name, count(*) AS n_births, count(e.exposure) AS n_exposed,
-               {settled("sum(e.exposure)", 2)} AS sum_value
-        FROM (SELECT *, UNNEST(generate_series(92, 182)) AS k FROM cohort) c
+               {settled("sum(e.exposure)", 2)} AS sum_value,
+               {settled("sum(e.exposure * (c.RFA_ID % 97))", 2)} AS marked_value
+        FROM (SELECT *, UNNEST(generate_series(1, {LAST_DAY})) AS k FROM cohort) c
         LEFT JOIN exposed e ON e.RFA_ID = c.RFA_ID AND e.day_idx = c.k
         GROUP BY c.location, k""",
         "cohort",
@@ -357,22 +383,33 @@ ORACLE: dict[str, str] = {
         GROUP BY ALL""",
         "cohort",
     ),
-    "grouped_map_mean": sql(
-        f"SELECT location, count(*) AS births, {settled('avg(n_days)')} AS mean_days FROM cohort GROUP BY location", "cohort"
+    "grouped_map_streaks": sql(
+        """SELECT location, CAST(sum(n) AS BIGINT) AS n_days, CAST(max(rises) AS BIGINT) AS longest_rise
+        FROM (SELECT location, run, count(*) AS n, count(*) - 1 AS rises
+              FROM (SELECT location, date, sum(CASE WHEN exposure > before AND date = day_before + 1 THEN 0 ELSE 1 END)
+                           OVER (PARTITION BY location ORDER BY date) AS run
+                    FROM (SELECT location, date, exposure, lag(exposure) OVER w AS before, lag(date) OVER w AS day_before
+                          FROM local_temperature WINDOW w AS (PARTITION BY location ORDER BY date)) l) r
+              GROUP BY location, run) g
+        GROUP BY location""",
+        "local_temperature",
     ),
     **{
         name: sql(f"SELECT location, {_ROUNDED_PERCENTILES} FROM percentiles", "percentiles")
         for name in ("location_percentiles", "location_percentiles_sorted")
     },
-    "percentile_dataset": sql(
-        f"""SELECT location, {_ROUNDED_PERCENTILES}, RFA_ID, admd, pre, tr3_end,
-               {", ".join(day_names(1, LAST_DAY))}, Identifier
-        FROM wide JOIN percentiles USING (location) JOIN (SELECT RFA_ID, Identifier FROM identified) i USING (RFA_ID)""",
-        "exposed",
-        "percentiles",
-        "identified",
-        wide=f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, LAST_DAY)} FROM exposed GROUP BY ALL",
-    ),
+    **{
+        name: sql(
+            f"""SELECT location, {_ROUNDED_PERCENTILES}, RFA_ID, admd, pre, tr3_end,
+                   {", ".join(day_names(1, LAST_DAY))}, Identifier
+            FROM wide JOIN percentiles USING (location) JOIN (SELECT RFA_ID, Identifier FROM identified) i USING (RFA_ID)""",
+            "exposed",
+            "percentiles",
+            "identified",
+            wide=f"SELECT location, RFA_ID, admd, pre, tr3_end, {_wide(1, LAST_DAY)} FROM exposed GROUP BY ALL",
+        )
+        for name in ("percentile_dataset", "percentile_dataset_partitioned")
+    },
     "thresholds_distinct": sql(
         f"""SELECT location, {_ROUNDED_PERCENTILES} FROM percentiles
         WHERE location IN (SELECT location FROM identified)""",
@@ -382,8 +419,9 @@ ORACLE: dict[str, str] = {
     "band_means_pre": _band_query(1, 91),
     "band_means_tr2": _band_query(183, 273),
     "band_means_first_14": _band_query(1, 14),
-    "band_means_from_wide": _band_query(1, 14),
+    "band_means_from_wide": _band_query(1, 91),
     "partition_roundtrip": _band_query(1, 91, "SELECT *, location AS zip_part FROM means"),
+    "band_means_from_partition": _band_query(1, 91, "SELECT * FROM means WHERE location = 29401"),
     "one_location": _band_query(1, 91, "SELECT * FROM means WHERE location = 29401"),
     "location_list": sql("SELECT DISTINCT location AS zip_part FROM identified", "identified"),
 }

@@ -27,7 +27,7 @@ from climagest.operators.bands import (
 from climagest.operators.births import exposure_births, gestation_dates, longest_span, prepare_births
 from climagest.operators.cohort import COHORT_COLUMNS, window_cohort
 from climagest.operators.counts import flag_days, window_counts, window_counts_by_join
-from climagest.operators.filters import any_column_in, flagged_days
+from climagest.operators.filters import any_column_in, flagged_days, open_range
 from climagest.operators.numbering import number_rows, number_values, run_ids
 from climagest.operators.spine import attach_exposure, day_exposure, day_spine, padded_dates
 from climagest.operators.weather import (
@@ -38,12 +38,18 @@ from climagest.operators.weather import (
     prepare_weather,
 )
 from climagest.operators.wide import exposure_wide, map_groups, nest, pivot_days, stack_tables, unnest, unpivot_days
-from climagest.plans.exposure import exposure_long
-from climagest.plans.extremes import extreme_day_counts
-from climagest.schema import FLAGS, PERCENTILES, WINDOWS
+from climagest.plans.exposure import exposure_long, write_exposure_wide, write_percentile_dataset
+from climagest.plans.extremes import extreme_day_counts, write_extreme_day_counts
+from climagest.schema import DAY_ZERO, FLAGS, PERCENTILES, POSTCODE_BOUNDS, WEATHER, WINDOWS
 from climagest.sources.readers import list_locations, read_births, read_location, read_weather
 from climagest.sources.shared import fresh_path, written
-from climagest.sources.writers import write_by_location, write_csv, write_table, write_window_counts
+from climagest.sources.writers import (
+    write_by_location,
+    write_counts_by_window,
+    write_csv,
+    write_table,
+    write_window_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,7 +88,7 @@ def _flags(spark: SparkSession, folder: str, family: str = "Hot") -> DataFrame:
 
 
 def _bands(spark: SparkSession, folder: str):
-    return prepared_bands(_temperature(spark, folder), all_weather=_temperature(spark, folder, bounds=None))
+    return prepared_bands(_temperature(spark, folder, bounds=None), bounds=POSTCODE_BOUNDS)
 
 
 # -- births and weather ------------------------------------------------------
@@ -189,6 +195,55 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def births_from_csv_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Births whose delivery stands in CSV as a date, some as a day number, some not at all."""
+    path = fresh_path(spark, "births-csv")
+    births = standin.births(spark, folder)
+    day = F.date_add(F.lit(DAY_ZERO).cast("date"), F.col("ADMD")).cast("string")
+    key = F.col("RFA_ID")
+    admitted = F.when(key % 5 == 0, F.col("ADMD").cast("string")).when(key % 7 != 0, day)
+    write_csv(births.withColumn("ADMD", admitted), path)
+    return prepare_births(read_births(spark, path, "csv", "long"))
+
+
+def weather_text_zip(spark: SparkSession, folder: str) -> DataFrame:
+    """Parquet weather with the postcode as text, some of it malformed."""
+    path = fresh_path(spark, "weather")
+    zip_text = F.col("Zip").cast("string")
+    weather = standin.temperature(spark, folder)
+    write_table(weather.withColumn("Zip", F.when(F.dayofmonth("Date") == 13, F.concat(zip_text, F.lit("x"))).otherwise(zip_text)), path)
+    return rounded(daily_exposure(prepare_weather(read_weather(spark, path))), ["exposure"])
+
+
+def _stored_inputs(spark: SparkSession, folder: str, family: str) -> tuple[str, str]:
+    births, weather = fresh_path(spark, "births"), fresh_path(spark, "weather")
+    write_table(standin.births(spark, folder), births)
+    write_table(standin.weather(spark, folder, family), weather)
+    return births, weather
+
+
+def window_files(spark: SparkSession, folder: str, family: str) -> DataFrame:
+    """From Parquet files to the five CSV files of a family, read back."""
+    output = fresh_path(spark, "counts")
+    paths = write_extreme_day_counts(spark, *_stored_inputs(spark, folder, family), output, family)
+    counts = ", ".join(f"{n} long" for n in FLAGS[family].values())
+    parts = []
+    for window, path in zip(WINDOWS.values(), paths):
+        schema = f"ZIP int, ADMD date, RFA_ID long, {window.start_label} date, End date, Number int, {counts}"
+        part = spark.read.csv(path, header=True, schema=schema).withColumnRenamed(window.start_label, "start")
+        parts.append(part.withColumn("window", F.lit(window.name)))
+    return stack_tables(parts)
+
+
+def counts_by_window_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All windows in one CSV dataset divided by window, read back."""
+    births, weather = standin.births(spark, folder), standin.weather(spark, folder)
+    path = write_counts_by_window(extreme_day_counts(births, weather, "Hot"), fresh_path(spark, "counts"))
+    counts = ", ".join(f"{n} long" for n in FLAGS["Hot"].values())
+    schema = f"ZIP int, ADMD date, RFA_ID long, start date, End date, Number int, {counts}, window string"
+    return spark.read.csv(path, header=True, schema=schema)
+
+
 # -- days and exposure -------------------------------------------------------
 
 
@@ -201,10 +256,16 @@ def day_spine_summary(spark: SparkSession, folder: str) -> DataFrame:
             F.min("date").alias("first_date"),
             F.max("date").alias("last_date"),
             F.sum(F.unix_date("date")).alias("sum_of_days"),
+            F.sum(F.unix_date("date") * _mark()).alias("marked_days"),
         )
     )
 
 
+def _mark() -> Column:
+    """A small number that tells births apart: sums weighted by it change if two births swap their values."""
+    return F.col("RFA_ID") % 97
+
+
 def _by_day(days: DataFrame) -> DataFrame:
     summed = days.groupBy("location", "day_idx").agg(
         F.count("*").alias("n_births"),
@@ -212,8 +273,9 @@ def _by_day(days: DataFrame) -> DataFrame:
         F.sum("exposure").alias("sum_exposure"),
         F.min("exposure").alias("min_exposure"),
         F.max("exposure").alias("max_exposure"),
+        F.sum(F.col("exposure") * _mark()).alias("marked_exposure"),
     )
-    return rounded(rounded(summed, ["min_exposure", "max_exposure"]), ["sum_exposure"], 2)
+    return rounded(rounded(summed, ["min_exposure", "max_exposure"]), ["sum_exposure", "marked_exposure"], 2)
 
 
 def day_exposure_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,13 +283,13 @@ def day_exposure_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attached_exposure_summary(spark: SparkSession, folder: str) -> DataFrame:
-    days = day_spine(_cohort(spark, folder), 1, 91)
+    days = day_spine(_cohort(spark, folder))
     return _by_day(attach_exposure(days, exposure_blocks(_temperature(spark, folder))))
 
 
 def day_exposure_padded(spark: SparkSession, folder: str) -> DataFrame:
     births = _cohort(spark, folder)
-    longest = longest_span(births).first()["max_days"]
+    longest = longest_span(births).first()["max_days"] or 0
     return (
         padded_dates(births, longest)
         .select("location", F.posexplode("dates").alias("position", "date"))
@@ -257,12 +319,12 @@ def exposure_calculation(spark: SparkSession, folder: str) -> DataFrame:
 def exposure_of_other_column(spark: SparkSession, folder: str) -> DataFrame:
     """Any numeric weather column can be the exposure, here a flag."""
     weather = prepare_weather(standin.weather(spark, folder), "Heatwave_days")
-    return _by_day(day_exposure(_cohort(spark, folder), exposure_blocks(weather), 92, 182))
+    return _by_day(day_exposure(_cohort(spark, folder), exposure_blocks(weather)))
 
 
 def _wide(spark: SparkSession, folder: str, **options) -> DataFrame:
     births = _cohort(spark, folder)
-    n_days = longest_span(births).first()["max_days"]
+    n_days = longest_span(births).first()["max_days"] or 0
     return exposure_wide(births, exposure_blocks(_temperature(spark, folder), **options), n_days)
 
 
@@ -270,6 +332,18 @@ def wide_query(spark: SparkSession, folder: str) -> DataFrame:
     return _wide(spark, folder)
 
 
+def wide_file(spark: SparkSession, folder: str, exposure_col: str = "TAVG") -> DataFrame:
+    """The wide exposure table from files to a file, read back."""
+    births, weather = _stored_inputs(spark, folder, "Hot")
+    if exposure_col not in WEATHER["Hot"].names:
+        other = fresh_path(spark, "weather")
+        write_table(spark.read.parquet(weather).withColumn(exposure_col, F.col("TAVG") * 2), other)
+        weather = other
+    output = fresh_path(spark, "wide")
+    write_exposure_wide(spark, births, weather, output, exposure_col)
+    return spark.read.parquet(output)
+
+
 def wide_trimester1(spark: SparkSession, folder: str) -> DataFrame:
     """A run of day columns chosen by name, behind the postcode."""
     wide = _wide(spark, folder)
@@ -293,20 +367,22 @@ def wide_missing_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pivoted_days(spark: SparkSession, folder: str) -> DataFrame:
-    days = day_exposure(_cohort(spark, folder), exposure_blocks(_temperature(spark, folder)), 1, 14)
-    return pivot_days(days, ["location", "RFA_ID", "admd", "pre", "tr3_end"], 1, 14)
+    births = _cohort(spark, folder)
+    days = day_exposure(births, exposure_blocks(_temperature(spark, folder)))
+    last = longest_span(births).first()["max_days"] or 0
+    return pivot_days(days, ["location", "RFA_ID", "admd", "pre", "tr3_end"], 1, last)
 
 
 def unpivoted_days(spark: SparkSession, folder: str) -> DataFrame:
-    births = _cohort(spark, folder)
-    wide = exposure_wide(births, exposure_blocks(_temperature(spark, folder)), 182, first=92)
+    wide = _wide(spark, folder)
     return (
-        unpivot_days(wide, ["location", "RFA_ID"])
+        unpivot_days(wide.drop("admd", "pre", "tr3_end"), ["location", "RFA_ID"])
         .groupBy("location", "name")
         .agg(
             F.count("*").alias("n_births"),
             F.count("value").alias("n_exposed"),
             settled(F.sum("value"), 2).alias("sum_value"),
+            settled(F.sum(F.col("value") * _mark()), 2).alias("marked_value"),
         )
     )
 
@@ -322,25 +398,40 @@ def nested_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return nested.select("location", "piece", F.size("data").cast("long").alias("n_births"))
 
 
-def grouped_map_mean(spark: SparkSession, folder: str) -> DataFrame:
-    """A pandas function per postcode; sums of the pieces are put together after it."""
-
-    def totals(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        return pd.DataFrame(
-            {
-                "location": [first["location"]],
-                "total": [rows["n_days"].sum()],
-                "births": [len(rows)],
-            }
-        )
-
-    births = _cohort(spark, folder).select("location", "RFA_ID", "n_days")
-    pieces = map_groups(births, "location", ["RFA_ID"], totals, "location int, total long, births long", rows=1000)
-    summed = pieces.groupBy("location").agg(
-        F.sum("births").alias("births"), (F.sum("total") / F.sum("births")).alias("mean_days")
+def grouped_map_streaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest run of days on which the temperature rose, per postcode, by a pandas function on its ordered days.
+
+    Of a piece one has to know its ends and the runs that touch them; runs across pieces are
+    then put together. A missing day ends a run.
+    """
+
+    def runs(days: pd.DataFrame) -> pd.DataFrame:
+        values = days["exposure"].to_numpy()
+        rises = (values[1:] > values[:-1]) & (days["day"].diff().to_numpy()[1:] == 1)
+        longest = now = head = 0
+        for i, rise in enumerate(rises, 1):
+            now = now + 1 if rise else 0
+            longest, head = max(longest, now), now if now == i else head
+        ends = {"first_day": days["day"].iloc[0], "last_day": days["day"].iloc[-1], "first": values[0], "last": values[-1]}
+        return pd.DataFrame([{**ends, "n": len(values), "head": head, "tail": now, "longest": longest}])
+
+    def joined(pieces: pd.DataFrame) -> pd.DataFrame:
+        longest = now = 0
+        before = None
+        for piece in pieces.itertuples():
+            meets = before is not None and piece.first_day == before.last_day + 1 and piece.first > before.last
+            now = now + 1 if meets else 0
+            longest = max(longest, piece.longest, now + piece.head)
+            now = now + piece.tail if piece.tail == piece.n - 1 else piece.tail
+            before = piece
+        days = int(pieces["n"].sum())
+        return pd.DataFrame([{"location": pieces["location"].iloc[0], "n_days": days, "longest_rise": longest}])
+
+    days = _temperature(spark, folder).where("exposure IS NOT NULL").select("location", F.unix_date("date").alias("day"), "exposure")
+    partial_schema = "first_day int, last_day int, first double, last double, n long, head long, tail long, longest long"
+    return map_groups(
+        days, "location", ["day"], runs, partial_schema, joined, "location int, n_days long, longest_rise long", rows=1000
     )
-    return rounded(summed, ["mean_days"])
 
 
 # -- percentiles and bands ---------------------------------------------------
@@ -353,15 +444,38 @@ def percentiles_query(spark: SparkSession, folder: str, method: str = "auto") ->
 
 def _dataset(spark: SparkSession, folder: str) -> DataFrame:
     births = _cohort(spark, folder)
-    n_days = longest_span(births).first()["max_days"]
-    percentiles = written(location_percentiles(_temperature(spark, folder, bounds=None)), "percentiles")
-    return percentile_dataset(births, exposure_blocks(_temperature(spark, folder)), percentiles, n_days)
+    n_days = longest_span(births).first()["max_days"] or 0
+    weather = written(_temperature(spark, folder, bounds=None), "weather")
+    percentiles = written(location_percentiles(weather), "percentiles")
+    blocks = exposure_blocks(open_range(weather, "location", POSTCODE_BOUNDS))
+    return percentile_dataset(births, blocks, percentiles, n_days)
 
 
 def dataset_query(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_dataset(spark, folder), PERCENTILES)
 
 
+def _stored_dataset(spark: SparkSession, folder: str) -> str:
+    path = fresh_path(spark, "dataset")
+    write_percentile_dataset(spark, *_stored_inputs(spark, folder, "Hot"), path)
+    return path
+
+
+def dataset_partitioned(spark: SparkSession, folder: str) -> DataFrame:
+    """The percentile dataset written by postcode, read back."""
+    return rounded(spark.read.parquet(_stored_dataset(spark, folder)).drop("zip_part"), PERCENTILES)
+
+
+def bands_from_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Band means of one postcode from its directory of the stored dataset and a chosen range of its columns."""
+    dataset = read_location(spark, _stored_dataset(spark, folder), 29401)
+    keys = ["location", "RFA_ID", "Identifier"]
+    days = between_columns(dataset, "Day_1", "Day_91")
+    long = unpivot_days(dataset.select(*keys, *days), keys).withColumnRenamed("value", "exposure")
+    means = band_means_of_days(long, thresholds(dataset), keys, len(days))
+    return rounded(means.select("RFA_ID", "location", *BANDS, "Identifier"), BANDS)
+
+
 def thresholds_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(thresholds(_dataset(spark, folder)), PERCENTILES)
 
@@ -377,7 +491,7 @@ def bands_from_wide(spark: SparkSession, folder: str) -> DataFrame:
     write_table(_dataset(spark, folder), path)
     dataset = spark.read.parquet(path)
     keys = ["location", "RFA_ID", "Identifier"]
-    days = between_columns(dataset, "Day_1", "Day_14")
+    days = between_columns(dataset, "Day_1", "Day_91")
     long = unpivot_days(dataset.select(*keys, *days), keys).withColumnRenamed("value", "exposure")
     means = band_means_of_days(long, thresholds(dataset), keys, len(days))
     return rounded(means.select("RFA_ID", "location", *BANDS, "Identifier"), BANDS)
@@ -409,6 +523,8 @@ QUERIES: dict[str, Query] = {
     "births_clean": _births,
     "births_clean_text": births_clean_text,
     "births_from_csv": births_from_csv,
+    "births_from_csv_dates": births_from_csv_dates,
+    "weather_text_zip": weather_text_zip,
     "weather_clean": daily_weather,
     "gestation_dates": _dated,
     "gestation_dates_text": gestation_dates_text,
@@ -442,6 +558,9 @@ QUERIES: dict[str, Query] = {
     "hot_counts_ordinal": partial(counts_ordinal, family="Hot"),
     "cold_counts_ordinal": partial(counts_ordinal, family="Cold"),
     "csv_roundtrip": csv_roundtrip,
+    "hot_window_files": partial(window_files, family="Hot"),
+    "cold_window_files": partial(window_files, family="Cold"),
+    "hot_counts_by_window": counts_by_window_files,
     "day_spine": day_spine_summary,
     "day_exposure": day_exposure_summary,
     "day_exposure_attached": attached_exposure_summary,
@@ -449,16 +568,20 @@ QUERIES: dict[str, Query] = {
     "exposure_calculation": exposure_calculation,
     "exposure_of_flag": exposure_of_other_column,
     "exposure_wide": wide_query,
+    "exposure_wide_file": wide_file,
+    "exposure_wide_other_column": partial(wide_file, exposure_col="TDOUBLE"),
     "exposure_wide_trimester1": wide_trimester1,
     "exposure_wide_missing": wide_missing_days,
-    "exposure_wide_14": pivoted_days,
+    "exposure_pivot": pivoted_days,
     "exposure_unpivot": unpivoted_days,
     "nested_by_location": nested_by_location,
     "nested_sizes": nested_sizes,
-    "grouped_map_mean": grouped_map_mean,
+    "grouped_map_streaks": grouped_map_streaks,
     "location_percentiles": percentiles_query,
     "location_percentiles_sorted": partial(percentiles_query, method="sorted"),
     "percentile_dataset": dataset_query,
+    "percentile_dataset_partitioned": dataset_partitioned,
+    "band_means_from_partition": bands_from_partition,
     "thresholds_distinct": thresholds_distinct,
     "band_means_pre": partial(bands_query, first=1, last=91),
     "band_means_tr2": partial(bands_query, first=183, last=273),

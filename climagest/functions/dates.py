@@ -16,11 +16,25 @@ def day_number_to_date(number: Column, origin: str = DAY_ZERO) -> Column:
 
 
 def admission_date(births: DataFrame, column: str = "ADMD") -> Column:
-    """Delivery date from a day number, or from a column that is a date already."""
+    """Delivery date from a day number or a date, stored as such or as text.
+
+    Text that is neither a number nor a date is an error; empty text and ``NA`` are missing.
+    """
     stored = births.schema[column].dataType
     if isinstance(stored, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.col(column).cast("date")
-    return day_number_to_date(number_column(births, column))
+    from_number = day_number_to_date(number_column(births, column))
+    if not isinstance(stored, T.StringType):
+        return from_number
+    return F.coalesce(from_number, text_date(column))
+
+
+def text_date(column: str) -> Column:
+    """Date held by a text; one that holds something else is an error, not a missing date."""
+    text = F.trim(column)
+    wrong = F.concat(F.lit(f"{column} is not a date: "), text)
+    empty = text.isNull() | text.isin("", "NA")
+    return F.when(~empty, F.coalesce(text.try_cast("date"), F.raise_error(wrong).cast("date")))
 
 
 def gestation_days(weeks: Column) -> Column:

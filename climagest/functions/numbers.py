@@ -41,11 +41,11 @@ def number_column(df: DataFrame, name: str) -> Column:
 
 
 def whole_column(df: DataFrame, name: str) -> Column:
-    """``to_whole``, but a column stored as int is used as it is.
-
-    A filter on a bare column reaches the Parquet reader; one on a parsed text does not.
-    """
+    """``to_whole``, without going through text where the column holds numbers."""
     stored = df.schema[name].dataType
     if isinstance(stored, (T.ByteType, T.ShortType, T.IntegerType)):
         return F.col(name)
+    if isinstance(stored, T.NumericType):
+        value = F.col(name).cast("double")
+        return F.when(value == F.floor(value), value).try_cast("int")
     return to_whole(name)

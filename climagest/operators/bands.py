@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climagest.operators.blocks import (
-    BROADCAST_BYTES,
     Blocks,
     exposure_on,
     fold_exposure,
     fold_running_totals,
     totals_between,
 )
+from climagest.operators.filters import open_range
 from climagest.operators.numbering import number_rows
 from climagest.operators.weather import daily_exposure, location_percentiles
 from climagest.operators.wide import WIDE_KEYS, exposure_wide
@@ -27,6 +27,8 @@ DATASET_ORDER = ("location", "RFA_ID", "admd", "pre")
 # missing. Inner bands are closed on both sides, so that a value on an edge
 # counts in both neighbours, and they ignore missing days.
 OUTER_BANDS = ("mean_below_5th", "mean_above_95th")
+# Counts of infinite values share a total: positive ones count 1, negative ones this much.
+NEGATIVE = 1 << 26
 BANDS = {
     "mean_below_5th": "exposure < percentile_05",
     "mean_5th_to_10th": "exposure >= percentile_05 AND exposure <= percentile_10",
@@ -57,23 +59,25 @@ def thresholds(dataset: DataFrame) -> DataFrame:
 
 
 def fold_bands(
-    weather: DataFrame, percentiles: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    weather: DataFrame, percentiles: DataFrame, broadcast_bytes: int | None = None
 ) -> Blocks:
     """Running sums and counts per band over the days of each postcode.
 
     ``weather``: location, date, exposure. The difference of two running sums of
     doubles would carry the rounding of the whole history. Each value is therefore
     cut in two: a multiple of a power of two ("unit") coarse enough that sums of
-    such multiples are exact, and a tiny rest.
+    such multiples are exact, and a tiny rest. Infinite values stay out of the sums and are
+    counted by band, so that they touch only the ranges that hold one.
     """
     days = written(daily_exposure(weather).where("exposure IS NOT NULL"), "daily")
-    largest_sum = F.max(F.abs("exposure")) * F.count("*")
+    finite = F.abs("exposure") < float("inf")
+    largest_sum = F.max(F.when(finite, F.abs("exposure"))) * F.count("*")
     scale = days.groupBy("location").agg(F.ceil(F.log2(F.greatest(largest_sum, F.lit(1e-300)))).alias("_power"))
     per_location = small(percentiles.join(scale, "location"))
     daily = written(
         days.join(per_location, "location")
         .withColumn("_unit", F.pow(F.lit(2.0), F.col("_power") - 52))
-        .withColumn("_coarse", F.rint(F.col("exposure") / F.col("_unit")) * F.col("_unit"))
+        .withColumn("_coarse", F.when(finite, F.rint(F.col("exposure") / F.col("_unit")) * F.col("_unit")))
         .select(
             "location",
             "date",
@@ -90,6 +94,7 @@ def fold_bands(
         totals[f"{name}_n"] = F.when(inside, 1)
         totals[f"{name}_coarse"] = F.when(inside, F.col("_coarse"))
         totals[f"{name}_rest"] = F.when(inside, F.col("_rest"))
+        totals[f"{name}_odd"] = F.when(inside & ~finite, F.when(F.col("exposure") > 0, 1).otherwise(NEGATIVE))
     return fold_running_totals(daily, totals, counts=False, exposure=True, broadcast_bytes=broadcast_bytes)
 
 
@@ -117,7 +122,10 @@ def band_means(
     empty_mean = "double('NaN')" if empty == "nan" else "double(NULL)"
     means = []
     for name in BANDS:
-        mean = f"if({name}_n > 0, ({name}_coarse + {name}_rest) / {name}_n, {empty_mean})"
+        odd = f"""CASE WHEN {name}_odd = 0 THEN ({name}_coarse + {name}_rest) / {name}_n
+            WHEN {name}_odd < {NEGATIVE} THEN double('Infinity')
+            WHEN {name}_odd % {NEGATIVE} = 0 THEN double('-Infinity') ELSE double('NaN') END"""
+        mean = f"if({name}_n > 0, {odd}, {empty_mean})"
         if name in OUTER_BANDS:
             mean = f"if(days = {last - first + 1}, {mean}, NULL)"
         means.append(f"{mean} AS {name}")
@@ -140,12 +148,20 @@ def band_means_of_days(
     return long.join(small(percentiles), "location", "left").groupBy(*keys).agg(*means)
 
 
-def prepared_bands(weather: DataFrame, all_weather: DataFrame | None = None, **options) -> Blocks:
+def prepared_bands(
+    weather: DataFrame,
+    all_weather: DataFrame | None = None,
+    bounds: tuple[int, int] | None = None,
+    **options,
+) -> Blocks:
     """``fold_bands`` with the percentiles of the same weather.
 
-    Percentiles are taken over ``all_weather`` where it is given, e.g. without
-    the postcode bounds.
+    Percentiles are taken over ``all_weather`` where it is given. With ``bounds``, ``weather`` comes without
+    postcode bounds and is read once: percentiles are taken over all of it, bands within the bounds.
     """
+    if bounds:
+        all_weather = written(weather, "weather")
+        weather = open_range(all_weather, "location", bounds)
     percentiles = location_percentiles(weather if all_weather is None else all_weather)
     return fold_bands(weather, written(percentiles, "percentiles"), **options)
 

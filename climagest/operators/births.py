@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from climagest.functions.dates import admission_date, before_delivery, gestation_days, inclusive_days
 from climagest.functions.numbers import number_column, whole_column
-from climagest.operators.filters import open_range
+from climagest.operators.filters import open_range, pruned
 from climagest.schema import MAX_SPAN_DAYS, POSTCODE_BOUNDS
 
 
 def prepare_births(births: DataFrame, bounds: tuple[int, int] | None = POSTCODE_BOUNDS) -> DataFrame:
     """RFA_ID, location, admd (date) and gest (weeks) of births inside the postcode bounds."""
-    clean = births.select(
+    clean = pruned(births, "ZIP", bounds).select(
         "RFA_ID",
         whole_column(births, "ZIP").alias("location"),
         admission_date(births).alias("admd"),

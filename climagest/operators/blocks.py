@@ -12,20 +12,19 @@ with every day of the interval.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from climagest.sources.shared import SMALL_ROWS, written
+from climagest.sources.shared import SMALL_ROWS, broadcast_limit, written
 
 _BLOCK_BITS = 5
 BLOCK_DAYS = 1 << _BLOCK_BITS
 
 REACH = 4  # blocks per row of folded exposure
 
-BROADCAST_BYTES = 512 * 1024 * 1024
 SALTS = 16
 _MAX_INT = 2**31 - 1
 # More subtractions than this in one expression list make a generated method of
@@ -90,14 +89,14 @@ def _size(daily: DataFrame, weight: Column) -> _Size:
 
 
 def _folded(
-    frame: DataFrame, spans: DataFrame, names: tuple[str, ...], size: _Size, row_bytes: int, limit: int, reach: int = 1
+    frame: DataFrame, spans: DataFrame, names: tuple[str, ...], size: _Size, row_bytes: int, limit: int | None, reach: int = 1
 ) -> Blocks:
     few = size.locations <= SMALL_ROWS
-    fits = size.blocks * row_bytes <= limit
+    fits = size.blocks * row_bytes <= (broadcast_limit(frame.sparkSession) if limit is None else limit)
     return Blocks(written(frame, "blocks"), F.broadcast(spans) if few else spans, names, few, fits, reach)
 
 
-def fold_exposure(daily: DataFrame, reach: int = REACH, broadcast_bytes: int = BROADCAST_BYTES) -> Blocks:
+def fold_exposure(daily: DataFrame, reach: int = REACH, broadcast_bytes: int | None = None) -> Blocks:
     """Fold location, date, exposure (unique days); a missing day is null in its array.
 
     Every row holds ``reach`` blocks, its own and the following ones, so that a
@@ -135,7 +134,7 @@ def fold_running_totals(
     totals: Mapping[str, Column],
     counts: bool = True,
     exposure: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> Blocks:
     """Fold running totals over the days of each postcode.
 
@@ -208,6 +207,20 @@ def exposure_on(df: DataFrame, blocks: Blocks, date: str, name: str = "exposure"
     return found.select(*df.columns, F.get("_values", place_in_block(F.col(date))).alias(name))
 
 
+def totals_at(df: DataFrame, blocks: Blocks, dates: Sequence[str], key: str = "location") -> DataFrame:
+    """Add ``_at_<column>`` for each date column: the totals of all names before that day, null before the first block.
+
+    Needs ``last_day`` of the postcode in ``df``; beyond it nothing is added any more. It and nothing else is dropped.
+    """
+    rows, width, kept = df, len(blocks.names), [c for c in df.columns if c != "last_day"]
+    for date in dates:
+        day = F.least(date, F.date_add("last_day", 1))
+        rows = join_blocks(rows, blocks, key, block_of(day), {"totals": "_totals"})
+        found = F.slice("_totals", place_in_block(day) * width + 1, F.lit(width))
+        rows = rows.select(*[c for c in rows.columns if c != "_totals"], found.alias(f"_at_{date}"))
+    return rows.select(*kept, *(f"_at_{date}" for date in dates))
+
+
 def totals_between(
     df: DataFrame, blocks: Blocks, start: Column, stop: Column, key: str = "location"
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +25,20 @@ def numbered_locations(births: DataFrame, locations: DataFrame, few: bool) -> Da
     return F.broadcast(numbers) if few else numbers
 
 
-def in_windows(births: DataFrame, windows: Sequence[Window]) -> DataFrame:
+def in_windows(
+    births: DataFrame, windows: Sequence[Window], more: Callable[[Window], Mapping[str, str]] = lambda window: {}
+) -> DataFrame:
     """One row per birth and window it belongs to, from a single pass over the births.
 
-    ``stop`` is the day after ``End``.
+    ``stop`` is the day after ``End``. ``more`` names further columns (name -> expression) of a window.
     """
     structs = ", ".join(
-        f"struct('{w.name}' AS window, {w.start} AS start, {w.stop or 'date_add(admd, 1)'} AS stop, {w.keep} AS _keep)"
+        f"struct('{w.name}' AS window, {w.start} AS start, {w.stop or 'date_add(admd, 1)'} AS stop, {w.keep} AS _keep"
+        + "".join(f", {expression} AS {name}" for name, expression in more(w).items())
+        + ")"
         for w in windows
     )
+    further = list(more(windows[0])) if windows else []
     return (
         births.selectExpr("location", "admd", "RFA_ID", "Number", f"inline(array({structs}))")
         .where("_keep")
@@ -47,6 +52,7 @@ def in_windows(births: DataFrame, windows: Sequence[Window]) -> DataFrame:
             "date_sub(stop, 1) AS End",
             "Number",
             "stop",
+            *further,
         )
     )
 

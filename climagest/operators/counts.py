@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from climagest.functions.dates import day_sequence
 from climagest.operators.blocks import (
-    BROADCAST_BYTES,
     Blocks,
     block_of,
     fold_running_totals,
-    totals_between,
+    totals_at,
 )
 from climagest.operators.cohort import COHORT_COLUMNS, in_windows, numbered_locations
-from climagest.operators.numbering import number_values
+from climagest.operators.numbering import number_rows
 from climagest.operators.weather import daily_flag_counts
 from climagest.schema import WINDOWS
 from climagest.sources.shared import SMALL_ROWS, has_at_most, written
@@ -40,7 +39,7 @@ def flag_days(
     weather: DataFrame,
     flags: Mapping[str, str],
     align: str = "postcode",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> FlagDays:
     """Fold the flags of ``weather`` (from ``prepare_weather``).
 
@@ -61,17 +60,23 @@ def window_counts(
 ) -> DataFrame:
     """Ten counts per birth and window.
 
-    The running totals are looked up at both ends of the window and subtracted.
-    With broadcast blocks the births are neither shuffled nor expanded by day.
+    Windows share their ends, so the running totals are looked up at most five times per birth (at
+    the start of each part of the pregnancy and the day after delivery), subtracted, and only then
+    laid out by window. With broadcast blocks the births are neither shuffled nor expanded by day.
     """
     blocks = days.blocks
     locations = days.daily.select("location").distinct()
     numbers = numbered_locations(births, locations, blocks.few)
-    rows = in_windows(births.join(numbers, "location"), [WINDOWS[name] for name in windows])
-    key = "Number" if days.ordinal else "ZIP"
+    chosen = [WINDOWS[name] for name in windows]
+    key = "Number" if days.ordinal else "location"
     spans = blocks.spans.select(F.col("location").alias(key), "last_day")
-    counted = totals_between(rows.join(spans, key, "left"), blocks, F.col("start"), F.col("stop"), key)
-    return counted.select("window", *COHORT_COLUMNS, *(F.col(n).cast("long").alias(n) for n in blocks.names))
+    ends = list(dict.fromkeys(end for w in chosen for end in (w.start, w.stop or "_after")))
+    rows = births.join(numbers, "location").withColumn("_after", F.date_add("admd", 1)).join(spans, key, "left")
+    rows = totals_at(rows, blocks, ends, key)
+    looked_up = lambda w: {"_from": f"_at_{w.start}", "_to": f"_at_{w.stop or '_after'}"}
+    laid_out = in_windows(rows, chosen, looked_up)
+    counts = (f"CAST(coalesce(_to[{k}], 0) - coalesce(_from[{k}], 0) AS BIGINT) AS {n}" for k, n in enumerate(blocks.names))
+    return laid_out.selectExpr("window", *COHORT_COLUMNS, *counts)
 
 
 def window_counts_by_join(cohort: DataFrame, days: FlagDays, method: str = "bucketed") -> DataFrame:
@@ -114,10 +119,8 @@ def _by_run_id(daily: DataFrame, names: Sequence[str]) -> DataFrame:
     long = daily.unpivot(["location", "date"], list(names), "flag", "n").where("n > 0")
     seen = long.select("flag", "location").distinct()
     few = has_at_most(seen, SMALL_ROWS)
-    numbered = None
-    for name in names:
-        one = number_values(seen.where(F.col("flag") == name), "location", few=few).withColumn("flag", F.lit(name))
-        numbered = one if numbered is None else numbered.unionByName(one)
+    numbered = number_rows(written(seen, "flag-locations"), ["location"], within=["flag"], name="Number")
+    numbered = numbered.withColumn("Number", F.col("Number").cast("int"))
     return (
         long.join(F.broadcast(numbered) if few else numbered, ["flag", "location"])
         .groupBy(F.col("Number").alias("location"), "date")

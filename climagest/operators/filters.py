@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from climagest.functions.columns import containing
 from climagest.sources.shared import small
@@ -14,6 +15,13 @@ def open_range(df: DataFrame, column: str, bounds: tuple[int, int]) -> DataFrame
     return df.where((F.col(column) > low) & (F.col(column) < high))
 
 
+def pruned(df: DataFrame, column: str, bounds: tuple[int, int] | None) -> DataFrame:
+    """``open_range`` on a column as it is stored, if it holds numbers; only such a filter reaches the file reader."""
+    if bounds and isinstance(df.schema[column].dataType, NumericType):
+        return open_range(df, column, bounds)
+    return df
+
+
 def flagged_days(weather: DataFrame, flag: str) -> DataFrame:
     """Days of each postcode on which ``flag`` is set."""
     return weather.where(F.col(flag) == 1).select("date", flag, "location")

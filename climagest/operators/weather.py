@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climagest.functions.numbers import drop_nan, whole_column
-from climagest.operators.filters import open_range
+from climagest.operators.filters import open_range, pruned
 from climagest.operators.numbering import placed_in_order, totals_before
 from climagest.schema import PERCENTILES, POSTCODE_BOUNDS
 from climagest.sources.shared import small
@@ -32,7 +32,7 @@ def prepare_weather(
     if exposure_col is not None:
         columns.append(drop_nan(exposure_col).alias("exposure"))
     columns += [F.col(flag) for flag in flags]
-    clean = weather.select(*columns)
+    clean = pruned(weather, "Zip", bounds).select(*columns)
     return open_range(clean, "location", bounds) if bounds else clean
 
 
@@ -124,7 +124,7 @@ def _percentiles_by_sort(weather: DataFrame, percentiles: Mapping[str, float]) -
         .withColumn("last_rank", F.col("_before") + F.sum("copies").over(within) - 1)
         .withColumn("first_rank", F.col("last_rank") - F.col("copies") + 1)
     )
-    sizes = small(values.groupBy("location").agg(F.sum("copies").alias("n")))
+    sizes = small(placed.groupBy("location").agg(F.sum("copies").alias("n")))
     ranked = ranked.join(sizes, "location")
 
     def value_at(rank: Column) -> Column:

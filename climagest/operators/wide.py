@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from climagest.functions.columns import day_names, named_like
 from climagest.operators.blocks import BLOCK_DAYS, Blocks, block_of, join_blocks, place_in_block
 from climagest.operators.numbering import number_rows
 
 WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
-GROUP_ROWS = 100_000
 
 
 def exposure_wide(
@@ -77,23 +78,24 @@ def unpivot_days(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.unpivot(list(keys), named_like(wide, "Day_"), "name", "value")
 
 
-def split_groups(df: DataFrame, key: str, order_by: Sequence[str], rows: int = GROUP_ROWS) -> DataFrame:
+def split_groups(df: DataFrame, key: str, order_by: Sequence[str], rows: int) -> DataFrame:
     """Add ``piece``: consecutive rows of a group share it, at most ``rows`` of them."""
     numbered = number_rows(df, order_by, within=[key], name="_row")
-    return numbered.withColumn("piece", F.floor((F.col("_row") - 1) / rows).cast("int")).drop("_row")
+    return numbered.withColumn("piece", F.floor((F.col("_row") - 1) / rows).cast("int"))
 
 
-def nest(df: DataFrame, key: str, order_by: Sequence[str], rows: int = GROUP_ROWS) -> DataFrame:
-    """Rows of each group as arrays of structs under ``data``.
+def nest(df: DataFrame, key: str, order_by: Sequence[str], rows: int) -> DataFrame:
+    """Rows of each group as arrays of structs under ``data``, in the order of ``order_by``.
 
-    A group longer than ``rows`` becomes several pieces, since one array per
-    group would have to fit one task however large the group.
+    An array has to fit one task, so the caller states how many rows it may hold. A group
+    is laid out in arrays of ``rows`` rows, numbered by ``piece`` from 0; only the last may be shorter.
     """
     inner = [c for c in df.columns if c != key]
+    ordered = F.array_sort(F.collect_list(F.struct("_row", F.struct(*inner).alias("_data"))))
     return (
         split_groups(df, key, order_by, rows)
         .groupBy(key, "piece")
-        .agg(F.collect_list(F.struct(*inner)).alias("data"))
+        .agg(ordered.getField("_data").alias("data"))
     )
 
 
@@ -114,12 +116,30 @@ def stack_tables(tables: Iterable[DataFrame]) -> DataFrame:
 
 
 def map_groups(
-    df: DataFrame, key: str, order_by: Sequence[str], function: Callable, schema: str, rows: int = GROUP_ROWS
+    df: DataFrame,
+    key: str,
+    order_by: Sequence[str],
+    partial: Callable,
+    partial_schema: str,
+    merge: Callable,
+    schema: str,
+    rows: int = 100_000,
 ) -> DataFrame:
-    """Run a pandas function on the rows of each group, in pieces of at most ``rows``.
+    """A calculation on the ordered rows of each group that built-in functions cannot express.
 
-    For a user's own calculation that built-in functions cannot express. It gets
-    one pandas frame with the columns of ``df`` and ``piece``; a result that spans
-    the pieces of a group has to be combined afterwards.
+    ``partial`` gets consecutive rows of a group as a pandas frame, at most ``rows`` at a time, and
+    gives what has to be known of them (``partial_schema``). ``merge`` gets all that ``partial`` gave for
+    a group, in order and with its ``piece``, and gives the group's result (``schema``, with ``key``). No task
+    holds the rows of a whole group, and if ``merge`` puts pieces together correctly the result is
+    the same for every ``rows``, so each group has one result whatever its size.
     """
-    return split_groups(df, key, order_by, rows).groupBy(key, "piece").applyInPandas(function, schema)
+    pieces = split_groups(df, key, order_by, rows).drop("_row")
+
+    def one(rows_of_piece: pd.DataFrame) -> pd.DataFrame:
+        place = rows_of_piece[[key, "piece"]].iloc[0]
+        return partial(rows_of_piece.drop(columns="piece")).assign(**{key: place[key], "piece": place["piece"]})
+
+    fields = StructType.fromDDL(partial_schema)
+    known = StructType([pieces.schema[key], pieces.schema["piece"], *(f for f in fields if f.name != key)])
+    partials = pieces.groupBy(key, "piece").applyInPandas(lambda p: one(p)[known.names], known)
+    return partials.groupBy(key).applyInPandas(lambda p: merge(p.sort_values("piece")), schema)

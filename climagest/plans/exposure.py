@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from climagest.operators.bands import band_means, exposure_blocks, percentile_dataset, prepared_bands
 from climagest.operators.births import exposure_births, longest_span, prepare_births
+from climagest.operators.filters import open_range
 from climagest.operators.numbering import number_rows
 from climagest.operators.spine import day_exposure
 from climagest.operators.weather import location_percentiles, prepare_weather
@@ -37,10 +38,10 @@ def exposure_long(
 def write_exposure_wide(
     spark: SparkSession, births_path: str, weather_path: str, output: str, exposure_col: str = "TAVG"
 ) -> None:
-    """The wide exposure table, with as many Day_ columns as the longest birth needs."""
+    """The wide exposure table, with as many Day_ columns as the longest birth needs; none for an empty cohort."""
     cohort = exposure_births(prepare_births(read_births(spark, births_path)))
-    blocks = exposure_blocks(prepare_weather(read_weather(spark, weather_path), exposure_col))
-    n_days = longest_span(cohort).first()["max_days"]
+    blocks = exposure_blocks(prepare_weather(read_weather(spark, weather_path, exposure_col=exposure_col), exposure_col))
+    n_days = longest_span(cohort).first()["max_days"] or 0
     write_table(exposure_wide(cohort, blocks, n_days), output)
 
 
@@ -48,11 +49,12 @@ def write_percentile_dataset(
     spark: SparkSession, births_path: str, weather_path: str, output: str, exposure_col: str = "TAVG"
 ) -> None:
     """Wide exposures with percentiles, one directory per postcode."""
-    raw = read_weather(spark, weather_path)
+    raw = read_weather(spark, weather_path, exposure_col=exposure_col)
+    weather = written(prepare_weather(raw, exposure_col, bounds=None), "weather")
     cohort = exposure_births(prepare_births(read_births(spark, births_path)))
-    blocks = exposure_blocks(prepare_weather(raw, exposure_col))
-    percentiles = written(location_percentiles(prepare_weather(raw, exposure_col, bounds=None)), "percentiles")
-    n_days = longest_span(cohort).first()["max_days"]
+    blocks = exposure_blocks(open_range(weather, "location", POSTCODE_BOUNDS))
+    percentiles = written(location_percentiles(weather), "percentiles")
+    n_days = longest_span(cohort).first()["max_days"] or 0
     write_by_location(percentile_dataset(cohort, blocks, percentiles, n_days), output)
 
 
@@ -66,9 +68,7 @@ def write_band_means(
     exposure_col: str = "TAVG",
 ) -> None:
     """Band means over a range of days, one directory per postcode."""
-    raw = read_weather(spark, weather_path)
+    raw = read_weather(spark, weather_path, exposure_col=exposure_col)
     cohort = exposure_births(prepare_births(read_births(spark, births_path)))
-    bands = prepared_bands(
-        prepare_weather(raw, exposure_col), all_weather=prepare_weather(raw, exposure_col, bounds=None)
-    )
+    bands = prepared_bands(prepare_weather(raw, exposure_col, bounds=None), bounds=POSTCODE_BOUNDS)
     write_by_location(band_means(cohort, bands, first, last), output)

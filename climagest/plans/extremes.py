@@ -11,7 +11,7 @@ from climagest.operators.counts import flag_days, window_counts
 from climagest.operators.weather import prepare_weather
 from climagest.schema import FLAGS, POSTCODE_BOUNDS, WINDOWS
 from climagest.sources.readers import read_births, read_weather
-from climagest.sources.writers import write_window_counts
+from climagest.sources.writers import write_all_window_counts
 
 
 def extreme_day_counts(
@@ -45,12 +45,9 @@ def write_extreme_day_counts(
     family: str = "Hot",
     format: str = "parquet",
 ) -> list[str]:
-    """Read, count and write one CSV dataset per window."""
+    """Read, count all windows in one go and write one CSV dataset per window."""
     flags = FLAGS[family]
     dated = gestation_dates(prepare_births(read_births(spark, births_path, format)))
     weather = prepare_weather(read_weather(spark, weather_path, family, format), None, flags)
     days = flag_days(weather, flags)
-    return [
-        write_window_counts(window_counts(dated, days, [window.name]), folder, family, window)
-        for window in WINDOWS.values()
-    ]
+    return write_all_window_counts(window_counts(dated, days), folder, family, WINDOWS.values())

@@ -6,29 +6,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from climagest.functions.dates import text_date
 from climagest.functions.numbers import to_number, to_whole
 from climagest.schema import WEATHER
 
 ZIP_PART = "zip_part"
 
 
-def read_births(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Births with the columns RFA_ID, ZIP, ADMD and GEST as they are stored."""
+def read_births(spark: SparkSession, path: str, format: str = "parquet", id_type: str | None = None) -> DataFrame:
+    """Births with the columns RFA_ID, ZIP, ADMD and GEST as they are stored.
+
+    CSV gives text; ``id_type`` ("long") casts the record id, so that births are numbered as from Parquet.
+    An id that does not fit is an error.
+    """
     table = _read(spark, path, format)
-    return table.select("RFA_ID", "ZIP", "ADMD", "GEST")
+    record = F.col("RFA_ID").cast(id_type) if id_type else F.col("RFA_ID")
+    return table.select(record.alias("RFA_ID"), "ZIP", "ADMD", "GEST")
 
 
-def read_weather(spark: SparkSession, path: str, family: str = "Hot", format: str = "parquet") -> DataFrame:
-    """Daily weather with the flags of ``family`` ("Hot" or "Cold").
+def read_weather(
+    spark: SparkSession, path: str, family: str = "Hot", format: str = "parquet", exposure_col: str | None = None
+) -> DataFrame:
+    """Daily weather with the flags of ``family`` ("Hot" or "Cold") and any further column wanted as exposure.
 
-    Columns the file lacks are left out: the cold file carries no temperature.
+    Columns the file lacks are left out: the cold file carries no temperature. Text that holds no number is
+    missing; text that holds no date is an error.
     """
     table = _read(spark, path, format)
-    present = {name.lower() for name in table.columns}
-    fields = [f for f in WEATHER[family].fields if f.name.lower() in present]
-    if format == "csv":
-        return table.select(*(_parsed(f).alias(f.name) for f in fields))
-    return table.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+    stored = {field.name.lower(): field.dataType for field in table.schema}
+    fields = [f for f in WEATHER[family].fields if f.name.lower() in stored]
+    if exposure_col and exposure_col.lower() not in {f.name.lower() for f in fields}:
+        fields.append(T.StructField(exposure_col, T.DoubleType()))
+
+    def read(field: T.StructField) -> Column:
+        if isinstance(stored[field.name.lower()], T.StringType):
+            return _parsed(field)
+        if field.name == "Zip":
+            return F.col(field.name)  # as stored, so that a postcode bound reaches the file
+        return F.col(field.name).try_cast(field.dataType)
+
+    return table.select(*(read(f).alias(f.name) for f in fields))
 
 
 def read_location(spark: SparkSession, root: str, location: int) -> DataFrame:
@@ -51,7 +68,7 @@ def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
 
 def _parsed(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.DateType):
-        return F.col(field.name).try_cast("date")
+        return text_date(field.name)
     if isinstance(field.dataType, T.IntegerType):
         return to_whole(field.name)
     return to_number(field.name)

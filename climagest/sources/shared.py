@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,8 @@ SMALL_ROWS = 1_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster a
+    What the cluster names there is taken to be shared, whatever its scheme (a mounted file system has
+    ``file:``). Only a local session may fall back to a temporary folder; on a cluster a
     machine-local folder is not visible to the other machines.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +36,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_OWNED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if (owned := _OWNED.get()) is not None:
+        owned.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables written inside.
+
+    Results read from them have to be written elsewhere inside, too, since DataFrames are lazy.
+    """
+    owned: list[str] = []
+    token = _OWNED.set(owned)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in owned:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes a broadcast may have: ``spark.climagest.broadcastBytes``, else a sixteenth of the driver's memory, 512 MB at most."""
+    named = spark.conf.get("spark.climagest.broadcastBytes", None)
+    if named:
+        return int(named)
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get("spark.driver.memory", "1g").lower()).groups()
+    return min(512 << 20, (int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 20)) // 16)
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
@@ -49,8 +87,8 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` holds no more than ``rows`` rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` holds no more than ``rows`` rows. Counts are combined in each task first."""
+    return df.count() <= rows
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

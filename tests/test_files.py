@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,4 +63,5 @@ def test_exposure_files(spark, files):
     one = sorted(listed)[0]
     part = c.read_location(spark, f"{files}/means", one)
     assert {row["location"] for row in part.collect()} == {one}
-    assert f"(zip_part#{0}".split("#")[0] in part._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", part._jdf.queryExecution().executedPlan().toString())[1]
+    assert f"= {one}" in filters

@@ -16,12 +16,15 @@ import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from climagest.sources.shared import written
+
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 WIDTH = 8
@@ -35,11 +38,20 @@ WORDS = 400_000
 SIGNS = string.punctuation + "…«»“”‘’¡¿"
 
 
-def grams(word: str) -> np.ndarray:
+def grams(word: str) -> list[int]:
     """Buckets of the character n-grams of a word in ``<>`` and of the whole word."""
     word = f"<{word.strip(SIGNS) or word}>"
-    parts = [word[i : i + n] for n in SIZES for i in range(len(word) - n + 1)]
-    return np.array([zlib.crc32(part.encode("utf-8", "replace")) % BUCKETS for part in (*parts, word)], np.int32)
+    if word.isascii():
+        coded = word.encode()
+        found = [zlib.crc32(coded[i : i + n]) % BUCKETS for n in SIZES for i in range(len(coded) - n + 1)]
+    else:
+        found = [
+            zlib.crc32(word[i : i + n].encode("utf-8", "replace")) % BUCKETS
+            for n in SIZES
+            for i in range(len(word) - n + 1)
+        ]
+    found.append(zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS)
+    return found
 
 
 def words_of(text: str) -> list[str]:
@@ -67,7 +79,7 @@ class Sample:
         numbers: dict[str, int] = {}
         # an empty text is one empty word, so that it has a window
         words = [[numbers.setdefault(w, len(numbers)) for w in words_of(text) or [""]] for text in texts]
-        bags = [grams(word) for word in numbers]
+        bags = [np.array(grams(word), np.int32) for word in numbers]
         starts, gram_starts = (np.concatenate(([0], np.cumsum([len(x) for x in rows]))) for rows in (words, bags))
         return cls(starts, np.concatenate([np.array(w, np.int64) for w in words]), np.concatenate(bags), gram_starts)
 
@@ -152,23 +164,50 @@ class Scores(dict):
     """Mean n-gram score of each word seen; bounded."""
 
     def __init__(self, gram_scores: np.ndarray) -> None:
-        self.gram_scores = gram_scores
+        self.gram_scores = gram_scores.tolist()
 
     def __missing__(self, word: str) -> float:
         if len(self) >= WORDS:
             self.clear()
-        score = self[word] = float(self.gram_scores[grams(word)].mean())
+        found = grams(word)
+        score = self[word] = sum(map(self.gram_scores.__getitem__, found)) / len(found)
         return score
 
 
-def trained(rows: DataFrame, text: str, label: str) -> Model:
-    """A model of a bounded, reproducible sample: of each class the texts whose digests come first."""
-    known = rows.where(F.col(label).isin(0, 1) & (F.octet_length(F.coalesce(text, F.lit(""))) <= TEXT_BYTES))
-    known = known.select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    known = known.withColumn("rank", F.md5("text"))
-    found = []
-    for value in (0, 1):
-        found += known.where(F.col("label") == value).orderBy("rank", "text").limit(TEXTS_PER_CLASS).collect()
+def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, label, digest`` of at most TEXTS_PER_CLASS texts of each class, always the same ones.
+
+    Distinct texts are drawn by their digests, so copies of one text count once. Only ids and digests are
+    shuffled and ranked; the texts of the drawn ids are fetched afterwards. A threshold on the
+    digests, set from the class's size, leaves the ranking a small multiple of what it draws.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    fit_to_learn = docs.where(F.octet_length(text) <= TEXT_BYTES)
+    digests = fit_to_learn.select("doc_id", F.md5(text.cast("binary")).alias("digest"))
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    distinct = written(
+        digests.join(known, "doc_id").groupBy("label", "digest").agg(F.min("doc_id").alias("doc_id")), "labelled"
+    )
+    drawn = []
+    for label, count in distinct.groupBy("label").count().collect():
+        of_class = distinct.where(F.col("label") == label)
+        if count > 2 * TEXTS_PER_CLASS:
+            share = 2 * TEXTS_PER_CLASS / count
+            near = of_class.where(F.conv(F.substring("digest", 1, 12), 16, 10).cast("long") < int(share * (1 << 48)))
+            of_class = near if near.count() >= TEXTS_PER_CLASS else of_class
+        drawn.append(of_class.orderBy("digest").limit(TEXTS_PER_CLASS))
+    if not drawn:
+        return fit_to_learn.select(text.alias("text"), F.lit(0).alias("label"), F.lit("").alias("digest")).limit(0)
+    picked = written(reduce(DataFrame.union, drawn).select("label", "digest", "doc_id"), "drawn")
+    # at most 2 * TEXTS_PER_CLASS rows of an id and a digest
+    found = fit_to_learn.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id")
+    found = found.where(F.md5(F.col("text").cast("binary")) == F.col("digest"))
+    return found.groupBy("label", "digest").agg(F.min("text").alias("text")).select("text", "label", "digest")
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of a bounded, reproducible sample: of each class the distinct texts whose digests come first."""
+    found = sorted(sample_of(docs, labels).collect(), key=lambda row: (row.label, row.digest))
     return fit([row.text for row in found], [row.label for row in found])
 
 
@@ -199,8 +238,7 @@ def held_out(doc_id: Column) -> Column:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     """Trained on the labelled documents that are not held out; a label of an id that several documents bear holds for all."""
-    known = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    return trained(docs.select("doc_id", "text").join(known, "doc_id"), "text", "toxic")
+    return trained(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

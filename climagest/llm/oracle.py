@@ -147,10 +147,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+# ---- lines: equal texts of a host are one document; counted per text, judged per row
+
+WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+NORMAL_LINE = r"""trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
+  '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"""
+
+OP13 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+worded AS (SELECT doc_id, text, {WORDS} AS words FROM docs),
+windows AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM worded)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM windows) WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM twice) GROUP BY doc_id),
+lines AS (SELECT * FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+normal AS (SELECT doc_id, host, text, {NORMAL_LINE} AS line FROM lines),
+often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM normal GROUP BY ALL)
+  JOIN (SELECT host, count(DISTINCT text) AS size FROM docs GROUP BY host) USING (host) WHERE n >= 20 AND n * 100 > size * 10),
+lost AS (SELECT doc_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS lost_words
+  FROM normal JOIN often USING (host, line) GROUP BY doc_id),
+counts AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0) AS lost_words
+  FROM worded LEFT JOIN dups USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, NOT base_failed AND lost_words * 100 <= n_words * 50 AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_pii": OP1,
     "op2_near_dedup": OP2,
     "op3_exact_dedup": OP3,
     "op5_mixing": OP5,
     "op8_chat": OP8,
+    "op13_line_rules": OP13,
 }

@@ -10,6 +10,7 @@ from climagest.llm.bpe import token_digest
 from climagest.llm.chat import chat_digest
 from climagest.llm.exact_dedup import copy_digest
 from climagest.llm.licenses import license_report
+from climagest.llm.line_rules import line_report
 from climagest.llm.mixing import mixture_of
 from climagest.llm.near_dedup import near_duplicates
 from climagest.llm.pii import pii_digest
@@ -67,6 +68,10 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_neighbours(table(spark, folder, "embeddings"))
 
 
+def op13_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +85,6 @@ QUERIES = {
         op8_chat,
         op9_toxicity,
         op10_neighbours,
+        op13_line_rules,
     )
 }

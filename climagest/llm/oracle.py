@@ -178,11 +178,35 @@ SELECT *, NOT base_failed AND lost_words * 100 <= n_words * 50 AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 """
 
+# ---- phrases: all windows of one to four words, counted by language
+
+OP12 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+windows AS (SELECT lang, m, words, unnest(range(1, len(words) - m + 2)) AS i FROM worded, range(1, 5) sizes(m)),
+f AS (SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS a FROM windows GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM worded GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND a >= 30),
+cuts AS (SELECT *, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, h.a AS l, r.a AS r, 2000000 * c.a // (h.a + r.a) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, a, array_to_string(words[i:i + s - 1], ' ') AS phrase FROM (SELECT lang, a, words, s, unnest(range(1, m - s + 2)) AS i
+  FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates))),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_pii": OP1,
     "op2_near_dedup": OP2,
     "op3_exact_dedup": OP3,
     "op5_mixing": OP5,
     "op8_chat": OP8,
+    "op12_phrases": OP12,
     "op13_line_rules": OP13,
 }

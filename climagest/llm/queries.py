@@ -13,6 +13,7 @@ from climagest.llm.licenses import license_report
 from climagest.llm.line_rules import line_report
 from climagest.llm.mixing import mixture_of
 from climagest.llm.near_dedup import near_duplicates
+from climagest.llm.phrases import collocations
 from climagest.llm.pii import pii_digest
 from climagest.llm.quality import quality
 from climagest.llm.toxicity import toxicity_scores
@@ -68,6 +69,10 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_neighbours(table(spark, folder, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 def op13_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(table(spark, folder, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES = {
         op8_chat,
         op9_toxicity,
         op10_neighbours,
+        op12_phrases,
         op13_line_rules,
     )
 }

@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climagest.llm.shingles import mix
 from climagest.operators.numbering import number_rows
-from climagest.sources.shared import fresh_path, written
+from climagest.sources.shared import fresh_path, small, written
 
 CUT = re.compile(rb"[.,;:!?\n-\r]")
 BETWEEN = 0  # stands between pieces; no word has this number
@@ -297,17 +297,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", mining
     # the words of frequent numbers; two words under one number would be an error, not a wrong count
     places = f"transform(sequence(0, length(key) div {WORD_BYTES} - 1), i -> {_part('i', '1')})"
     spelled = kept.selectExpr("key", f"posexplode({places}) AS (place, part)")
-    words = tokens.where("shard = -1").select("id", "lang", "word")
-    names = words.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lang", "word")))
+    frequent_words = frequent.where(F.length("key") == WORD_BYTES).select(F.col("key").alias("part"), _number("key").alias("id"))
+    words = tokens.where("shard = -1").select("id", "lang", "word").join(small(written(frequent_words, "numbers")), "id")
+    names = words.groupBy("part").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lang", "word")))
     clash = (F.col("min_word") != F.col("max_word")) | (F.col("min_lang") != F.col("max_lang"))
     wrong = F.raise_error(F.concat(F.lit("two words have one number: "), "min_word", F.lit(", "), "max_word"))
-    names = names.select(
-        _number_bytes("id").alias("part"),
-        F.col("min_lang").alias("lang"),
-        F.when(clash, wrong.cast("string")).otherwise(F.col("min_word")).alias("word"),
-    )
-    frequent_words = frequent.where(F.length("key") == WORD_BYTES).select(F.col("key").alias("part"))
-    names = written(names.join(frequent_words, "part", "left_semi"), "words")
+    word = F.when(clash, wrong.cast("string")).otherwise(F.col("min_word"))
+    names = written(names.select("part", F.col("min_lang").alias("lang"), word.alias("word")), "words")
     ordered = F.array_sort(F.collect_list(F.struct("place", "word")))
     phrases = spelled.join(names, "part").groupBy("key").agg(
         F.min("lang").alias("lang"), F.array_join(ordered.getField("word"), " ").alias("phrase")
@@ -319,7 +315,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", mining
     return ranked.where(F.col("rank") <= mining.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _number_bytes(column: str):
-    """A 64-bit number as it stands in a key: eight bytes, the lowest first."""
-    pairs = [F.substring(F.lpad(F.hex(column), 16, "0"), 15 - 2 * k, 2) for k in range(WORD_BYTES)]
-    return F.unhex(F.concat(*pairs))
+def _number(key: str) -> Column:
+    """The signed 64-bit number whose eight bytes, the lowest first, are a key."""
+    digits = F.concat(*(F.substring(F.hex(key), 15 - 2 * k, 2) for k in range(WORD_BYTES)))
+    return F.conv(digits, 16, -10).cast("long")

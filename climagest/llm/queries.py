@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from climagest.llm.alignment import token_alignment
 from climagest.llm.ann import embedding_neighbours
 from climagest.llm.bpe import token_digest
 from climagest.llm.chat import chat_digest
@@ -69,6 +70,11 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_neighbours(table(spark, folder, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    first, second = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment(table(spark, folder, "documents"), first, second)
+
+
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
@@ -90,6 +96,7 @@ QUERIES = {
         op8_chat,
         op9_toxicity,
         op10_neighbours,
+        op11_alignment,
         op12_phrases,
         op13_line_rules,
     )

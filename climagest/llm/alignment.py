@@ -1,8 +1,9 @@
 """Alignment of two tokenizers, and in how many documents each pair of their tokens is linked.
 
 Both tokenizers begin anew at a single space between two other signs, so a text is a sequence of
-units, each with the space before it, whose tokens and links depend on the unit alone. A task aligns each
-distinct unit once and then adds up what it knows of the units of its texts.
+units, each with the space before it, whose tokens and links depend on the unit alone. Texts are encoded once and
+stored in chunks: the tokens of the distinct units of some texts, and the units of each text. Every pass aligns
+the distinct units of a chunk and adds up what it knows of them text by text.
 
 First pass: the distinct linked pairs are gathered, and a minimal perfect hash function is built
 of them, block by block on the executors (buckets of about three pairs, displaced until no two pairs meet).
@@ -15,7 +16,8 @@ limit are handed out in ranges of blocks, one after the other.
 from __future__ import annotations
 
 import functools
-import hashlib
+import itertools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -30,14 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climagest.llm.shingles import mix
-from climagest.sources.shared import broadcast_limit, written
+from climagest.sources.shared import broadcast_limit, fresh_path, written
 
 #: Where both tokenizers begin anew: one space, with something else than white space on both sides.
 CUT = re.compile(r"(?<=\S) (?=[\w!-/:-@\[-`{-~])")
 SPACE = "▁"
-UNITS_KNOWN = 120_000  # units remembered in a task; beyond that it starts anew
+UNITS_KNOWN = 250_000  # units remembered in a task; beyond that it starts anew
 SIGNS_KNOWN = 8 << 20  # and signs in them
-SIGNS = 4 << 20  # signs of texts taken together
+SIGNS = 2 << 20  # signs of texts in a chunk
+# ---- fixed values: the split pattern of byte-level tokenizers, and the setting that stands for it
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+# ----
 BLOCK = 8192  # pairs in a block of the function, on average
 PER_BUCKET = 3
 PAIR_BYTES = 20  # of a pair in the function, with its count
@@ -45,6 +51,7 @@ FAN = 16  # vectors summed together in the tree
 TRIES = 64
 _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
+PARTS = ("bounds", "codes", "n_of_a", "ids_a", "n_of_b", "ids_b")
 TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -62,44 +69,60 @@ class Tokenizers:
     """The two tokenizers and the bytes of their tokens."""
 
     def __init__(self, first: str, second: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tokenizers
 
-        self.first = tokenizers.Tokenizer.from_str(first)
-        self.first.encode_special_tokens = True  # their strings are plain text
         letters = byte_letters()
-        self.bytes_a: list[bytes | None] = [None] * self.first.get_vocab_size()
-        for token, number in self.first.get_vocab().items():
-            if all(sign in letters for sign in token):
+        model = json.loads(first)
+        vocabulary = model["model"]["vocab"]
+        self.size_a = max([*vocabulary.values(), *(token["id"] for token in model["added_tokens"])]) + 1
+        self.bytes_a = [b""] * self.size_a
+        special = {token["content"] for token in model["added_tokens"]}
+        for token, number in vocabulary.items():
+            if token not in special:
                 self.bytes_a[number] = bytes(letters[sign] for sign in token)
+        self.first = self._byte_level(first, model)
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [
             bytes([int(name[3:5], 16)]) if self.second.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)
         ]
         self.splits = not any(SPACE in name.lstrip(SPACE) for name in names)
-        self.sizes = len(self.bytes_a), len(self.bytes_b)
-        self.lengths = [np.array([len(x or b"") for x in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
+        self.sizes = self.size_a, len(self.bytes_b)
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
+
+    def _byte_level(self, first: str, model: dict) -> Callable:
+        """Encodes many texts. Where the numbers of the tokens follow the order of the merges, ranks say the same
+        as the list of merges, and the quicker library is used."""
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["model"]["merges"]]
+        made = [model["model"]["vocab"][token] for token in merges]
+        if made == sorted(made) and model["pre_tokenizer"] == BYTE_LEVEL and not model["normalizer"]:
+            import tiktoken
+
+            ranks = {token: number for number, token in enumerate(self.bytes_a) if token}
+            quick = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return lambda texts: list(map(quick.encode_ordinary, texts))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        slow = tokenizers.Tokenizer.from_str(first)
+        slow.encode_special_tokens = True  # their strings are plain text
+        return lambda texts: [found.ids for found in slow.encode_batch(texts, add_special_tokens=False)]
 
     def units(self, text: str) -> list[str]:
         return CUT.split(text) if self.splits else [text]
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Tokens of each unit behind a space, and no tokens where either side's bytes are not those of the unit."""
-        a = [found.ids for found in self.first.encode_batch([" " + unit for unit in units], add_special_tokens=False)]
-        b = self.second.encode(units, num_threads=1)
-        for k, unit in enumerate(units):
-            whole = (" " + unit).encode()
-            if self._joined(self.bytes_a, a[k]) != whole or self._joined(self.bytes_b, b[k]) != whole:
-                a[k], b[k] = [], []
+        spaced = [" " + unit for unit in units]
+        a, b = self.first(spaced), self.second.encode(units, num_threads=1)
+        for table, found in ((self.bytes_a, a), (self.bytes_b, b)):
+            joined = [b"".join([table[i] for i in ids]) for ids in found]
+            if joined != (wanted := [unit.encode() for unit in spaced]):
+                for k in range(len(units)):
+                    if joined[k] != wanted[k]:
+                        a[k], b[k] = [], []
         return a, b
 
-    @staticmethod
-    def _joined(table: list[bytes | None], ids: list[int]) -> bytes | None:
-        parts = [table[i] for i in ids]
-        return None if None in parts else b"".join(parts)
-
 
 @functools.lru_cache(maxsize=1)
 def tokenizers_of(first: str, second: bytes) -> Tokenizers:
@@ -132,22 +155,18 @@ def link(lengths_a: np.ndarray, lengths_b: np.ndarray) -> Links:
 
 
 class Units(dict):
-    """The units met in a task, numbered, with what is known of each."""
+    """The units met in a task, numbered, with their tokens."""
 
-    def __init__(self, tools: Tokenizers, strings: bool = False) -> None:
-        self.tools, self.strings = tools, strings
+    def __init__(self, tools: Tokenizers) -> None:
+        self.tools = tools
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.new: list[str] = []
         self.signs = 0
-        self.places: dict[int, int] = {}  # pair -> its number in this task
-        self.pairs: list[int] = []
-        self.numbers = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links
-        self.starts = np.zeros(1, np.int64)  # of each unit's links
-        self.links = np.empty(0, np.int64)  # numbers of pairs
-        self.groups: list[bytes] = []
+        self.ids = [np.empty(0, np.uint32), np.empty(0, np.uint32)]
+        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def __missing__(self, unit: str) -> int:
         self[unit] = number = len(self)
@@ -157,76 +176,123 @@ class Units(dict):
     def full(self) -> bool:
         return len(self) > UNITS_KNOWN or self.signs > SIGNS_KNOWN
 
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the units of all texts, and the bounds of the texts. Units are aligned when first met."""
+    def chunk(self, texts: list[str]) -> tuple[bytes, ...]:
+        """Of each text its units, and of the distinct units the numbers of tokens and the tokens: bounds, codes, and both twice."""
         lists = [list(map(self.__getitem__, self.tools.units(text))) if text else [] for text in texts]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-        codes = np.fromiter((code for x in lists for code in x), np.int64, bounds[-1])
+        bounds = np.cumsum([0, *map(len, lists)])
+        codes = np.fromiter(itertools.chain.from_iterable(lists), np.int64, bounds[-1])
         if self.new:
-            self._learn(self.new)
-            self.new = []
-        return codes, bounds
-
-    def _learn(self, units: list[str]) -> None:
-        self.signs += sum(map(len, units))
-        a, b = self.tools.encode(units)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
-        met = link(self.tools.lengths[0][ids_a], self.tools.lengths[1][ids_b])
-        unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
-        count = functools.partial(np.bincount, minlength=len(units))
-        many = count(unit_a[met.a_of])
-        self.numbers = np.concatenate((self.numbers, np.stack((n_a, n_b, count(unit_a[met.cut_a]), many), axis=1)))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(many)))
-        pairs = ids_a[met.a_of] * self.tools.sizes[1] + ids_b[met.b_of]
-        numbers = []
-        for pair in pairs.tolist():
-            place = self.places.get(pair)
-            if place is None:
-                place = self.places[pair] = len(self.pairs)
-                self.pairs.append(pair)
-            numbers.append(place)
-        self.links = np.concatenate((self.links, np.array(numbers, np.int64)))
-        if self.strings:
-            self._write(len(units), (ids_a, met.cut_a, unit_a), (ids_b, met.cut_b, unit_b))
-
-    def _write(self, n: int, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> None:
-        """The groups of each unit: A ids, a bar, B ids, and a semicolon where a group ends."""
-        groups = [np.cumsum(cut) - cut for _, cut, _ in (a, b)]
-        order = np.argsort(np.concatenate((2 * groups[0], 2 * groups[1] + 1)), kind="stable")
-        marks = np.concatenate((np.where(a[1], b"|", b","), np.where(b[1], b";", b",")))[order].tolist()
-        ids = np.concatenate((a[0], b[0]))[order].tolist()
-        parts = [b"%d%s" % pair for pair in zip(ids, marks)]
-        at = np.searchsorted(np.concatenate((a[2], b[2]))[order], np.arange(n + 1)).tolist()
-        self.groups += [b"".join(parts[i:j]) for i, j in zip(at, at[1:])]
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sums over the links of each unit of a value per pair number."""
+            self._learn()
+        known, codes = np.unique(codes, return_inverse=True)
+        packed = [bounds.astype("<i8"), codes.astype("<u4")]
+        for ids, starts in zip(self.ids, self.starts):
+            many = starts[known + 1] - starts[known]
+            packed += [many.astype("<u4"), ids[spread(starts[known], many)].astype("<u4")]
+        return tuple(x.tobytes() for x in packed)
+
+    def _learn(self) -> None:
+        self.signs += sum(map(len, self.new))
+        for k, side in enumerate(self.tools.encode(self.new)):
+            many = np.cumsum([len(ids) for ids in side])
+            self.starts[k] = np.concatenate((self.starts[k], self.starts[k][-1] + many))
+            ids = np.fromiter(itertools.chain.from_iterable(side), np.uint32, many[-1])
+            self.ids[k] = np.concatenate((self.ids[k], ids))
+        self.new = []
+
+
+def spread(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places ``start``, ``start + 1`` ... of each run, one run after the other."""
+    return np.arange(int(many.sum())) + np.repeat(starts - np.cumsum(many) + many, many)
+
+
+class Chunk:
+    """Some texts as units, and the alignment of their distinct units."""
+
+    def __init__(self, size_b: int, lengths: list[np.ndarray], parts: list[memoryview]) -> None:
+        self.bounds, codes = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4")
+        self.codes = codes.astype(np.int64)
+        self.n_a, self.n_b = (np.frombuffer(parts[k], "<u4").astype(np.int64) for k in (2, 4))
+        self.a, self.b = (np.frombuffer(parts[k], "<u4").astype(np.int64) for k in (3, 5))
+        self.units = len(self.n_a)
+        self.unit_a, self.unit_b = (np.repeat(np.arange(self.units), n) for n in (self.n_a, self.n_b))
+        self.met = link(lengths[0][self.a], lengths[1][self.b])
+        self.many = np.bincount(self.unit_a[self.met.a_of], minlength=self.units)
+        self.starts = np.concatenate(([0], np.cumsum(self.many)))
+        # the distinct pairs of the chunk, and for each link which of them it is
+        self.pairs, self.links = np.unique(self.a[self.met.a_of] * size_b + self.b[self.met.b_of], return_inverse=True)
+        # a unit without tokens is not given back whole
+        self.whole = self.by_text(self.n_a == 0) == 0
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the units of each text of a value per unit."""
+        return _sums(values[self.codes].astype(np.int64), self.bounds)
+
+    def by_unit(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the links of each unit of a value per pair."""
         return _sums(values[self.links], self.starts)
 
+    def documents(self) -> np.ndarray:
+        """In how many whole texts each pair is linked."""
+        text = np.repeat(np.arange(len(self.whole)), np.diff(self.bounds))
+        kept = self.whole[text]
+        text, unit = np.divmod(np.unique(text[kept] * max(1, self.units) + self.codes[kept]), max(1, self.units))
+        pairs = max(1, len(self.pairs))
+        linked = self.links[spread(self.starts[unit], self.many[unit])]
+        once = np.unique(np.repeat(text, self.many[unit]) * pairs + linked)
+        return np.bincount(once % pairs, minlength=len(self.pairs))
+
+    def groups(self) -> list[str]:
+        """The groups of each text: A ids, a bar, B ids, and a semicolon between groups."""
+        cuts = self.met.cut_a, self.met.cut_b
+        group = [np.cumsum(cut) - cut for cut in cuts]
+        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable")
+        marks = np.concatenate((np.where(cuts[0], "|", ","), np.where(cuts[1], ";", ",")))[order].tolist()
+        parts = list(map(str.__add__, map(str, np.concatenate((self.a, self.b))[order].tolist()), marks))
+        at = np.searchsorted(np.concatenate((self.unit_a, self.unit_b))[order], np.arange(self.units + 1)).tolist()
+        units = ["".join(parts[i:j]) for i, j in zip(at, at[1:])]
+        codes, bounds = self.codes.tolist(), self.bounds.tolist()
+        texts = zip(self.whole.tolist(), bounds, bounds[1:])
+        return ["".join([units[k] for k in codes[i:j]])[:-1] if ok else "" for ok, i, j in texts]
+
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     upto = np.concatenate(([0], np.cumsum(values)))
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of bounded size, with the row they begin at."""
-    begin, held, signs = 0, [], 0
-    for row, value in enumerate(column):
-        text = (value.as_py() or b"").decode("utf-8", "replace")
-        held.append(text)
-        signs += len(text)
-        if signs >= SIGNS:
-            yield begin, held
-            begin, held, signs = row + 1, [], 0
-    if held:
-        yield begin, held
+def _chunks(sent) -> Callable:
+    """Rows and texts to chunks of bounded size; a longer text is a chunk of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(tokenizers_of(*sent.value))
+
+        def packed(rows: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            parts = units.chunk(texts)
+            if units.full():
+                units.forget()
+            listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([listed, *(pa.array([x], pa.binary()) for x in parts)], names=["rows", *PARTS])
+
+        for batch in batches:
+            rows, begin, held, signs = batch.column(0), 0, [], 0
+            for row, value in enumerate(batch.column(1)):
+                held.append((value.as_py() or b"").decode("utf-8", "replace"))
+                signs += len(held[-1])
+                if signs >= SIGNS:
+                    yield packed(pa.concat_arrays([rows.slice(begin, len(held))]), held)
+                    begin, held, signs = row + 1, [], 0
+            if held:
+                yield packed(pa.concat_arrays([rows.slice(begin, len(held))]), held)
+
+    return run
 
 
-def _valid(units: Units, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which texts are given back whole by both tokenizers."""
-    return _sums((units.numbers[:, 0] == 0)[codes].astype(np.int64), bounds) == 0
+def _aligned_chunks(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Chunk]]:
+    """The chunks of a task with the batch and row they stand in."""
+    sizes, lengths = sent.value
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield batch, row, Chunk(sizes[1], lengths, [batch.column(name)[row].as_buffer() for name in PARTS])
 
 
 # ---- the function
@@ -327,14 +393,8 @@ class Function:
 
 def _pairs(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(tokenizers_of(*sent.value))
-        for batch in batches:
-            for _, texts in _texts(batch.column(0)):
-                before = len(units.pairs)
-                units.codes(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(units.pairs[before:], pa.int64())], names=["pair"])
-                if units.full():
-                    units.forget()
+        for _, _, chunk in _aligned_chunks(sent, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.pairs, pa.int64())], names=["pair"])
 
     return run
 
@@ -359,32 +419,11 @@ def _vectors(sent, numbered) -> Callable:
     """In how many texts of a task each pair is linked, one dense vector, cut at the blocks of the function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, function = Units(tokenizers_of(*sent.value)), numbered.value
+        function = numbered.value
         vector = np.zeros(len(function.keys), np.int64)
-
-        def add(counts: np.ndarray) -> None:
-            here, found = function(np.array(units.pairs, np.int64))
-            vector[found] += counts[here]
-
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for _, texts in _texts(batch.column(0)):
-                codes, bounds = units.codes(texts)
-                text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                whole = _valid(units, codes, bounds)[text]
-                once = np.unique(text[whole] * len(units) + codes[whole]) if len(codes) else np.empty(0, np.int64)
-                text, unit = np.divmod(once, max(1, len(units)))
-                many = units.starts[unit + 1] - units.starts[unit]
-                at = np.arange(int(many.sum())) + np.repeat(units.starts[unit] - np.cumsum(many) + many, many)
-                linked = np.unique(np.repeat(text, many) * max(1, len(units.pairs)) + units.links[at])
-                found = np.bincount(linked % max(1, len(units.pairs)), minlength=len(units.pairs))
-                found[: len(counts)] += counts
-                counts = found
-                if units.full():
-                    add(counts)
-                    units.forget()
-                    counts = np.zeros(0, np.int64)
-        add(counts)
+        for _, _, chunk in _aligned_chunks(sent, batches):
+            here, found = function(chunk.pairs)
+            vector[found] += chunk.documents()[here]
         part = TaskContext.get().partitionId()
         for block, (i, j) in enumerate(zip(function.starts, function.starts[1:]), function.low):
             if vector[i:j].any():
@@ -450,17 +489,17 @@ def _range(table: DataFrame, blocks: int, low: int, high: int, *more: str) -> tu
     return Function(blocks, low, [(r["block"], bytes(r["shifts"]), bytes(r["pairs"])) for r in rows]), rows
 
 
-def pair_counts(texts: DataFrame, sent, sizes: tuple[int, int], limit: int) -> PairCounts:
-    """Counts, for every pair that is linked anywhere, the rows of ``texts`` (one binary column) it is linked in."""
-    context = texts.sparkSession.sparkContext
-    pairs = written(texts.mapInArrow(_pairs(sent), "pair long").distinct(), "pairs")
+def pair_counts(chunks: DataFrame, sent, sizes: tuple[int, int], limit: int) -> PairCounts:
+    """Counts, for every pair that is linked anywhere, the texts of ``chunks`` it is linked in."""
+    context = chunks.sparkSession.sparkContext
+    pairs = written(chunks.mapInArrow(_pairs(sent), "pair long").distinct(), "pairs")
     blocks = max(1, -(-pairs.count() // BLOCK))
     dealt = pairs.mapInArrow(_in_blocks(blocks), "block long, pair long")
     built = written(dealt.groupBy("block").applyInArrow(_build, "block long, shifts binary, pairs binary"), "function")
     table = None
     for low, high in PairCounts(built, blocks, sizes).ranges(limit):
         numbered = context.broadcast(_range(built, blocks, low, high)[0])
-        vectors = written(texts.mapInArrow(_vectors(sent, numbered), "block long, part long, counts binary"), "vectors")
+        vectors = written(chunks.mapInArrow(_vectors(sent, numbered), "block long, part long, counts binary"), "vectors")
         numbered.destroy()
         here = built.where(F.col("block").between(low, high - 1)).join(tree_sum(vectors), "block", "left")
         here = written(here, "counts")
@@ -468,38 +507,30 @@ def pair_counts(texts: DataFrame, sent, sizes: tuple[int, int], limit: int) -> P
     return PairCounts(table, blocks, sizes)
 
 
-def _look_up(sent, known, last: bool, others: int) -> Callable:
-    """Adds counts of the pairs of one range; with the last range come the other numbers and the groups."""
+def _look_up(sent, known, last: bool) -> Callable:
+    """Adds counts of the pairs of one range; with the last range each text gets its row, with all numbers and groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function, counts, best = known.value
-        units = Units(tokenizers_of(*sent.value), strings=last)
-        for batch in batches:
-            for begin, texts in _texts(batch.column("text")):
-                codes, bounds = units.codes(texts)
-                pairs = np.array(units.pairs, np.int64)
-                here, found = function(pairs)
-                n, top = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-                n[here] = counts[found]
-                top[here] = counts[found] == best[pairs[here] // units.tools.sizes[1]]
-                whole = _valid(units, codes, bounds)
-                sums = [_sums(x[codes], bounds) * whole for x in (units.sums(top), units.sums(n))]
-                sums = [batch.column(name).to_numpy()[begin : begin + len(texts)] + x for name, x in zip(TOTALS[4:], sums)]
-                if last:
-                    numbers = [_sums(x[codes], bounds) * whole for x in units.numbers.T]
-                    listed = codes.tolist()
-                    groups = [
-                        b"".join([units.groups[k] for k in listed[i:j]])[:-1].decode() if ok and j > i else ""
-                        for ok, i, j in zip(whole.tolist(), bounds.tolist(), bounds[1:].tolist())
-                    ]
-                    columns = [*map(pa.array, [*numbers, *sums]), pa.array(groups, pa.string())]
-                else:
-                    columns = [*map(pa.array, sums)]
-                rest = [batch.column(k).slice(begin, len(texts)) for k in range(others)]
-                names = [*TOTALS, "groups"] if last else list(TOTALS[4:])
-                yield pa.RecordBatch.from_arrays([*rest, *columns], names=[*batch.schema.names[:others], *names])
-                if units.full():
-                    units.forget()
+        size_b = sent.value[0][1]
+        for batch, row, chunk in _aligned_chunks(sent, batches):
+            here, found = function(chunk.pairs)
+            n, top = np.zeros(len(chunk.pairs), np.int64), np.zeros(len(chunk.pairs), np.int64)
+            n[here] = counts[found]
+            top[here] = counts[found] == best[chunk.pairs[here] // size_b]
+            before = [batch.column(name)[row].as_buffer() if batch.column(name)[row].is_valid else None for name in TOTALS[4:]]
+            sums = [chunk.by_text(chunk.by_unit(x)) * chunk.whole for x in (top, n)]
+            sums = [x if old is None else x + np.frombuffer(old, "<i8") for x, old in zip(sums, before)]
+            if not last:
+                same = [batch.column(k).slice(row, 1) for k in range(1 + len(PARTS))]
+                added = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in sums]
+                yield pa.RecordBatch.from_arrays([*same, *added], names=["rows", *PARTS, *TOTALS[4:]])
+                continue
+            cut = np.bincount(chunk.unit_a[chunk.met.cut_a], minlength=chunk.units)
+            numbers = [chunk.by_text(x) * chunk.whole for x in (chunk.n_a, chunk.n_b, cut, chunk.many)]
+            columns = [pa.array(x, pa.int64()) for x in (*numbers, *sums)]
+            rows = batch.column("rows").slice(row, 1).flatten()
+            yield pa.RecordBatch.from_arrays([rows, *columns, pa.array(chunk.groups(), pa.string())], names=["row", *TOTALS, "groups"])
 
     return run
 
@@ -515,32 +546,39 @@ def aligned(docs: DataFrame, first: str, second: str, text: str = "text", keep:
     """
     spark = docs.sparkSession
     files = Path(first).read_text(encoding="utf-8"), Path(second).read_bytes()
-    sent = spark.sparkContext.broadcast(files)
-    sizes = Tokenizers(*files).sizes
+    vocabularies = spark.sparkContext.broadcast(files)
+    tools = Tokenizers(*files)
+    sent = spark.sparkContext.broadcast((tools.sizes, tools.lengths))
     limit = broadcast_limit(spark) if limit is None else limit
+
     binary = F.col(f"`{text}`").cast("string").cast("binary").alias("text")
-    counts = pair_counts(docs.select(binary), sent, sizes, limit)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns))).alias("row"), binary)
+    row = rows.schema["row"].dataType
+    parts = [T.StructField("rows", T.ArrayType(row)), *(T.StructField(name, T.BinaryType()) for name in PARTS)]
+    path = fresh_path(spark, "chunks")
+    rows.mapInArrow(_chunks(vocabularies), T.StructType(parts)).write.option("compression", "zstd").parquet(path)
+    chunks = spark.read.schema(T.StructType(parts)).parquet(path)
+
+    counts = pair_counts(chunks.select(*PARTS), sent, tools.sizes, limit)
     most = counts.rows().groupBy("a_id").agg(F.max("n").alias("n")).toArrow()
-    best = np.zeros(sizes[0], np.int64)
+    best = np.zeros(tools.sizes[0], np.int64)
     best[most.column("a_id").to_numpy()] = most.column("n").to_numpy()
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns))).alias("row"), binary)
-    rows = rows.withColumns({name: F.lit(0).cast("long") for name in TOTALS[4:]})
-    kept = [rows.schema["row"], rows.schema["text"]]
+    running = [T.StructField(name, T.BinaryType()) for name in TOTALS[4:]]
+    found = chunks.withColumns({name: F.lit(None).cast("binary") for name in TOTALS[4:]})
     totals = [T.StructField(name, T.LongType()) for name in TOTALS]
     ranges = counts.ranges(limit)
     for low, high in ranges:
-        function, found = _range(counts.table, counts.blocks, low, high, "counts")
-        packed = [np.frombuffer(r["counts"], "<i8") if r["counts"] else np.zeros(len(r["pairs"]) // 8, np.int64) for r in found]
+        function, table = _range(counts.table, counts.blocks, low, high, "counts")
+        packed = [np.frombuffer(r["counts"], "<i8") if r["counts"] else np.zeros(len(r["pairs"]) // 8, np.int64) for r in table]
         known = spark.sparkContext.broadcast((function, np.concatenate(packed or [np.zeros(0, np.int64)]), best))
         last = (low, high) == ranges[-1]
-        more = [*totals, T.StructField("groups", T.StringType())] if last else totals[4:]
-        schema = T.StructType([*kept[: 1 if last else 2], *more])
-        rows = rows.mapInArrow(_look_up(sent, known, last, 1 if last else 2), schema)
+        schema = [T.StructField("row", row), *totals, T.StructField("groups", T.StringType())] if last else [*parts, *running]
+        found = found.mapInArrow(_look_up(sent, known, last), T.StructType(schema))
         if not last:
-            rows = written(rows, "looked-up")
+            found = written(found, "looked-up")
             known.destroy()
-    return rows
+    return found
 
 
 def token_alignment(docs: DataFrame, first: str, second: str) -> DataFrame:

@@ -8,8 +8,8 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 OCTET = r"0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
-DOUBLED = f"list_transform(range(len({DIGITS})), i -> CAST(substr(reverse({DIGITS}), CAST(i AS INT) + 1, 1) AS INT) * (1 + i % 2))"
-LUHN = f"list_sum(list_transform({DOUBLED}, d -> d - CASE WHEN d > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+DOUBLED = f"list_transform(range(len({DIGITS})), lambda i: CAST(substr(reverse({DIGITS}), CAST(i AS INT) + 1, 1) AS INT) * (1 + i % 2))"
+LUHN = f"list_sum(list_transform({DOUBLED}, lambda d: d - CASE WHEN d > 9 THEN 9 ELSE 0 END)) % 10 = 0"
 PII = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 80, "email|e-mail|mail|contact|write"),
     (
@@ -38,7 +38,7 @@ placed AS (SELECT *, sum(len(gap) + len(hit)) OVER (PARTITION BY kind_no, doc_id
 good AS (
   SELECT doc_id, kind_no, kind, stop - len(hit) AS start, stop, score + CASE WHEN regexp_matches(
       lower(right(gap, 40) || chr(10) || left(coalesce(next, ''), 40)), words) THEN 20 ELSE 0 END AS score
-  FROM placed WHERE CASE kind {PII_HOLDS} END
+  FROM placed WHERE hit IS NOT NULL AND CASE kind {PII_HOLDS} END
 ),
 spans AS (
   SELECT doc_id, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY kind_no, start) AS spans,
@@ -55,11 +55,11 @@ FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id
 
 OP2 = rf"""
 WITH RECURSIVE cut AS (
-  SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
 ),
 sets AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))) END AS shingles
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
   FROM cut
 ),
 each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),

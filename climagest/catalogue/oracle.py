@@ -10,10 +10,11 @@ LAST_DAY = 393
 
 CTES = {
     "births_raw": """
-        SELECT o_orderkey AS RFA_ID, CAST(29001 + (c_nationkey % 6) * 200 AS INTEGER) AS ZIP,
+        SELECT o_orderkey AS RFA_ID,
+               CAST(CASE WHEN o_custkey % 20 < 7 THEN 29401 ELSE 29001 + (o_custkey * 37) % 320 * 3 END AS INTEGER) AS ZIP,
                CAST(datediff('day', DATE '1960-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS ADMD,
                CAST(10 + o_orderkey % 38 AS INTEGER) AS GEST
-        FROM orders JOIN customer ON o_custkey = c_custkey""",
+        FROM orders""",
     "births_text": """
         SELECT RFA_ID,
                CASE WHEN RFA_ID % 11 = 0 THEN CAST(ZIP AS VARCHAR) || 'x'
@@ -47,9 +48,10 @@ CTES = {
                CAST(datediff('day', pre, tr3_end) + 1 AS INTEGER) AS n_days
         FROM dated WHERE datediff('day', pre, tr3_end) <= 392""",
     "temperature": """
-        SELECT CAST(29001 + (s_nationkey % 6) * 200 AS INTEGER) AS location, CAST(l_shipdate AS DATE) AS date,
-               avg(l_quantity) AS exposure
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""",
+        SELECT CAST(CASE WHEN l_partkey % 20 < 7 OR (l_partkey * 37) % 320 % 16 = 5 THEN 29401
+                         ELSE 29001 + (l_partkey * 37) % 320 * 3 END AS INTEGER) AS location,
+               CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS exposure
+        FROM lineitem GROUP BY ALL""",
     "local_temperature": "SELECT * FROM temperature WHERE location > 29000 AND location < 29945",
     "cuts": """
         SELECT location, quantile_cont(exposure, 0.90) AS p90, quantile_cont(exposure, 0.95) AS p95,
@@ -155,14 +157,17 @@ def _counts(family: str, windows: tuple[str, ...]) -> str:
     )
 
 
-def _ordinal_counts(family: str) -> str:
+# the n-th postcode of a flag, and the n-th run of one postcode where rows lie month by month
+_RANKED = "SELECT '{name}' AS flag, date, dense_rank() OVER (ORDER BY location) AS run FROM {weather} WHERE {flag} = 1"
+_RUNS = """SELECT '{name}' AS flag, date, 1 + sum(changed) OVER (ORDER BY date_trunc('month', date), location, date) AS run
+    FROM (SELECT date, location, CASE WHEN location <> lag(location) OVER (ORDER BY date_trunc('month', date), location, date)
+                                      THEN 1 ELSE 0 END AS changed FROM {weather} WHERE {flag} = 1) c"""
+
+
+def _ordinal_counts(family: str, numbered: str) -> str:
     flags = FLAGS[family]
     weather = f"{family.lower()}_weather"
-    ranked = " UNION ALL ".join(
-        f"""SELECT '{name}' AS flag, date, dense_rank() OVER (ORDER BY location) AS run
-            FROM {weather} WHERE {flag} = 1"""
-        for flag, name in flags.items()
-    )
+    ranked = " UNION ALL ".join(numbered.format(name=name, flag=flag, weather=weather) for flag, name in flags.items())
     counted = f"""
         SELECT i.Number, i.start, i."End",
                {", ".join(f"count(*) FILTER (WHERE r.flag = '{n}') AS {n}" for n in flags.values())}
@@ -283,6 +288,15 @@ ORACLE: dict[str, str] = {
         FROM cohort""",
         "cohort",
     ),
+    "birth_row_numbers_repeated": sql(
+        """SELECT RFA_ID, ZIP, ADMD, GEST,
+               row_number() OVER (ORDER BY ZIP, RFA_ID, ADMD * 7 % 31, ADMD, GEST) AS Identifier
+        FROM (SELECT CAST(RFA_ID // 4 AS BIGINT) AS RFA_ID, ZIP, ADMD, GEST
+              FROM (SELECT * FROM births_raw
+                    UNION ALL SELECT RFA_ID, ZIP, ADMD, GEST + 2 FROM births_raw WHERE RFA_ID % 3 = 0) r
+              WHERE ZIP > 29000 AND ZIP < 29945) b""",
+        "births_raw",
+    ),
     "longest_spans": sql(
         """SELECT location, max(n_days) AS max_days FROM cohort GROUP BY location
         UNION ALL SELECT NULL, max(n_days) FROM cohort""",
@@ -294,9 +308,10 @@ ORACLE: dict[str, str] = {
     **{f"{family.lower()}_counts_{name}": _counts(family, (name,)) for family in FLAGS for name in WINDOWS},
     **{f"{family.lower()}_counts_all": _counts(family, tuple(WINDOWS)) for family in FLAGS},
     **{
-        f"hot_counts_{form}": _counts("Hot", tuple(WINDOWS)) for form in ("interval", "bucketed", "spine", "shuffled")
+        f"hot_counts_{form}": _counts("Hot", tuple(WINDOWS)) for form in ("interval", "bucketed", "spine", "shuffled", "sweep")
     },
-    **{f"{family.lower()}_counts_ordinal": _ordinal_counts(family) for family in FLAGS},
+    **{f"{family.lower()}_counts_ordinal": _ordinal_counts(family, _RANKED) for family in FLAGS},
+    "hot_counts_file_order": _ordinal_counts("Hot", _RUNS),
     "hot_window_files": _counts("Hot", tuple(WINDOWS)),
     "cold_window_files": _counts("Cold", tuple(WINDOWS)),
     "hot_counts_by_window": _counts("Hot", tuple(WINDOWS)),

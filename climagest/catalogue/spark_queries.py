@@ -26,7 +26,7 @@ from climagest.operators.bands import (
 )
 from climagest.operators.births import exposure_births, gestation_dates, longest_span, prepare_births
 from climagest.operators.cohort import COHORT_COLUMNS, window_cohort
-from climagest.operators.counts import flag_days, window_counts, window_counts_by_join
+from climagest.operators.counts import flag_days, window_counts, window_counts_by_join, window_counts_by_sweep
 from climagest.operators.filters import any_column_in, flagged_days, open_range
 from climagest.operators.numbering import number_rows, number_values, run_ids
 from climagest.operators.spine import attach_exposure, day_exposure, day_spine, padded_dates
@@ -41,7 +41,7 @@ from climagest.operators.wide import exposure_wide, map_groups, nest, pivot_days
 from climagest.plans.exposure import exposure_long, write_exposure_wide, write_percentile_dataset
 from climagest.plans.extremes import extreme_day_counts, write_extreme_day_counts
 from climagest.schema import DAY_ZERO, FLAGS, PERCENTILES, POSTCODE_BOUNDS, WEATHER, WINDOWS
-from climagest.sources.readers import list_locations, read_births, read_location, read_weather
+from climagest.sources.readers import PLACE, list_locations, read_births, read_location, read_weather
 from climagest.sources.shared import fresh_path, written
 from climagest.sources.writers import (
     write_by_location,
@@ -183,6 +183,37 @@ def counts_ordinal(spark: SparkSession, folder: str, family: str) -> DataFrame:
     )
 
 
+def counts_by_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    dated, weather = _dated(spark, folder), written(_flags(spark, folder), "weather")
+    return window_counts_by_sweep(window_cohort(dated, weather), flag_days(weather, FLAGS["Hot"]))
+
+
+def _in_order(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` laid out by unique ``order`` over several files, as a table in a given order is stored."""
+    return df.repartitionByRange(5, *order).sortWithinPartitions(*order)
+
+
+def counts_file_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of postcodes as the weather lies in its files, which here go month by month, so that every postcode comes back."""
+    path = fresh_path(spark, "weather")
+    weather = standin.weather(spark, folder).withColumn("month", F.trunc("Date", "month"))
+    write_table(_in_order(weather, "month", "Zip", "Date").drop("month"), path)
+    stored = read_weather(spark, path, place=True)
+    weather = prepare_weather(stored, None, FLAGS["Hot"], keep=PLACE)
+    return window_counts(_dated(spark, folder), flag_days(weather, FLAGS["Hot"], align="file"))
+
+
+def repeated_births_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """Births of which some come twice, differing only in weeks, numbered by record and, where it repeats, by place in the files."""
+    path = fresh_path(spark, "births")
+    births = standin.births(spark, folder)
+    again = births.where("RFA_ID % 3 = 0").withColumn("GEST", F.col("GEST") + 2)
+    stored = births.unionByName(again).withColumn("RFA_ID", F.floor(F.col("RFA_ID") / 4).cast("long"))
+    write_table(_in_order(stored.withColumn("turn", F.col("ADMD") * 7 % 31), "turn", "RFA_ID", "ADMD", "ZIP", "GEST").drop("turn"), path)
+    placed = open_range(read_births(spark, path, place=True), "ZIP", POSTCODE_BOUNDS)
+    return number_rows(placed, ["ZIP", "RFA_ID"], name="Identifier", ties=PLACE).drop(*PLACE)
+
+
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Cold counts of one window from CSV weather, written to CSV and read back."""
     weather_path, output = fresh_path(spark, "weather-csv"), fresh_path(spark, "counts")
@@ -541,6 +572,7 @@ QUERIES: dict[str, Query] = {
     "zip_run_id": zip_run_id,
     "zip_run_id_unsorted": zip_run_id_unsorted,
     "birth_row_numbers": birth_row_numbers,
+    "birth_row_numbers_repeated": repeated_births_numbered,
     "longest_spans": longest_spans,
     **{f"cohort_{window}": partial(cohort_query, window=window) for window in WINDOWS},
     **{
@@ -555,6 +587,8 @@ QUERIES: dict[str, Query] = {
     "hot_counts_bucketed": partial(counts_by_join, method="bucketed"),
     "hot_counts_spine": partial(counts_by_join, method="days"),
     "hot_counts_shuffled": counts_shuffled,
+    "hot_counts_sweep": counts_by_sweep,
+    "hot_counts_file_order": counts_file_order,
     "hot_counts_ordinal": partial(counts_ordinal, family="Hot"),
     "cold_counts_ordinal": partial(counts_ordinal, family="Cold"),
     "csv_roundtrip": csv_roundtrip,

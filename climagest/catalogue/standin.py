@@ -6,7 +6,7 @@ are stand-ins: real weather comes with its flags.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climagest.schema import DAY_ZERO
@@ -14,17 +14,26 @@ from climagest.schema import DAY_ZERO
 FLAG_SHARES = (0.90, 0.95, 0.97, 0.99, 0.10, 0.05, 0.03, 0.01)
 
 
-def postcode(nation: str):
-    return (29001 + (F.col(nation) % 6) * 200).cast("int")
+HOT = 29401  # has over a third of all births
+
+
+def postcode(key: str) -> Column:
+    """One of 320 postcodes three apart, the last five of them beyond the bounds, or the hot one."""
+    usual = 29001 + (F.col(key) * 37) % 320 * 3
+    return F.when(F.col(key) % 20 < 7, HOT).otherwise(usual).cast("int")
+
+
+def weather_postcode(key: str) -> Column:
+    """The same, but that every sixteenth postcode has no weather; its rows are the hot one's."""
+    return F.when((F.col(key) * 37) % 320 % 16 == 5, HOT).otherwise(postcode(key)).cast("int")
 
 
 def births(spark: SparkSession, folder: str) -> DataFrame:
     """RFA_ID, ZIP, ADMD (days since 1960) and GEST (weeks)."""
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    customer = spark.read.parquet(f"{folder}/customer.parquet")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    return orders.select(
         F.col("o_orderkey").alias("RFA_ID"),
-        postcode("c_nationkey").alias("ZIP"),
+        postcode("o_custkey").alias("ZIP"),
         F.date_diff(F.col("o_orderdate").cast("date"), F.lit(DAY_ZERO).cast("date")).alias("ADMD"),
         (10 + F.col("o_orderkey") % 38).cast("int").alias("GEST"),
     )
@@ -54,12 +63,8 @@ def two_zip_births(spark: SparkSession, folder: str) -> DataFrame:
 def temperature(spark: SparkSession, folder: str) -> DataFrame:
     """Zip, Date and TAVG, one row per postcode and day."""
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
-    supplier = spark.read.parquet(f"{folder}/supplier.parquet")
-    return (
-        lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(postcode("s_nationkey").alias("Zip"), F.col("l_shipdate").cast("date").alias("Date"))
-        .agg(F.avg("l_quantity").alias("TAVG"))
-    )
+    day = F.col("l_shipdate").cast("date").alias("Date")
+    return lineitem.groupBy(weather_postcode("l_partkey").alias("Zip"), day).agg(F.avg("l_quantity").alias("TAVG"))
 
 
 def weather(spark: SparkSession, folder: str, family: str = "Hot") -> DataFrame:

@@ -7,7 +7,9 @@ still spreads over as many keys as its history has blocks.
 
 Running totals are kept *before* each day, so that the total over the closed
 interval [a, b] is ``before(b + 1) - before(a)``: two lookups instead of a join
-with every day of the interval.
+with every day of the interval. They have two levels: what lies before a block, and what lies
+before a day within it. Only blocks that hold weather exist; a day between two blocks is
+looked up at the end of the earlier one, found by bisection of the postcode's list of blocks.
 """
 
 from __future__ import annotations
@@ -27,9 +29,6 @@ REACH = 4  # blocks per row of folded exposure
 
 SALTS = 16
 _MAX_INT = 2**31 - 1
-# More subtractions than this in one expression list make a generated method of
-# over 8000 bytes, which the JVM leaves uncompiled.
-_DIRECT_TOTALS = 12
 
 
 def block_of(date: Column) -> Column:
@@ -50,19 +49,21 @@ class Blocks:
     """Folded weather.
 
     ``frame``: location, block and the arrays, stored. ``exposure`` has one entry
-    per day for ``reach`` blocks from this one on, ``totals`` has ``len(names)``
-    entries per day of the block, one day after another.
-    ``spans``: location, first and last day with weather.
+    per day for ``reach`` blocks from this one on. Running totals have ``ord``, the number of the block
+    within its postcode, ``before`` with one entry per name, and ``totals`` with ``len(names)``
+    entries per day of the block and once more for its end.
+    ``starts``: location and the blocks it has, in order; ``most`` is the length of the longest list.
     ``few``: the postcodes are checked to be few.
     ``fits``: the folded table is checked to be small enough for a broadcast.
     """
 
     frame: DataFrame
-    spans: DataFrame
     names: tuple[str, ...]
     few: bool
     fits: bool
     reach: int = 1
+    starts: DataFrame | None = None
+    most: int = 0
 
 
 @dataclass(frozen=True)
@@ -70,30 +71,29 @@ class _Size:
     locations: int
     blocks: int
     top: int
-
-
-def day_spans(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("location").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    most: int
 
 
 def _size(daily: DataFrame, weight: Column) -> _Size:
-    """Number of postcodes and of blocks, and the largest total weight of a postcode."""
-    blocks = block_of(F.col("last_day")) - block_of(F.col("first_day")) + 2
+    """Number of postcodes and of blocks with weather, and the largest total weight and number of blocks of a postcode."""
     row = (
-        daily.groupBy("location")
-        .agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.sum(weight).alias("weight"))
-        .agg(F.count("*").alias("locations"), F.sum(blocks).alias("blocks"), F.max("weight").alias("top"))
+        daily.groupBy("location", block_of(F.col("date")).alias("block"))
+        .agg(F.sum(weight).alias("weight"))
+        .groupBy("location")
+        .agg(F.count("*").alias("blocks"), F.sum("weight").alias("weight"))
+        .agg(
+            F.count("*").alias("locations"),
+            F.sum("blocks").alias("blocks"),
+            F.max("weight").alias("top"),
+            F.max("blocks").alias("most"),
+        )
         .first()
     )
-    return _Size(row["locations"], row["blocks"] or 0, row["top"] or 0)
+    return _Size(row["locations"], row["blocks"] or 0, row["top"] or 0, row["most"] or 0)
 
 
-def _folded(
-    frame: DataFrame, spans: DataFrame, names: tuple[str, ...], size: _Size, row_bytes: int, limit: int | None, reach: int = 1
-) -> Blocks:
-    few = size.locations <= SMALL_ROWS
-    fits = size.blocks * row_bytes <= (broadcast_limit(frame.sparkSession) if limit is None else limit)
-    return Blocks(written(frame, "blocks"), F.broadcast(spans) if few else spans, names, few, fits, reach)
+def _limit(frame: DataFrame, given: int | None) -> int:
+    return broadcast_limit(frame.sparkSession) if given is None else given
 
 
 def fold_exposure(daily: DataFrame, reach: int = REACH, broadcast_bytes: int | None = None) -> Blocks:
@@ -123,10 +123,9 @@ def fold_exposure(daily: DataFrame, reach: int = REACH, broadcast_bytes: int | N
             ).alias("exposure"),
         )
     )
-    size = _size(stored, F.lit(1))
-    spare = size.locations * reach  # rows before the first block
-    size = _Size(size.locations, size.blocks + spare, size.top)
-    return _folded(frame, day_spans(stored), (), size, 96 + 8 * length, broadcast_bytes, reach)
+    frame = written(frame, "blocks")
+    fits = frame.count() * (96 + 8 * length) <= _limit(frame, broadcast_bytes)
+    return Blocks(frame, (), _size(stored, F.lit(1)).locations <= SMALL_ROWS, fits, reach)
 
 
 def fold_running_totals(
@@ -144,44 +143,65 @@ def fold_running_totals(
     then kept as int where that is checked to be enough, and as double otherwise.
     ``exposure`` folds the exposure itself, too.
 
-    Only the pre-aggregated days of a postcode share a window here, so its size
-    is bounded by the calendar and not by the number of births or weather rows.
+    Days are summed within their block; one row per block and postcode then shares a window. Nothing is made for days or
+    blocks without weather, so a day far off adds one block.
     """
-    spans = day_spans(daily)
     largest = F.greatest(F.lit(0), *totals.values()) if counts else F.lit(1)
     size = _size(daily, largest)
     element = ("int" if size.top <= _MAX_INT else "bigint") if counts else "double"
-    calendar = spans.select(
+    kept = ["exposure"] if exposure else []
+    width = len(totals)
+
+    in_block = Window.partitionBy("location", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = daily.select(
         "location",
-        F.explode(
-            F.sequence(first_day_of_block(block_of(F.col("first_day"))), F.date_add("last_day", 1))
-        ).alias("date"),
+        block_of(F.col("date")).alias("block"),
+        place_in_block(F.col("date")).alias("place"),
+        *(c.alias(f"_{k}") for k, c in enumerate(totals.values())),
+        *kept,
     )
-    earlier = Window.partitionBy("location").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    entries = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(element) for c in totals.values()]
-    kept = ["exposure"] if exposure else []
-    running = calendar.join(daily, ["location", "date"], "left").select(
-        "location", "date", F.array(*entries).alias("totals"), *kept
+    upto = F.array(*(F.coalesce(F.sum(f"_{k}").over(in_block), F.lit(0)).cast(element) for k in range(width)))
+    days = F.array_sort(F.collect_list(F.struct("place", "upto", *kept)))
+    gathered = (
+        placed.select("location", "block", "place", upto.alias("upto"), *kept).groupBy("location", "block").agg(days.alias("_days"))
     )
-    days = F.array_sort(F.collect_list(F.struct("date", "totals", *kept)))
-    frame = (
-        running.groupBy("location", block_of(F.col("date")).alias("block"))
-        .agg(days.alias("_days"))
-        .select(
-            "location",
-            "block",
-            F.flatten(F.col("_days").getField("totals")).alias("totals"),
-            *(F.col("_days").getField(k).alias(k) for k in kept),
-        )
+    of_location = Window.partitionBy("location").orderBy("block")
+    earlier = of_location.rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.element_at(F.col("_days").getField("upto"), -1)
+    before = [F.coalesce(F.sum(F.get(whole, F.lit(k))).over(earlier), F.lit(0)).cast(element) for k in range(width)]
+    places, nothing = F.col("_days").getField("place"), F.array_repeat(F.lit(0).cast(element), width)
+    # for each day, and for the end of the block, how many of its days with weather come earlier
+    passed = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_DAYS)), lambda p: F.size(F.filter(places, lambda q: q < p)))
+    inside = F.transform(passed, lambda i: F.coalesce(F.get(F.col("_days").getField("upto"), i - 1), nothing))
+    in_place = F.transform(
+        F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1)),
+        lambda p: F.get(F.col("_days").getField("exposure"), (F.array_position(places, p) - 1).cast("int")),
+    )
+    frame = gathered.select(
+        "location",
+        "block",
+        (F.row_number().over(of_location) - 1).alias("ord"),
+        F.array(*before).alias("before"),
+        F.flatten(inside).alias("totals"),
+        *(in_place.alias(k) for k in kept),
+    )
+    frame = written(frame, "blocks")
+    starts = frame.groupBy("location").agg(F.sort_array(F.collect_list("block")).alias("_starts"))
+    limit = _limit(frame, broadcast_bytes)
+    few = size.locations <= SMALL_ROWS
+    lists_fit = few and size.blocks * 4 + size.locations * 64 <= _limit(frame, None)
+    row_bytes = 96 + (4 if element == "int" else 8) * width * (BLOCK_DAYS + 2) + 8 * len(kept) * BLOCK_DAYS
+    return Blocks(
+        frame, tuple(totals), few, size.blocks * row_bytes <= limit, 1, F.broadcast(starts) if lists_fit else starts, size.most
     )
-    width = 4 if element == "int" else 8
-    row_bytes = 96 + (width * len(totals) + 8 * len(kept)) * BLOCK_DAYS
-    return _folded(frame, spans, tuple(totals), size, row_bytes, broadcast_bytes)
 
 
-def join_blocks(df: DataFrame, blocks: Blocks, key: str, block: Column, arrays: Mapping[str, str]) -> DataFrame:
+def join_blocks(
+    df: DataFrame, blocks: Blocks, key: str, block: Column, arrays: Mapping[str, str], on: str = "block"
+) -> DataFrame:
     """Add ``arrays`` (array of the blocks -> column) of the block; null where there is none.
 
+    ``on`` says whether ``block`` is a block of the calendar or its number within the postcode ("ord").
     If the blocks fit a broadcast, ``df`` is not moved at all. Otherwise both
     sides are shuffled on postcode, block and a salt taken from the whole row of
     ``df``, so that a block wanted by very many rows is served by several tasks;
@@ -189,7 +209,7 @@ def join_blocks(df: DataFrame, blocks: Blocks, key: str, block: Column, arrays:
     """
     side = blocks.frame.select(
         F.col("location").alias("_location"),
-        F.col("block").alias("_block"),
+        F.col(on).alias("_block"),
         *(F.col(array).alias(name) for array, name in arrays.items()),
     )
     match = (F.col(key) == F.col("_location")) & (block == F.col("_block"))
@@ -208,41 +228,38 @@ def exposure_on(df: DataFrame, blocks: Blocks, date: str, name: str = "exposure"
 
 
 def totals_at(df: DataFrame, blocks: Blocks, dates: Sequence[str], key: str = "location") -> DataFrame:
-    """Add ``_at_<column>`` for each date column: the totals of all names before that day, null before the first block.
+    """Add ``_at_<column>`` for each date column: the totals of all names before that day, null before the first block."""
+    width, steps = len(blocks.names), [1 << k for k in reversed(range(max(1, blocks.most.bit_length())))]
+    starts = blocks.starts.withColumnRenamed("location", "_location")
+    rows = df.join(starts, F.col(key) == F.col("_location"), "left").drop("_location")
+
+    def last_block(day: Column) -> Column:
+        """Number of the last block that does not begin after the day's, by bisection; -1 if there is none."""
+        return F.aggregate(
+            F.array(*map(F.lit, steps)),
+            F.lit(-1),
+            lambda at, step: F.when(F.get("_starts", at + step) <= block_of(day), at + step).otherwise(at),
+        )
 
-    Needs ``last_day`` of the postcode in ``df``; beyond it nothing is added any more. It and nothing else is dropped.
-    """
-    rows, width, kept = df, len(blocks.names), [c for c in df.columns if c != "last_day"]
+    rows = rows.withColumns({f"_ord_{date}": last_block(F.col(date)) for date in dates})
+    for date in dates:
+        there = F.get("_starts", F.col(f"_ord_{date}")) == block_of(F.col(date))
+        rows = rows.withColumn(f"_place_{date}", F.when(there, place_in_block(F.col(date))).otherwise(BLOCK_DAYS))
+    rows = rows.drop("_starts")
     for date in dates:
-        day = F.least(date, F.date_add("last_day", 1))
-        rows = join_blocks(rows, blocks, key, block_of(day), {"totals": "_totals"})
-        found = F.slice("_totals", place_in_block(day) * width + 1, F.lit(width))
-        rows = rows.select(*[c for c in rows.columns if c != "_totals"], found.alias(f"_at_{date}"))
-    return rows.select(*kept, *(f"_at_{date}" for date in dates))
+        rows = join_blocks(rows, blocks, key, F.col(f"_ord_{date}"), {"totals": "_totals", "before": "_before"}, "ord")
+        inside = F.slice("_totals", F.col(f"_place_{date}") * width + 1, F.lit(width))
+        found = F.zip_with("_before", inside, lambda before, within: before + within)
+        rows = rows.withColumn(f"_at_{date}", found).drop("_totals", "_before", f"_ord_{date}", f"_place_{date}")
+    return rows
 
 
 def totals_between(
     df: DataFrame, blocks: Blocks, start: Column, stop: Column, key: str = "location"
 ) -> DataFrame:
-    """Add one column per name of the blocks: its total from ``start`` up to the day before ``stop``.
-
-    Needs ``last_day`` of the postcode in ``df``. Before the first block there is
-    nothing yet, and beyond the last day nothing is added any more.
-    """
-    beyond = F.date_add("last_day", 1)
-    rows = df.withColumns({"_from": F.least(start, beyond), "_to": F.least(stop, beyond)})
-    rows = join_blocks(rows, blocks, key, block_of(F.col("_from")), {"totals": "_from_totals"})
-    rows = join_blocks(rows, blocks, key, block_of(F.col("_to")), {"totals": "_to_totals"})
-    width = len(blocks.names)
-    rows = rows.withColumns({f"_{end}_at": place_in_block(F.col(f"_{end}")) * width for end in ("from", "to")})
-    if width <= _DIRECT_TOTALS:
-        total = "coalesce(get(_to_totals, _to_at + {k}), 0) - coalesce(get(_from_totals, _from_at + {k}), 0)"
-    else:
-        nothing = F.array_repeat(F.lit(0), width)
-        at_to, at_from = (
-            F.coalesce(F.slice(f"_{end}_totals", F.col(f"_{end}_at") + 1, F.lit(width)), nothing)
-            for end in ("to", "from")
-        )
-        rows = rows.withColumn("_total", F.zip_with(at_to, at_from, lambda to, since: to - since))
-        total = "_total[{k}]"
-    return rows.selectExpr(*df.columns, *(f"{total.format(k=k)} AS {name}" for k, name in enumerate(blocks.names)))
+    """Add one column per name of the blocks: its total from ``start`` up to the day before ``stop``."""
+    rows = totals_at(df.withColumns({"_from": start, "_to": stop}), blocks, ["_from", "_to"], key)
+    nothing = F.array_repeat(F.lit(0), len(blocks.names))
+    ends = (F.coalesce(f"_at_{end}", nothing) for end in ("_to", "_from"))
+    rows = rows.withColumn("_total", F.zip_with(*ends, lambda to, since: to - since))
+    return rows.selectExpr(*df.columns, *(f"_total[{k}] AS {name}" for k, name in enumerate(blocks.names)))

@@ -12,24 +12,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from climagest.sources.shared import small, written
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, position below
 
 
-def placed_in_order(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def placed_in_order(df: DataFrame, order_by: Sequence[str], unique: bool = False) -> DataFrame:
     """Rows with ``_part`` and ``_pos``, their place in the order of ``order_by``.
 
     Stored before use: range bounds come from sampling, so a second evaluation
-    could cut the stretches elsewhere. Equal rows are told apart by an input
-    position so that a large group of copies can be cut, too.
+    could cut the stretches elsewhere. Rows equal in ``order_by`` come in the order of a hash of the whole
+    row, which does not depend on how the input was divided among tasks; rows equal in
+    everything are told apart by their position, so that a large group of copies can be cut, too.
+    ``unique`` says that no two rows are equal in ``order_by``.
     """
     stretches = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*order_by, "_tie"]
+    keys = list(order_by) if unique else [*order_by, "_same", "_tie"]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tied = df if unique else df.withColumns({"_same": F.xxhash64(*hashed), "_tie": F.monotonically_increasing_id()})
     placed = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(stretches, *keys)
+        tied.repartitionByRange(stretches, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_place", F.monotonically_increasing_id())
         .select(
@@ -56,9 +60,15 @@ def totals_before(placed: DataFrame, within: Sequence[str], total: Column) -> Da
     return small(table)
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), name: str = "row") -> DataFrame:
-    """Number rows from 1 in the order of ``order_by``, restarting in each ``within`` group."""
-    placed = placed_in_order(df, [*within, *(c for c in order_by if c not in within)])
+def number_rows(
+    df: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), name: str = "row", ties: Sequence[str] = ()
+) -> DataFrame:
+    """Number rows from 1 in the order of ``order_by``, restarting in each ``within`` group.
+
+    The same rows get the same numbers however the input is divided. ``ties`` names columns that order what
+    ``order_by`` leaves equal, such as ``sources.readers.PLACE`` for the order of the input files.
+    """
+    placed = placed_in_order(df, list(dict.fromkeys([*within, *order_by, *ties])))
     offsets = totals_before(placed, within, F.count("*"))
     number = F.col("_before") + F.col("_pos") - F.col("_first") + 1
     return placed.join(offsets, [*within, "_part"]).select(*df.columns, number.alias(name))
@@ -76,31 +86,32 @@ def number_values(df: DataFrame, column: str, name: str = "Number", few: bool =
     return distinct.withColumn(name, F.row_number().over(Window.orderBy(column)))
 
 
-def run_ids(df: DataFrame, column: str, order_by: Sequence[str], name: str = "Number") -> DataFrame:
-    """Run id in the order of ``order_by``: it grows whenever ``column`` changes.
+def run_ids(
+    df: DataFrame, column: str, order_by: Sequence[str], name: str = "Number", within: Sequence[str] = ()
+) -> DataFrame:
+    """Run id in the order of ``order_by``: it grows whenever ``column`` changes, and starts anew in each ``within`` group.
 
-    Also adds ``<column>_step``, the difference to the row before.
+    A value that comes back after another one is a new run. Also adds ``<column>_step``, the difference to the row before.
     """
-    placed = placed_in_order(df, order_by)
-    in_part = Window.partitionBy("_part").orderBy("_pos")
+    placed = placed_in_order(df, list(dict.fromkeys([*within, *order_by])))
+    in_part = Window.partitionBy("_part", *within).orderBy("_pos")
     # last value of the nearest earlier stretch, for the first row of a stretch
-    lasts = placed.groupBy("_part").agg(F.max_by(column, "_pos").alias("_last"))
-    previous = small(
-        lasts.withColumn("_prior", F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("_part"))).drop("_last")
-    )
-    before = F.when(F.col("_pos") == 0, F.col("_prior")).otherwise(F.lag(column).over(in_part))
+    lasts = placed.groupBy(*within, "_part").agg(F.max_by(column, "_pos").alias("_last"), F.min("_pos").alias("_begin"))
+    order = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part")
+    previous = small(lasts.withColumn("_prior", F.lag("_last").over(order)).drop("_last"))
+    before = F.when(F.col("_pos") == F.col("_begin"), F.col("_prior")).otherwise(F.lag(column).over(in_part))
     step = F.col(column) - F.col("_before_value")
     stepped = (
-        placed.join(previous, "_part")
+        placed.join(previous, [*within, "_part"])
         .withColumn("_before_value", before)
         .withColumn(f"{column}_step", step)
         .withColumn("_change", F.when(F.col(f"{column}_step") != 0, 1).otherwise(0))
     )
-    earlier = totals_before(stepped, [], F.sum("_change"))
+    earlier = totals_before(stepped, within, F.sum("_change"))
     through_row = in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = 1 + F.col("_before") + F.sum("_change").over(through_row)
     return (
-        stepped.join(earlier.drop("_first"), "_part")
+        stepped.join(earlier.drop("_first"), [*within, "_part"])
         .withColumn(name, run.cast("int"))
         .select(*df.columns, f"{column}_step", name)
     )

@@ -23,15 +23,16 @@ def prepare_weather(
     exposure_col: str | None = "TAVG",
     flags: Iterable[str] = (),
     bounds: tuple[int, int] | None = POSTCODE_BOUNDS,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """location, date, exposure (any numeric weather column) and the wanted flags."""
+    """location, date, exposure (any numeric weather column), the wanted flags and the columns ``keep``."""
     columns = [
         whole_column(weather, "Zip").alias("location"),
         F.col("Date").cast("date").alias("date"),
     ]
     if exposure_col is not None:
         columns.append(drop_nan(exposure_col).alias("exposure"))
-    columns += [F.col(flag) for flag in flags]
+    columns += [F.col(name) for name in (*flags, *keep)]
     clean = pruned(weather, "Zip", bounds).select(*columns)
     return open_range(clean, "location", bounds) if bounds else clean
 

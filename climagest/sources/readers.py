@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,28 +12,47 @@ from climagest.functions.numbers import to_number, to_whole
 from climagest.schema import WEATHER
 
 ZIP_PART = "zip_part"
+#: Where a row lies: its file, and the row in it. Files count in the order of their names.
+PLACE = ("_file", "_row")
 
 
-def read_births(spark: SparkSession, path: str, format: str = "parquet", id_type: str | None = None) -> DataFrame:
+def with_place(df: DataFrame) -> DataFrame:
+    """``df``, as it is read from Parquet, with the columns ``PLACE``."""
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+    except AnalysisException as unknown:
+        raise ValueError("only rows read straight from Parquet have a place; store the table first") from unknown
+
+
+def read_births(
+    spark: SparkSession, path: str, format: str = "parquet", id_type: str | None = None, place: bool = False
+) -> DataFrame:
     """Births with the columns RFA_ID, ZIP, ADMD and GEST as they are stored.
 
     CSV gives text; ``id_type`` ("long") casts the record id, so that births are numbered as from Parquet.
-    An id that does not fit is an error.
+    An id that does not fit is an error. ``place`` adds ``PLACE``.
     """
     table = _read(spark, path, format)
+    table, more = (with_place(table), PLACE) if place else (table, ())
     record = F.col("RFA_ID").cast(id_type) if id_type else F.col("RFA_ID")
-    return table.select(record.alias("RFA_ID"), "ZIP", "ADMD", "GEST")
+    return table.select(record.alias("RFA_ID"), "ZIP", "ADMD", "GEST", *more)
 
 
 def read_weather(
-    spark: SparkSession, path: str, family: str = "Hot", format: str = "parquet", exposure_col: str | None = None
+    spark: SparkSession,
+    path: str,
+    family: str = "Hot",
+    format: str = "parquet",
+    exposure_col: str | None = None,
+    place: bool = False,
 ) -> DataFrame:
     """Daily weather with the flags of ``family`` ("Hot" or "Cold") and any further column wanted as exposure.
 
     Columns the file lacks are left out: the cold file carries no temperature. Text that holds no number is
-    missing; text that holds no date is an error.
+    missing; text that holds no date is an error. ``place`` adds ``PLACE``.
     """
     table = _read(spark, path, format)
+    table, more = (with_place(table), PLACE) if place else (table, ())
     stored = {field.name.lower(): field.dataType for field in table.schema}
     fields = [f for f in WEATHER[family].fields if f.name.lower() in stored]
     if exposure_col and exposure_col.lower() not in {f.name.lower() for f in fields}:
@@ -45,7 +65,7 @@ def read_weather(
             return F.col(field.name)  # as stored, so that a postcode bound reaches the file
         return F.col(field.name).try_cast(field.dataType)
 
-    return table.select(*(read(f).alias(f.name) for f in fields))
+    return table.select(*(read(f).alias(f.name) for f in fields), *more)
 
 
 def read_location(spark: SparkSession, root: str, location: int) -> DataFrame:

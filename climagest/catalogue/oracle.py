@@ -230,6 +230,30 @@ ORACLE: dict[str, str] = {
     "births_from_csv_dates": sql(
         "SELECT RFA_ID, location, CASE WHEN RFA_ID % 5 = 0 OR RFA_ID % 7 <> 0 THEN admd END AS admd, gest FROM births", "births"
     ),
+    "births_csv_checked": """
+        SELECT CASE WHEN RFA_ID % 29 = 0 OR RFA_ID % 31 = 0 THEN 'line' ELSE 'row' END AS kind,
+               CASE WHEN RFA_ID % 29 = 0 THEN RFA_ID || ';' || ZIP
+                    WHEN RFA_ID % 31 = 0 THEN RFA_ID || ';' || ZIP || ';' || ADMD || ';' || GEST || ';more;fields'
+                    ELSE RFA_ID || ',' || ZIP || ',' || ADMD || ',' || GEST END AS text
+        FROM (""" + CTES["births_raw"] + ") b",
+    "cleaning_ledger": sql(
+        """SELECT 'births' AS "table", reason, n FROM (
+             SELECT count(*) AS rows, count(*) FILTER (ZIP IS NULL) AS zip_missing,
+               count(*) FILTER (ZIP IS NOT NULL AND TRY_CAST(ZIP AS INTEGER) IS NULL) AS zip_malformed,
+               count(*) FILTER (GEST IS NULL) AS gest_missing,
+               count(*) FILTER (GEST IS NOT NULL AND TRY_CAST(GEST AS DOUBLE) IS NULL) AS gest_malformed,
+               count(*) FILTER (NOT (TRY_CAST(ZIP AS INTEGER) > 29000 AND TRY_CAST(ZIP AS INTEGER) < 29945)) AS zip_out_of_bounds
+             FROM births_text) t
+           UNPIVOT (n FOR reason IN (rows, zip_missing, zip_malformed, gest_missing, gest_malformed, zip_out_of_bounds))
+           UNION ALL
+           SELECT 'windows', reason, n FROM (
+             SELECT CAST(sum(2 + CASE WHEN tr3 < admd THEN 2 ELSE 0 END + CASE WHEN tr3 > admd AND tr2 < admd THEN 1 ELSE 0 END) AS BIGINT) AS rows,
+               2 * count(*) FILTER (pre IS NULL) AS null_window
+             FROM dated_text WHERE location IN (SELECT location FROM local_temperature)) w
+           UNPIVOT (n FOR reason IN (rows, null_window))""",
+        "births_text", "births_parsed", "local_temperature",
+        dated_text=CTES["dated"].replace("FROM births", "FROM births_parsed"),
+    ),
     "weather_text_zip": sql(
         f"""SELECT location, date, {settled('exposure')} AS exposure FROM local_temperature WHERE day(date) <> 13""",
         "local_temperature",
@@ -411,7 +435,7 @@ ORACLE: dict[str, str] = {
     ),
     **{
         name: sql(f"SELECT location, {_ROUNDED_PERCENTILES} FROM percentiles", "percentiles")
-        for name in ("location_percentiles", "location_percentiles_sorted")
+        for name in ("location_percentiles", "location_percentiles_sorted", "location_percentiles_selected")
     },
     **{
         name: sql(
@@ -436,6 +460,9 @@ ORACLE: dict[str, str] = {
     "band_means_first_14": _band_query(1, 14),
     "band_means_from_wide": _band_query(1, 91),
     "partition_roundtrip": _band_query(1, 91, "SELECT *, location AS zip_part FROM means"),
+    "partition_replace": _band_query(
+        1, 91, "SELECT * REPLACE (Identifier + CASE WHEN location IN (29401, 29112) THEN 1000000 ELSE 0 END AS Identifier) FROM means"
+    ),
     "band_means_from_partition": _band_query(1, 91, "SELECT * FROM means WHERE location = 29401"),
     "one_location": _band_query(1, 91, "SELECT * FROM means WHERE location = 29401"),
     "location_list": sql("SELECT DISTINCT location AS zip_part FROM identified", "identified"),

@@ -41,7 +41,9 @@ from climagest.operators.wide import exposure_wide, map_groups, nest, pivot_days
 from climagest.plans.exposure import exposure_long, write_exposure_wide, write_percentile_dataset
 from climagest.plans.extremes import extreme_day_counts, write_extreme_day_counts
 from climagest.schema import DAY_ZERO, FLAGS, PERCENTILES, POSTCODE_BOUNDS, WEATHER, WINDOWS
-from climagest.sources.readers import PLACE, list_locations, read_births, read_location, read_weather
+from climagest.sources.ledger import SCHEMA as LEDGER
+from climagest.sources.published import publish, read_published
+from climagest.sources.readers import PLACE, list_locations, read_births, read_checked_csv, read_location, read_weather
 from climagest.sources.shared import fresh_path, written
 from climagest.sources.writers import (
     write_by_location,
@@ -51,6 +53,8 @@ from climagest.sources.writers import (
     write_window_counts,
 )
 
+REPLACED = (29401, 29112)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -226,6 +230,38 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def births_csv_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Births in CSV with another delimiter and broken lines: the rows as they are read, and the lines kept apart."""
+    path = fresh_path(spark, "births-csv")
+    births, key = standin.births(spark, folder), F.col("RFA_ID")
+    whole = F.concat_ws(";", "RFA_ID", "ZIP", "ADMD", "GEST")
+    short = F.concat_ws(";", "RFA_ID", "ZIP")
+    line = F.when(key % 29 == 0, short).when(key % 31 == 0, F.concat(whole, F.lit(";more;fields"))).otherwise(whole)
+    births.select(line.alias("RFA_ID;ZIP;ADMD;GEST")).write.option("header", True).option("sep", "\x01").csv(path)
+    rows, wrong = read_checked_csv(spark, path)
+    kept = rows.select(F.lit("row").alias("kind"), F.concat_ws(",", *rows.columns).alias("text"))
+    return kept.unionByName(wrong.select(F.lit("line").alias("kind"), "text"))
+
+
+def cleaning_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """What cleaning dropped on the way from CSV births to the window files, by table and reason."""
+    births, weather = fresh_path(spark, "births-csv"), fresh_path(spark, "weather")
+    write_csv(standin.text_births(spark, folder), births)
+    write_table(standin.weather(spark, folder), weather)
+    output = fresh_path(spark, "counts")
+    write_extreme_day_counts(spark, births, weather, output, "Hot", "csv", "parquet")
+    return spark.read.csv(f"{output}/Hot_ledger.csv", header=True, schema=LEDGER)
+
+
+def partition_replace(spark: SparkSession, folder: str) -> DataFrame:
+    """Band means by postcode of which two postcodes are written a second time, read back."""
+    root = fresh_path(spark, "published")
+    means = written(bands_query(spark, folder, 1, 91), "means")
+    publish(means, root)
+    publish(means.withColumn("Identifier", F.col("Identifier") + 1_000_000), root, REPLACED)
+    return read_published(spark, root).drop("zip_part")
+
+
 def births_from_csv_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Births whose delivery stands in CSV as a date, some as a day number, some not at all."""
     path = fresh_path(spark, "births-csv")
@@ -446,23 +482,29 @@ def grouped_map_streaks(spark: SparkSession, folder: str) -> DataFrame:
         ends = {"first_day": days["day"].iloc[0], "last_day": days["day"].iloc[-1], "first": values[0], "last": values[-1]}
         return pd.DataFrame([{**ends, "n": len(values), "head": head, "tail": now, "longest": longest}])
 
+    def together(pieces: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for piece in pieces.to_dict("records"):
+            if whole is None:
+                whole = piece
+                continue
+            meets = piece["first_day"] == whole["last_day"] + 1 and piece["first"] > whole["last"]
+            across = whole["tail"] + 1 + piece["head"] if meets else 0
+            head = across if meets and whole["head"] == whole["n"] - 1 else whole["head"]
+            tail = across if meets and piece["tail"] == piece["n"] - 1 else piece["tail"]
+            longest = max(whole["longest"], piece["longest"], across)
+            ends = {"first_day": whole["first_day"], "first": whole["first"], "last_day": piece["last_day"], "last": piece["last"]}
+            whole = {**whole, **ends, "n": whole["n"] + piece["n"], "head": head, "tail": tail, "longest": longest}
+        return pd.DataFrame([whole])
+
     def joined(pieces: pd.DataFrame) -> pd.DataFrame:
-        longest = now = 0
-        before = None
-        for piece in pieces.itertuples():
-            meets = before is not None and piece.first_day == before.last_day + 1 and piece.first > before.last
-            now = now + 1 if meets else 0
-            longest = max(longest, piece.longest, now + piece.head)
-            now = now + piece.tail if piece.tail == piece.n - 1 else piece.tail
-            before = piece
-        days = int(pieces["n"].sum())
-        return pd.DataFrame([{"location": pieces["location"].iloc[0], "n_days": days, "longest_rise": longest}])
+        whole = together(pieces)
+        return whole.rename(columns={"n": "n_days", "longest": "longest_rise"})[["location", "n_days", "longest_rise"]]
 
     days = _temperature(spark, folder).where("exposure IS NOT NULL").select("location", F.unix_date("date").alias("day"), "exposure")
     partial_schema = "first_day int, last_day int, first double, last double, n long, head long, tail long, longest long"
-    return map_groups(
-        days, "location", ["day"], runs, partial_schema, joined, "location int, n_days long, longest_rise long", rows=1000
-    )
+    schema = "location int, n_days long, longest_rise long"
+    return map_groups(days, "location", ["day"], runs, partial_schema, joined, schema, rows=100, combine=together, fan=8)
 
 
 # -- percentiles and bands ---------------------------------------------------
@@ -555,6 +597,8 @@ QUERIES: dict[str, Query] = {
     "births_clean_text": births_clean_text,
     "births_from_csv": births_from_csv,
     "births_from_csv_dates": births_from_csv_dates,
+    "births_csv_checked": births_csv_checked,
+    "cleaning_ledger": cleaning_ledger,
     "weather_text_zip": weather_text_zip,
     "weather_clean": daily_weather,
     "gestation_dates": _dated,
@@ -613,6 +657,7 @@ QUERIES: dict[str, Query] = {
     "grouped_map_streaks": grouped_map_streaks,
     "location_percentiles": percentiles_query,
     "location_percentiles_sorted": partial(percentiles_query, method="sorted"),
+    "location_percentiles_selected": partial(percentiles_query, method="selected"),
     "percentile_dataset": dataset_query,
     "percentile_dataset_partitioned": dataset_partitioned,
     "band_means_from_partition": bands_from_partition,
@@ -622,6 +667,7 @@ QUERIES: dict[str, Query] = {
     "band_means_first_14": partial(bands_query, first=1, last=14),
     "band_means_from_wide": bands_from_wide,
     "partition_roundtrip": partition_roundtrip,
+    "partition_replace": partition_replace,
     "one_location": one_location,
     "location_list": location_list,
 }

@@ -9,10 +9,27 @@ from climagest.functions.dates import admission_date, before_delivery, gestation
 from climagest.functions.numbers import number_column, whole_column
 from climagest.operators.filters import open_range, pruned
 from climagest.schema import MAX_SPAN_DAYS, POSTCODE_BOUNDS
+from climagest.sources.ledger import Ledger
 
 
-def prepare_births(births: DataFrame, bounds: tuple[int, int] | None = POSTCODE_BOUNDS) -> DataFrame:
-    """RFA_ID, location, admd (date) and gest (weeks) of births inside the postcode bounds."""
+def prepare_births(
+    births: DataFrame, bounds: tuple[int, int] | None = POSTCODE_BOUNDS, ledger: Ledger | None = None
+) -> DataFrame:
+    """RFA_ID, location, admd (date) and gest (weeks) of births inside the postcode bounds.
+
+    ``ledger`` counts, as ``births``, the rows without or with a malformed postcode or number of weeks, and those out of bounds.
+    """
+    if ledger is not None:
+        location, gest = whole_column(births, "ZIP"), number_column(births, "GEST")
+        reasons = {
+            "zip_missing": F.col("ZIP").isNull(),
+            "zip_malformed": F.col("ZIP").isNotNull() & location.isNull(),
+            "gest_missing": F.col("GEST").isNull(),
+            "gest_malformed": F.col("GEST").isNotNull() & gest.isNull(),
+        }
+        if bounds:
+            reasons["zip_out_of_bounds"] = ~((location > bounds[0]) & (location < bounds[1]))
+        births = ledger.watch(births, "births", reasons)
     clean = pruned(births, "ZIP", bounds).select(
         "RFA_ID",
         whole_column(births, "ZIP").alias("location"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from climagest.operators.numbering import number_values
 from climagest.schema import WINDOWS, Window
+from climagest.sources.ledger import Ledger
 from climagest.sources.shared import SMALL_ROWS, has_at_most
 
 COHORT_COLUMNS = ("ZIP", "ADMD", "RFA_ID", "start", "End", "Number")
@@ -26,11 +27,15 @@ def numbered_locations(births: DataFrame, locations: DataFrame, few: bool) -> Da
 
 
 def in_windows(
-    births: DataFrame, windows: Sequence[Window], more: Callable[[Window], Mapping[str, str]] = lambda window: {}
+    births: DataFrame,
+    windows: Sequence[Window],
+    more: Callable[[Window], Mapping[str, str]] = lambda window: {},
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """One row per birth and window it belongs to, from a single pass over the births.
 
     ``stop`` is the day after ``End``. ``more`` names further columns (name -> expression) of a window.
+    ``ledger`` counts, as ``windows``, the rows dropped because a date is missing.
     """
     structs = ", ".join(
         f"struct('{w.name}' AS window, {w.start} AS start, {w.stop or 'date_add(admd, 1)'} AS stop, {w.keep} AS _keep"
@@ -39,10 +44,11 @@ def in_windows(
         for w in windows
     )
     further = list(more(windows[0])) if windows else []
+    rows = births.selectExpr("location", "admd", "RFA_ID", "Number", f"inline(array({structs}))").where("_keep")
+    if ledger is not None:
+        rows = ledger.watch(rows, "windows", {"null_window": F.col("start").isNull() | F.col("stop").isNull()})
     return (
-        births.selectExpr("location", "admd", "RFA_ID", "Number", f"inline(array({structs}))")
-        .where("_keep")
-        .dropna(subset=["start", "stop", "location"])
+        rows.dropna(subset=["start", "stop", "location"])
         .selectExpr(
             "window",
             "location AS ZIP",

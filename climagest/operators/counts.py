@@ -19,6 +19,7 @@ from climagest.operators.cohort import COHORT_COLUMNS, in_windows, numbered_loca
 from climagest.operators.numbering import number_rows, placed_in_order, run_ids
 from climagest.operators.weather import daily_flag_counts
 from climagest.schema import WINDOWS
+from climagest.sources.ledger import Ledger
 from climagest.sources.readers import PLACE
 from climagest.sources.shared import SMALL_ROWS, has_at_most, small, written
 
@@ -62,7 +63,7 @@ def flag_days(
 
 
 def window_counts(
-    births: DataFrame, days: FlagDays, windows: Sequence[str] = tuple(WINDOWS)
+    births: DataFrame, days: FlagDays, windows: Sequence[str] = tuple(WINDOWS), ledger: Ledger | None = None
 ) -> DataFrame:
     """Ten counts per birth and window.
 
@@ -79,7 +80,7 @@ def window_counts(
     rows = births.join(numbers, "location").withColumn("_after", F.date_add("admd", 1))
     rows = totals_at(rows, blocks, ends, key)
     looked_up = lambda w: {"_from": f"_at_{w.start}", "_to": f"_at_{w.stop or '_after'}"}
-    laid_out = in_windows(rows, chosen, looked_up)
+    laid_out = in_windows(rows, chosen, looked_up, ledger)
     counts = (f"CAST(coalesce(_to[{k}], 0) - coalesce(_from[{k}], 0) AS BIGINT) AS {n}" for k, n in enumerate(blocks.names))
     return laid_out.selectExpr("window", *COHORT_COLUMNS, *counts)
 

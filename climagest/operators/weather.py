@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from climagest.functions.numbers import drop_nan, whole_column
 from climagest.operators.filters import open_range, pruned
 from climagest.operators.numbering import placed_in_order, totals_before
+from climagest.operators.selection import values_at_ranks
 from climagest.schema import PERCENTILES, POSTCODE_BOUNDS
-from climagest.sources.shared import small
+from climagest.sources.shared import small, written
 
 # Above this many values in one postcode the percentiles are read off a
 # distributed sort instead of one aggregation state per postcode.
@@ -44,7 +45,7 @@ def location_frequency(weather: DataFrame) -> DataFrame:
 
 def births_with_weather(births: DataFrame, weather: DataFrame) -> DataFrame:
     """Births whose postcode occurs in the weather."""
-    return births.join(small(weather.select("location").distinct()), "location", "left_semi")
+    return births.join(small(written(weather.select("location").distinct(), "locations")), "location", "left_semi")
 
 
 def daily_flag_counts(weather: DataFrame, flags: Mapping[str, str]) -> DataFrame:
@@ -87,8 +88,8 @@ def location_percentiles(
 
     ``method``: "aggregate" keeps the values of a postcode in one aggregation
     state, "sorted" reads them off a distributed sort, "auto" picks by the
-    largest number of values any postcode has, and "approximate" opts out of
-    exactness for very large inputs.
+    largest number of values any postcode has, "selected" narrows the values down digit by digit
+    without sorting them, and "approximate" opts out of exactness for very large inputs.
     """
     if method == "auto":
         most = (
@@ -97,6 +98,8 @@ def location_percentiles(
         method = "aggregate" if (most or 0) <= VALUES_PER_LOCATION else "sorted"
     if method == "sorted":
         return _percentiles_by_sort(weather, percentiles)
+    if method == "selected":
+        return _percentiles_by_selection(weather, percentiles)
     shares = F.array(*(F.lit(share) for share in percentiles.values()))
     function = F.percentile_approx if method == "approximate" else F.percentile
     return (
@@ -106,6 +109,30 @@ def location_percentiles(
     )
 
 
+def _percentiles_by_selection(weather: DataFrame, percentiles: Mapping[str, float]) -> DataFrame:
+    """Percentiles from the values at the two ranks around each of them."""
+    values = written(weather.select("location", drop_nan("exposure").alias("value")), "values")
+    sizes = written(values.groupBy("location").agg(F.count("value").alias("n")), "sizes")
+    shares = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in percentiles.items()))
+    placed = sizes.where("n > 0").select("location", "n", F.inline(shares)).withColumn("at", (F.col("n") - 1) * F.col("share"))
+    placed = placed.withColumns({"low": F.floor("at"), "high": F.ceil("at")})
+    ranks = placed.select("location", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    found = values_at_ranks(values, ranks, ["location"], "value")
+    picked = placed.join(small(found), "location").groupBy("location").agg(
+        *(
+            column
+            for name in percentiles
+            for column in (
+                F.max(F.when((F.col("name") == name) & (F.col("rank") == F.col("low")), F.col("value"))).alias(f"_low_{name}"),
+                F.max(F.when((F.col("name") == name) & (F.col("rank") == F.col("high")), F.col("value"))).alias(f"_high_{name}"),
+                F.max(F.when(F.col("name") == name, F.col("at") - F.col("low"))).alias(f"_part_{name}"),
+            )
+        )
+    )
+    none = sizes.where("n = 0").select("location")
+    return _between_neighbours(picked, percentiles).unionByName(none, allowMissingColumns=True)
+
+
 def _percentiles_by_sort(weather: DataFrame, percentiles: Mapping[str, float]) -> DataFrame:
     """Percentiles without gathering a postcode: equal values are merged first,
     the distinct ones sorted across all tasks, and each value then covers the
@@ -139,7 +166,10 @@ def _percentiles_by_sort(weather: DataFrame, percentiles: Mapping[str, float]) -
             value_at(F.ceil(position)).alias(f"_high_{name}"),
             F.max(position - F.floor(position)).alias(f"_part_{name}"),
         ]
-    picked = ranked.groupBy("location").agg(*bounds)
+    return _between_neighbours(ranked.groupBy("location").agg(*bounds), percentiles)
+
+
+def _between_neighbours(picked: DataFrame, percentiles: Mapping[str, float]) -> DataFrame:
     return picked.select(
         "location",
         *(

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from climagest.functions.columns import day_names, named_like
 from climagest.operators.blocks import BLOCK_DAYS, Blocks, block_of, join_blocks, place_in_block
 from climagest.operators.numbering import number_rows
+from climagest.sources.shared import written
 
 WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
 
@@ -124,6 +125,8 @@ def map_groups(
     merge: Callable,
     schema: str,
     rows: int = 100_000,
+    combine: Callable | None = None,
+    fan: int = 64,
 ) -> DataFrame:
     """A calculation on the ordered rows of each group that built-in functions cannot express.
 
@@ -132,6 +135,10 @@ def map_groups(
     a group, in order and with its ``piece``, and gives the group's result (``schema``, with ``key``). No task
     holds the rows of a whole group, and if ``merge`` puts pieces together correctly the result is
     the same for every ``rows``, so each group has one result whatever its size.
+
+    ``combine`` gets what is known of up to ``fan`` neighbouring pieces, in order, and gives what has to be known of them
+    together, in the same columns. With it, pieces are put together round by round until ``merge`` gets at most
+    ``fan`` of them, so no task reads more than that of a group.
     """
     pieces = split_groups(df, key, order_by, rows).drop("_row")
 
@@ -142,4 +149,17 @@ def map_groups(
     fields = StructType.fromDDL(partial_schema)
     known = StructType([pieces.schema[key], pieces.schema["piece"], *(f for f in fields if f.name != key)])
     partials = pieces.groupBy(key, "piece").applyInPandas(lambda p: one(p)[known.names], known)
+    if combine is not None:
+
+        def together(near: pd.DataFrame) -> pd.DataFrame:
+            place = near[[key, "_round"]].iloc[0]
+            whole = combine(near.sort_values("piece").drop(columns="_round"))
+            return whole.assign(**{key: place[key], "piece": place["_round"]})[known.names]
+
+        partials = written(partials, "partials")
+        top = partials.agg(F.max("piece")).first()[0] or 0
+        while top >= fan:
+            near = partials.withColumn("_round", F.floor(F.col("piece") / fan).cast("int"))
+            partials = near.groupBy(key, "_round").applyInPandas(together, known)
+            top //= fan
     return partials.groupBy(key).applyInPandas(lambda p: merge(p.sort_values("piece")), schema)

@@ -10,7 +10,9 @@ from climagest.operators.births import gestation_dates, prepare_births
 from climagest.operators.counts import flag_days, window_counts
 from climagest.operators.weather import prepare_weather
 from climagest.schema import FLAGS, POSTCODE_BOUNDS, WINDOWS
+from climagest.sources.ledger import Ledger
 from climagest.sources.readers import read_births, read_weather
+from climagest.sources.shared import written
 from climagest.sources.writers import write_all_window_counts
 
 
@@ -44,10 +46,19 @@ def write_extreme_day_counts(
     folder: str,
     family: str = "Hot",
     format: str = "parquet",
+    weather_format: str | None = None,
+    ledger: Ledger | None = None,
 ) -> list[str]:
-    """Read, count all windows in one go and write one CSV dataset per window."""
-    flags = FLAGS[family]
-    dated = gestation_dates(prepare_births(read_births(spark, births_path, format)))
-    weather = prepare_weather(read_weather(spark, weather_path, family, format), None, flags)
+    """Read, count all windows in one go and write one CSV dataset per window.
+
+    What cleaning dropped, by reason, is written beside them as ``<family>_ledger.csv`` and stays in ``ledger``.
+    """
+    flags, ledger = FLAGS[family], ledger or Ledger()
+    # the raw births are read, cleaned and counted once
+    births = written(prepare_births(read_births(spark, births_path, format), ledger=ledger), "births")
+    dated = gestation_dates(births)
+    weather = prepare_weather(read_weather(spark, weather_path, family, weather_format or format), None, flags)
     days = flag_days(weather, flags)
-    return write_all_window_counts(window_counts(dated, days), folder, family, WINDOWS.values())
+    paths = write_all_window_counts(window_counts(dated, days, ledger=ledger), folder, family, WINDOWS.values())
+    ledger.write(spark, f"{folder.rstrip('/')}/{family}_ledger.csv")
+    return paths

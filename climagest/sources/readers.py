@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 from climagest.functions.dates import text_date
 from climagest.functions.numbers import to_number, to_whole
 from climagest.schema import WEATHER
+from climagest.sources.shared import written
 
 ZIP_PART = "zip_part"
 #: Where a row lies: its file, and the row in it. Files count in the order of their names.
@@ -78,6 +81,32 @@ def list_locations(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).select(ZIP_PART).distinct()
 
 
+DELIMITERS = (",", ";", "\t", "|")
+
+
+def read_checked_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV file or folder as text columns, and the lines that are no rows: ``file`` and ``text``.
+
+    A line is no row if it has not as many fields as the header or its quotes do not end. The delimiter, unless given, is the
+    one most frequent in the header. All files begin with the same header. Lines are parsed once.
+    """
+    header = spark.read.text(path).first()
+    if header is None:
+        raise ValueError(f"{path} is empty")
+    line = header[0].lstrip("\ufeff")
+    delimiter = delimiter or max(DELIMITERS, key=line.count)
+    names = [name.strip() for name in next(csv.reader([line], delimiter=delimiter))]
+    bad, file = "_bad_line", "_bad_file"
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*names, bad)])
+    rows = spark.read.csv(
+        path, sep=delimiter, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, ignoreLeadingWhiteSpace=True
+    )
+    # stored with all columns: only then are all fields of a line counted
+    stored = written(rows.withColumn(file, F.col("_metadata.file_path")), "csv")
+    wrong = stored.where(F.col(bad).isNotNull()).select(F.col(file).alias("file"), F.col(bad).alias("text"))
+    return stored.where(F.col(bad).isNull()).drop(bad, file), wrong
+
+
 def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
     if format == "csv":
         # Columns are found by header name and parsed below, so no pass over the

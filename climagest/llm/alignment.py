@@ -37,9 +37,9 @@ from climagest.sources.shared import broadcast_limit, fresh_path, written
 #: Where both tokenizers begin anew: one space, with something else than white space on both sides.
 CUT = re.compile(r"(?<=\S) (?=[\w!-/:-@\[-`{-~])")
 SPACE = "▁"
-UNITS_KNOWN = 250_000  # units remembered in a task; beyond that it starts anew
-SIGNS_KNOWN = 8 << 20  # and signs in them
-SIGNS = 2 << 20  # signs of texts in a chunk
+UNITS_KNOWN = 100_000  # units remembered in a task; beyond that it starts anew
+SIGNS_KNOWN = 4 << 20  # and signs in them
+SIGNS = 1 << 20  # signs of texts in a chunk
 # ---- fixed values: the split pattern of byte-level tokenizers, and the setting that stands for it
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -184,11 +184,11 @@ class Units(dict):
         if self.new:
             self._learn()
         known, codes = np.unique(codes, return_inverse=True)
-        packed = [bounds.astype("<i8"), codes.astype("<u4")]
+        packed = [narrow(bounds), narrow(codes)]
         for ids, starts in zip(self.ids, self.starts):
             many = starts[known + 1] - starts[known]
-            packed += [many.astype("<u4"), ids[spread(starts[known], many)].astype("<u4")]
-        return tuple(x.tobytes() for x in packed)
+            packed += [narrow(many), narrow(ids[spread(starts[known], many)])]
+        return tuple(packed)
 
     def _learn(self) -> None:
         self.signs += sum(map(len, self.new))
@@ -200,6 +200,16 @@ class Units(dict):
         self.new = []
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, behind the number of bytes."""
+    width = next(w for w in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def wide(packed: memoryview) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def spread(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Places ``start``, ``start + 1`` ... of each run, one run after the other."""
     return np.arange(int(many.sum())) + np.repeat(starts - np.cumsum(many) + many, many)
@@ -209,10 +219,7 @@ class Chunk:
     """Some texts as units, and the alignment of their distinct units."""
 
     def __init__(self, size_b: int, lengths: list[np.ndarray], parts: list[memoryview]) -> None:
-        self.bounds, codes = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4")
-        self.codes = codes.astype(np.int64)
-        self.n_a, self.n_b = (np.frombuffer(parts[k], "<u4").astype(np.int64) for k in (2, 4))
-        self.a, self.b = (np.frombuffer(parts[k], "<u4").astype(np.int64) for k in (3, 5))
+        self.bounds, self.codes, self.n_a, self.a, self.n_b, self.b = map(wide, parts)
         self.units = len(self.n_a)
         self.unit_a, self.unit_b = (np.repeat(np.arange(self.units), n) for n in (self.n_a, self.n_b))
         self.met = link(lengths[0][self.a], lengths[1][self.b])
@@ -292,7 +299,7 @@ def _aligned_chunks(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[p
     sizes, lengths = sent.value
     for batch in batches:
         for row in range(batch.num_rows):
-            yield batch, row, Chunk(sizes[1], lengths, [batch.column(name)[row].as_buffer() for name in PARTS])
+            yield batch, row, Chunk(sizes[1], lengths, [memoryview(batch.column(name)[row].as_buffer()) for name in PARTS])
 
 
 # ---- the function

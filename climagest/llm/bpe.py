@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,9 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces and pairs remembered in a worker; beyond that, it starts anew. Results do not depend on it.
-PIECES = 500_000
-PAIRS = 400_000
+#: Bytes of pieces, and number of pairs, remembered in a worker by each of two generations. Results do not depend on it.
+HELD = 24 << 20
+PAIRS = 120_000
+#: What an entry of a dict, its key's and its value's headers take.
+ENTRY = 180
+#: A pair of tokens is one number: the left one, plus one, times SHIFT, plus the right one.
+SHIFT = 1 << 24
+#: Bytes that tell how long the tokens are which may end there.
+TAIL = 4
 
 
 class Vocabulary:
@@ -34,12 +41,15 @@ class Vocabulary:
         pairs = (line.split() for line in lines.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        self.reach = [1] * 256
+        self.reach: dict[bytes, int] = {}
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
-        self.longest = max(self.reach)
-        self.known: dict[tuple[int, int], bool] = {}
+            if len(token) >= TAIL:
+                tail = token[-TAIL:]
+                self.reach[tail] = max(self.reach.get(tail, 0), len(token))
+        self.longest = max(map(len, self.ranks))
+        self.known: dict[int, bool] = {}
+        self.known_before: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None | bool] = {}
 
     def merged(self, data: bytes, least: int = 1) -> list[int]:
@@ -65,12 +75,16 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens side by side; ``left`` -1 is the text's start."""
-        stays = self.known.get((left, right))
+        pair = (left + 1) * SHIFT + right
+        stays = self.known.get(pair)
         if stays is None:
-            stays = self.halves(right) is not False and (left < 0 or self._stay(left, right))
+            stays = self.known_before.get(pair)
+            if stays is None:
+                stays = self.halves(right) is not False and (left < 0 or self._stay(left, right))
             if len(self.known) >= PAIRS:
+                self.known_before = dict(self.known)
                 self.known.clear()
-            self.known[left, right] = stays
+            self.known[pair] = stays
         return stays
 
     def _stay(self, a: int, b: int) -> bool:
@@ -100,13 +114,14 @@ class Prefixes:
 
     def _extend(self, data: bytes, last: list[int], stop: int) -> None:
         """Adds to ``last`` the last tokens of the prefixes of ``data`` up to length ``stop``."""
-        ranks, reach, apart = self.vocabulary.ranks.get, self.vocabulary.reach, self.vocabulary.apart
+        ranks, reach, apart = self.vocabulary.ranks.get, self.vocabulary.reach.get, self.vocabulary.apart
         known = self.vocabulary.known.get
         for end in range(len(last), stop + 1):
-            for start in range(max(0, end - reach[data[end - 1]]), end):
+            far = reach(data[end - TAIL : end], TAIL - 1) if end >= TAIL else end
+            for start in range(end - far if far < end else 0, end):
                 token = ranks(data[start:end])
                 if token is not None:
-                    stays = known((last[start], token))
+                    stays = known((last[start] + 1) * SHIFT + token)
                     if stays or stays is None and apart(last[start], token):
                         last.append(token)
                         break
@@ -147,15 +162,26 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
 
 
 class Encoder(dict):
-    """Pieces seen so far with their ids, packed; bounded."""
+    """Pieces seen so far with their ids, packed, in two generations bounded in bytes.
+
+    When the younger one is full it becomes the older one, from which pieces come back as they are met.
+    """
 
     def __init__(self, lines: bytes, pattern: str) -> None:
         self.vocabulary, self.pieces = Vocabulary(lines), regex.compile(pattern).findall
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
+        packed = self.before.get(piece)
+        if packed is None:
+            ids = encode_piece(self.vocabulary, piece.encode())
+            packed = struct.pack(f"<{len(ids)}i", *ids)
+        self.held += ENTRY + 4 * len(piece) + len(packed)
+        if self.held > HELD:
+            self.before, self.held = dict(self), 0
             self.clear()
-        packed = self[piece] = np.array(encode_piece(self.vocabulary, piece.encode()), "<i4").tobytes()
+        self[piece] = packed
         return packed
 
     def encode(self, text: str) -> np.ndarray:
@@ -183,7 +209,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     as U+FFFD. Other columns and repeated rows stay; a column named like ``into`` is replaced.
     """
     lines = Path(vocabulary).read_bytes()
-    others = [name for name in docs.columns if name != into]
+    others = [name for name in docs.columns if name.lower() != into.lower()]
     schema = T.StructType([docs.schema[name] for name in others] + [T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], tokens], names=[*others, into])
 
-    read = docs.select(*others, F.col(text).cast("string").cast("binary").alias("encoded text"))
+    read = docs.select(*(f"`{name}`" for name in others), F.col(f"`{text}`").cast("string").cast("binary").alias("encoded text"))
     return read.mapInArrow(run, schema)
 
 
@@ -217,23 +243,24 @@ def decode(tokens: DataFrame, vocabulary: str, tokens_column: str = "tokens", in
 
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Number and digest of the ids of every text, and digest of what they decode to."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary, pattern).select("doc_id", "tokens")
-    return decode(coded, vocabulary).mapInArrow(
-        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, lists, decoded = batch.columns
-        packed = [x.values.to_numpy().astype("<u4") for x in lists]
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array([len(x) for x in packed], pa.int64()),
-                pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in packed], pa.string()),
-                pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    """Number and digest of the ids of every text, and digest of what they decode to.
+
+    One row per row of ``docs``; a null text counts as empty, with no tokens. Texts are encoded
+    and decoded in one pass, so neither ids nor bytes leave the task.
+    """
+    lines = Path(vocabulary).read_bytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = encoder(lines, pattern)
+        for batch in batches:
+            sizes, coded, decoded = [], [], []
+            for value in batch.column(1):
+                ids = codes.encode(_text(value))
+                sizes.append(len(ids))
+                coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(codes.decode(ids)).hexdigest())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

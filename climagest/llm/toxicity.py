@@ -33,7 +33,8 @@ WINDOW = 6
 TEXTS_PER_CLASS, TEXT_BYTES = 2500, 32_768
 PASSES, WARM, BATCH, RATE, SEED = 24, 4, 64, 0.3, 17
 THRESHOLD = 0.3
-WORDS = 400_000
+#: Words whose scores a task remembers, in each of two generations.
+WORDS = 60_000
 
 SIGNS = string.punctuation + "…«»“”‘’¡¿"
 
@@ -165,12 +166,17 @@ class Scores(dict):
 
     def __init__(self, gram_scores: np.ndarray) -> None:
         self.gram_scores = gram_scores.tolist()
+        self.before: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
+        score = self.before.get(word)
+        if score is None:
+            found = grams(word)
+            score = sum(map(self.gram_scores.__getitem__, found)) / len(found)
         if len(self) >= WORDS:
+            self.before = dict(self)
             self.clear()
-        found = grams(word)
-        score = self[word] = sum(map(self.gram_scores.__getitem__, found)) / len(found)
+        self[word] = score
         return score
 
 
@@ -217,7 +223,7 @@ def score(docs: DataFrame, model: Model, others: list[str], text: str = "text",
     An empty text is scored as one empty word. Nothing but the text is looked at.
     """
     gram_scores, offset = model.gram_scores(), model.offset()
-    schema = docs.select(*others).schema.add(into, "double")
+    schema = docs.select(*(f"`{name}`" for name in others)).schema.add(into, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(gram_scores)
@@ -229,7 +235,7 @@ def score(docs: DataFrame, model: Model, others: list[str], text: str = "text",
             chances = 1 / (1 + np.exp(-np.clip(found, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(chances)], names=[*others, into])
 
-    return docs.select(*others, F.col(text).cast("string").cast("binary").alias("scored text")).mapInArrow(run, schema)
+    return docs.select(*(f"`{name}`" for name in others), F.col(f"`{text}`").cast("string").cast("binary").alias("scored text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,13 +6,16 @@ grouped minimum and are never paired. Classes that share a band are linked in tw
 1. every member of a bucket is verified against one member only, the hub, and the links found
    are joined to components. The hub is the member that meets most others over all bands, which
    is near the middle of a group of copies;
-2. members of a hub that are still in different components are verified pairwise. A pair is
-   left out where it cannot be a link (Jaccard distance is a metric, so two sets whose
+2. members of a hub that are still in different components are verified in rounds. In each
+   round a member meets, of those that may still be links, the nearest one (in the next round the nearest of each of
+   two bins, then of four, and so on); then components are joined again. A group of
+   copies grows together in the first rounds, and the rounds end when no pair is left that may be a
+   link. A pair is left out where it cannot be one (Jaccard distance is a metric, so two sets whose
    distances to the hub differ by more than 1/4 are further apart than 1/4), or where 1,024
    one-bit coordinates of a longer circulant signature differ in more than 183 places, which
    a pair of similarity 0.75 does once in ten million.
 
-So a bucket of near copies costs about as many pairs as it has members; members that meet
+So a group of near copies costs about as many verified pairs as it has members in each round; members that meet
 the hub but are no copies of it are compared by a few exclusive ors.
 """
 
@@ -134,11 +137,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Words and one-bit signatures of the documents that pairs name; no other text is kept or moved.
 
-    Of rows that share an id the first text counts.
+    Of rows that share an id the smallest text counts.
     """
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(small(written(named, "named")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = rows.join(small(written(named, "named")), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     schema = ", ".join(["doc_id long", "norm binary", *(f"{name} long" for name in BITS)])
     return written(rows.mapInArrow(_candidates, schema), "candidates")
 
@@ -170,24 +174,52 @@ def near_links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     texts = candidates(stars, docs)
     tested = written(compare(stars, texts), "tested")
     joined = components(linked(tested).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = written(open_pairs(stars, tested, joined, texts), "pairs")
-    if more.isEmpty():
-        return joined
-    found = linked(compare(more, texts)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(written(found, "links").union(joined))
+    refused, met, bins = unlinked(tested), meetings(stars, tested, joined, texts), 1
+    while True:
+        more = written(open_pairs(met, joined, refused, bins), "pairs")
+        if more.isEmpty():
+            return joined
+        compared = written(compare(more, texts), "tested")
+        refused = written(refused.union(unlinked(compared)), "refused")
+        found = linked(compared).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        joined = components(found.union(joined))
+        bins *= 2
 
 
-def open_pairs(stars: DataFrame, tested: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of members of the same hub, in different components so far, that may be links."""
-    of = joined.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
+def unlinked(compared: DataFrame) -> DataFrame:
+    """Compared pairs that are no links, the smaller id first."""
+    far = compared.where(100 * F.col("common") < LEAST * F.col("whole"))
+    return far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def mixed_hubs(placed: DataFrame) -> DataFrame:
+    """Rows of hubs whose members are in different components."""
+    spans = placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return placed.join(spans.where("x <> y").select("hub"), "hub", "left_semi")
+
+
+def placed_in(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``members`` with the component each is in so far."""
+    of = small(joined).select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
+    return members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def meetings(stars: DataFrame, tested: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of hubs that are not all in one component, with distance to the hub and bits."""
+    far = tested.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("whole")).alias("far"))
     members = stars.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
-    placed = members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub")
-    far = tested.select(
-        F.col("a").alias("hub"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("whole")).alias("far")
-    )
-    open_ = placed.join(mixed, "hub", "left_semi").join(far, ["hub", "doc_id"]).join(texts.drop("norm"), "doc_id")
-    open_ = written(open_.withColumn("cell", F.floor(F.col("far") * CELLS)), "open")
+    some = mixed_hubs(placed_in(members, joined)).drop("component")
+    met = some.join(far, ["hub", "doc_id"]).join(texts.drop("norm"), "doc_id")
+    return written(met.withColumn("cell", F.floor(F.col("far") * CELLS)), "open")
+
+
+def open_pairs(met: DataFrame, joined: DataFrame, refused: DataFrame, bins: int) -> DataFrame:
+    """At most ``bins`` pairs for each member: others of its hub, in another component so far, that may be links.
+
+    The partners of a member are dealt into ``bins`` by their ids, and of each bin the nearest by bits is taken. The minima are
+    combined where the pairs are made, so no more than these leave a task.
+    """
+    open_ = mixed_hubs(placed_in(met, joined))
 
     def side(name: str, cell: Column) -> DataFrame:
         renamed = [F.col(c).alias(f"{name}_{c}") for c in ("doc_id", "component", "far", *BITS)]
@@ -200,9 +232,15 @@ def open_pairs(stars: DataFrame, tested: DataFrame, joined: DataFrame, texts: Da
     condition = near & (F.col("x_component") != F.col("y_component")) & (apart <= BITS_APART)
     right = side("y", F.col("cell"))
     close = left.join(right, (left["hub"] == right["hub"]) & (left["cell"] == right["cell"]) & condition)
-    pairs = close.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(known, ["a", "b"], "left_anti")
+    pairs = close.select(
+        F.col("x_doc_id").alias("x"),
+        F.col("y_doc_id").alias("y"),
+        apart.alias("apart"),
+        F.least("x_doc_id", "y_doc_id").alias("a"),
+        F.greatest("x_doc_id", "y_doc_id").alias("b"),
+    ).join(small(refused), ["a", "b"], "left_anti")
+    nearest = pairs.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(bins)).alias("bin")).agg(F.min(F.struct("apart", "y")).alias("best"))
+    return nearest.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,4 +277,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     without = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return without.join(small(written(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    return without.join(small(written(gone, "gone")), "doc_id", "left_anti").select(*(f"`{name}`" for name in docs.columns))

@@ -25,8 +25,8 @@ PII = (
 
 PII_PIECES = " UNION ALL ".join(
     rf"""SELECT {i} AS kind_no, '{name}' AS kind, doc_id, {score} AS score, '\b(?:{words})\b' AS words,
-    unnest(range(1, len(g) + 1)) AS n, unnest(g) AS gap, unnest(h) AS hit, unnest(list_append(g[2:], NULL)) AS next
-    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([\s\S]*?)({pattern})', 1) AS g,
+    unnest(range(1, len(g) + 1)) AS n, unnest(g) AS gap, unnest(h) AS hit, text
+    FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '([\s\S]*?)({pattern})', 1) AS g,
           regexp_extract_all(coalesce(text, ''), '([\s\S]*?)({pattern})', 2) AS h FROM documents)"""
     for i, (name, pattern, _, score, words) in enumerate(PII)
 )
@@ -37,7 +37,8 @@ WITH pieces AS ({PII_PIECES}),
 placed AS (SELECT *, sum(len(gap) + len(hit)) OVER (PARTITION BY kind_no, doc_id ORDER BY n) AS stop FROM pieces),
 good AS (
   SELECT doc_id, kind_no, kind, stop - len(hit) AS start, stop, score + CASE WHEN regexp_matches(
-      lower(right(gap, 40) || chr(10) || left(coalesce(next, ''), 40)), words) THEN 20 ELSE 0 END AS score
+      lower(substring(text, CAST(greatest(stop - len(hit) - 39, 1) AS BIGINT), CAST(least(stop - len(hit), 40) AS BIGINT))
+        || chr(10) || substring(text, CAST(stop + 1 AS BIGINT), 40)), words) THEN 20 ELSE 0 END AS score
   FROM placed WHERE hit IS NOT NULL AND CASE kind {PII_HOLDS} END
 ),
 spans AS (

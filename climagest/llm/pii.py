@@ -23,8 +23,20 @@ CONTEXT = 40
 LEAST_SCORE = 50
 CONTEXT_GAIN = 20
 CHUNK = 128
+#: Matches and gaps that are sure to fill a context: each match has two signs at least.
+AROUND = CONTEXT // 2 + 1
 
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: Signs of an account number by country, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in IBAN_LENGTHS.items()
+)
 IP = r"^OCTET\.OCTET\.OCTET\.OCTET$".replace("OCTET", OCTET)
 
 
@@ -106,7 +118,7 @@ KINDS = (
     Kind(
         "iban",
         has(r"[A-Z]{2}[0-9]{2}"),
-        r"(?:\G|(?<![A-Za-z0-9]))[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        rf"(?:\G|(?<![A-Za-z0-9]))(?:{IBAN})",
         is_iban,
         80,
         "iban|account|bank",
@@ -130,7 +142,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
     """Spans of one kind in a text that is not null: start and end in code points, score in hundredths."""
     pattern = r"\G([\s\S]*?)(" + kind.pattern + ")"
 
-    def cut(gaps: Column, hits: Column, steps: Column) -> Column:
+    def cut(gaps: Column, hits: Column, steps: Column, before: Column, after: Column) -> Column:
         chunks = F.aggregate(
             F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")),
             F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
@@ -144,9 +156,10 @@ def spans_of(text: Column, kind: Kind) -> Column:
         def one(first: Column, i: Column) -> Column:
             chunk = F.floor(i / CHUNK).cast("int")
             start = F.get(first, chunk) + total(F.slice(steps, chunk * CHUNK + 1, i % CHUNK)) + F.length(F.get(gaps, i))
-            near = F.concat_ws(
-                "\n", F.right(F.get(gaps, i), F.lit(CONTEXT)), F.left(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.lit(CONTEXT))
-            )
+            # what stands directly before and after the span, over as many neighbouring matches as it takes
+            left = F.array_join(F.slice(before, F.greatest(i + 2 - AROUND, F.lit(1)), F.least(i + 1, F.lit(AROUND))), "")
+            right = F.array_join(F.slice(after, i + 2, F.lit(AROUND)), "")
+            near = F.concat_ws("\n", F.right(left, F.lit(CONTEXT)), F.left(right, F.lit(CONTEXT)))
             score = kind.score + F.when(F.rlike(F.lower(near), F.lit(rf"\b(?:{kind.words})\b")), CONTEXT_GAIN).otherwise(0)
             return F.struct(start.alias("start"), (start + F.length(F.get(hits, i))).alias("end"), score.alias("score"))
 
@@ -156,9 +169,18 @@ def spans_of(text: Column, kind: Kind) -> Column:
         return found if kind.base else F.filter(found, lambda s: s["score"] >= LEAST_SCORE)
 
     def pieces(gaps: Column) -> Column:
-        some = lambda hits: bound(
-            F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)), lambda steps: cut(gaps, hits, steps)
-        )
+        def some(hits: Column) -> Column:
+            # per match: the end of what lies between it and the match before, that match included
+            earlier = F.concat(F.array(F.lit("")), hits)
+            before = F.transform(gaps, lambda gap, i: F.right(F.concat(F.get(earlier, i), gap), F.lit(CONTEXT)))
+
+            def stepped(steps: Column) -> Column:
+                tail = F.substr(text, total(steps) + 1, F.lit(CONTEXT))
+                after = F.concat(F.zip_with(gaps, hits, lambda g, h: F.left(F.concat(g, h), F.lit(CONTEXT))), F.array(tail))
+                return bound(before, lambda b: bound(after, lambda a: cut(gaps, hits, steps, b, a)))
+
+            return bound(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)), stepped)
+
         return F.when(F.size(gaps) > 0, bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), some))
 
     found = F.when(kind.maybe(text), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), pieces))
@@ -170,9 +192,8 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
 
     Spans are ``(start, end, score)``: code points, end exclusive, score in hundredths
     (what the pattern and checksum give, more with a context word in the 40 code points
-    before or after, not reaching past the neighbouring match of the kind). The context
-    after the last match of a kind is not looked at. A null text counts as empty and has
-    no spans. Rows are neither dropped nor moved; other columns stay; a column named
+    before or after, whatever stands there). Account numbers have the length of their country, so what
+    follows one is not part of it. A null text counts as empty and has no spans. Rows are neither dropped nor moved; other columns stay; a column named
     like ``into`` is replaced.
     """
     value = F.coalesce(docs[text].cast("string"), F.lit(""))

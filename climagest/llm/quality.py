@@ -25,8 +25,8 @@ from climagest.llm.toxicity import held_out
 from climagest.sources.shared import small, written
 
 ORDER = 5
-#: Bits of a character's code; code points from 3072 on share 1,024 codes.
-BITS = 12
+#: Bits of a code. A code point below PLAIN is its own code; any other is two codes, each out of SIDE of its own.
+BITS, PLAIN, SIDE = 12, 1920, 1088
 START, END = 1, 2
 #: Characters counted at once in a worker, and n-grams of a shard sent to all workers.
 STRETCH, SHARD = 2_000_000, 4_000_000
@@ -37,11 +37,20 @@ QUANTILES = (1, 99)
 def codes(text: str) -> np.ndarray:
     """Character codes between four starts and an end."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    points = np.where(points < 3072, points, 3072 + points % 1024)
     points[points < 3] = 3
+    wide = points >= PLAIN
+    if wide.any():
+        rest = points[wide] - PLAIN
+        points[wide] = PLAIN + rest // SIDE
+        points = np.insert(points, np.flatnonzero(wide) + 1, PLAIN + SIDE + rest % SIDE)
     return np.concatenate((np.full(ORDER - 1, START), points, [END]))
 
 
+def n_signs(points: np.ndarray) -> int:
+    """Characters of a text and its end, from its codes."""
+    return len(points) - ORDER + 1 - int(np.count_nonzero(points >= PLAIN + SIDE))
+
+
 def n_grams(points: np.ndarray) -> np.ndarray:
     """The n-gram that ends at each character and at the end."""
     n = len(points) - ORDER + 1
@@ -156,12 +165,13 @@ def perplexities(rows: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame
             for batch in batches:
                 sums, signs = [], []
                 for value in batch.column(len(keys)):
-                    own = n_grams(codes(_text(value)))
+                    points = codes(_text(value))
+                    own = n_grams(points)
                     at = np.searchsorted(grams, own)
                     at[at == len(grams)] = 0
                     here = grams[at] == own if len(grams) else np.zeros(len(own), bool)
                     sums.append(float(values[at[here]].sum()))
-                    signs.append(len(own))
+                    signs.append(n_signs(points))
                 columns = [*batch.columns[: len(keys)], pa.array(sums, pa.float64()), pa.array(signs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "log_p", "n_signs"])
 

@@ -9,7 +9,7 @@ shingles found around the window has to reach 0.75.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from climagest.llm.columns import quoted, with_mapped
 from climagest.llm.shingles import WIDTH, Hasher, mix, normal, shingle_set
 
 BANDS, ROWS = 16, 2
@@ -104,13 +105,23 @@ class Scanner:
                 index.setdefault(key, set()).add(name)
         self.sorted = {width: np.array(sorted(index), np.uint64) for width, (*_, index) in self.classes.items()}
         self.rough = {width: np.bincount(x.astype(np.int64) & 0xFFFF, minlength=1 << 16) > 0 for width, x in self.sorted.items()}
+        own = [self.hasher.shingles(self.hasher.words(plain(text.encode()))) for text in templates.values()]
+        self.shingles = np.unique(np.concatenate(own))
+        self.marked = np.zeros(1 << 16, bool)
+        self.marked[(self.shingles & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.reach = max(self.classes) + WIDTH - 1
         self.most = max(bands * rows for bands, rows, *_ in self.classes.values())
 
+    def shares(self, shingles: np.ndarray) -> bool:
+        """Whether any shingle is one of a template's: without one, no window can contain three quarters of a template."""
+        near = shingles[self.marked[(shingles & np.uint64(0xFFFF)).astype(np.int64)]]
+        place = np.minimum(np.searchsorted(self.shingles, near), len(self.shingles) - 1)
+        return bool((self.shingles[place] == near).any())
+
     def candidates(self, words: np.ndarray) -> set[tuple[str, int, int]]:
         """Template, first word and number of words of every window that shares a band with it."""
         found, shingles = set(), self.hasher.shingles(words)
-        if len(words) < WIDTH:
+        if len(words) < WIDTH or not self.shares(shingles):
             return found
         values = coordinates(shingles, self.most)
         for width, (bands, rows, step, index) in self.classes.items():
@@ -157,19 +168,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text:
 
     Rows stay as they are; a null text, and one of fewer than five words, has none. A column named like ``into`` is replaced.
     """
-    others = [name for name in docs.columns if name != into]
     kind = T.StructType.fromDDL(f"x {FOUND}")["x"].dataType
-    schema = T.StructType([docs.schema[name] for name in others] + [T.StructField(into, kind)])
     arrow = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("share", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         scanner = Scanner(templates)
-        for batch in batches:
-            found = pa.array([scanner.scan(value.as_py()) for value in batch.column(len(others))], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], found], names=[*others, into])
+        return lambda values: pa.array([scanner.scan(value.as_py()) for value in values], arrow)
 
-    read = docs.select(*others, F.col(text).cast("string").cast("binary").alias("scanned text"))
-    return read.mapInArrow(run, schema)
+    return with_mapped(docs, F.col(quoted(text)).cast("string").cast("binary"), into, kind, start)
 
 
 def license_report(docs: DataFrame) -> DataFrame:

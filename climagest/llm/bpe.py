@@ -13,7 +13,7 @@ import base64
 import functools
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from climagest.llm.columns import quoted, with_mapped
+
 #: Bytes of pieces, and number of pairs, remembered in a worker by each of two generations. Results do not depend on it.
 HELD = 24 << 20
 PAIRS = 120_000
@@ -209,37 +211,31 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     as U+FFFD. Other columns and repeated rows stay; a column named like ``into`` is replaced.
     """
     lines = Path(vocabulary).read_bytes()
-    others = [name for name in docs.columns if name.lower() != into.lower()]
-    schema = T.StructType([docs.schema[name] for name in others] + [T.StructField(into, T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         codes = encoder(lines, pattern)
-        for batch in batches:
-            ids = [codes.encode(_text(value)) for value in batch.column(len(others))]
+
+        def tokens(texts: pa.Array) -> pa.Array:
+            ids = [codes.encode(_text(value)) for value in texts]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], tokens], names=[*others, into])
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
-    read = docs.select(*(f"`{name}`" for name in others), F.col(f"`{text}`").cast("string").cast("binary").alias("encoded text"))
-    return read.mapInArrow(run, schema)
+        return tokens
+
+    value = F.col(quoted(text)).cast("string").cast("binary")
+    return with_mapped(docs, value, into, T.ArrayType(T.IntegerType()), start)
 
 
 def decode(tokens: DataFrame, vocabulary: str, tokens_column: str = "tokens", into: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes that its ids stand for; a null array gives null."""
     lines = Path(vocabulary).read_bytes()
-    others = [name for name in tokens.columns if name != into]
-    at = others.index(tokens_column)
-    schema = T.StructType([tokens.schema[name] for name in others] + [T.StructField(into, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         codes = encoder(lines, "")
-        for batch in batches:
-            lists = batch.column(at)
-            found = [codes.decode(x.values.to_numpy()) if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*others, into])
+        return lambda lists: pa.array([codes.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.binary())
 
-    return tokens.select(*others).mapInArrow(run, schema)
+    return with_mapped(tokens, F.col(quoted(tokens_column)), into, T.BinaryType(), start)
 
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

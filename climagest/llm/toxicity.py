@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from climagest.llm.columns import quoted, with_mapped
 from climagest.sources.shared import written
 
 BUCKETS = 1 << 17
@@ -33,6 +35,8 @@ WINDOW = 6
 TEXTS_PER_CLASS, TEXT_BYTES = 2500, 32_768
 PASSES, WARM, BATCH, RATE, SEED = 24, 4, 64, 0.3, 17
 THRESHOLD = 0.3
+#: Log odds that a window of unknown words reaches at most: a chance of a quarter.
+NO_EVIDENCE = float(np.log(0.25 / 0.75))
 #: Words whose scores a task remembers, in each of two generations.
 WORDS = 60_000
 
@@ -121,18 +125,22 @@ class Model:
         return self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
 
     def offset(self) -> float:
-        return float(self.bias[1] - self.bias[0])
+        """What a window without evidence scores, as log odds: below the threshold, whatever the share of toxic texts."""
+        return min(float(self.bias[1] - self.bias[0]), NO_EVIDENCE)
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Joint training by stochastic gradients; the same texts in the same order give the same model."""
+    """Joint training by stochastic gradients; the same texts in the same order give the same model.
+
+    Labels of one class, or none, do not tell toxic texts from others: then every text scores about 0.
+    """
     random = np.random.Generator(np.random.PCG64(SEED))
     labels = np.array(toxic, np.int64)
     vectors = random.normal(0, 0.1, (BUCKETS, WIDTH))
     model = Model(vectors, random.normal(0, 0.1, (WIDTH, 2)), np.zeros(2))
     if len(set(toxic)) < 2:
         model.weights[:] = 0
-        model.bias[:] = (0, 30) if toxic and toxic[0] else (30, 0)
+        model.bias[:] = (30, 0)
         return model
     sample = Sample.of(texts)
     lengths = np.diff(sample.starts)
@@ -220,22 +228,24 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, others: list[str], text: str = "text", into: str = "score") -> DataFrame:
     """The columns ``others`` and ``into``, from 0 to 1, of every row; a null text counts as empty.
 
-    An empty text is scored as one empty word. Nothing but the text is looked at.
+    An empty text is scored as one empty word, below the threshold unless empty texts are labelled toxic. Nothing but the text is looked at.
     """
     gram_scores, offset = model.gram_scores(), model.offset()
-    schema = docs.select(*(f"`{name}`" for name in others)).schema.add(into, "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         known = Scores(gram_scores)
-        for batch in batches:
-            found = np.empty(batch.num_rows)
-            for i, value in enumerate(batch.column(len(others))):
+
+        def chances(texts: pa.Array) -> pa.Array:
+            found = np.empty(len(texts))
+            for i, value in enumerate(texts):
                 words = words_of((value.as_py() or b"").decode("utf-8", "replace")) or [""]
                 found[i] = window_means(np.fromiter(map(known.__getitem__, words), np.float64, len(words))).max() + offset
-            chances = 1 / (1 + np.exp(-np.clip(found, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(chances)], names=[*others, into])
+            return pa.array(1 / (1 + np.exp(-np.clip(found, -500, 500))))
+
+        return chances
 
-    return docs.select(*(f"`{name}`" for name in others), F.col(f"`{text}`").cast("string").cast("binary").alias("scored text")).mapInArrow(run, schema)
+    value = F.col(quoted(text)).cast("string").cast("binary")
+    return with_mapped(docs, value, into, T.DoubleType(), start, others)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -41,7 +41,7 @@ class Mixture:
 #: Domains by the last sign of the source's name; others are "forum".
 DOMAINS = {"web": "0123", "reference": "456"}
 MIXTURE = Mixture(
-    {"domain": {"web": 5, "reference": 3, "forum": 2}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}}, percent=80
+    {"domain": {"web": 5, "reference": 3, "forum": 2}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 )
 
 

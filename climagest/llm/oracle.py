@@ -120,7 +120,7 @@ WITH sizes AS (
 ),
 leaves AS (SELECT domain, language, source, CAST(sum(n_tokens) AS BIGINT) AS leaf_tokens FROM sizes WHERE n_tokens > 0 GROUP BY ALL),
 caps AS (SELECT *, leaf_tokens * 2 AS cap FROM leaves),
-total AS (SELECT CAST(least(sum(leaf_tokens) * 80 // 100, sum(cap)) AS BIGINT) AS given FROM caps),
+total AS (SELECT CAST(least(sum(leaf_tokens), sum(cap)) AS BIGINT) AS given FROM caps),
 {_level("domain", [], "t.given", ", total t")},
 {_level("language", ["domain"], "g.target", "JOIN domain_given g USING (domain)")},
 {_level("source", ["domain", "language"], "g.target", "JOIN language_given g USING (domain, language)")},

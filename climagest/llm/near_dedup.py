@@ -8,7 +8,7 @@ grouped minimum and are never paired. Classes that share a band are linked in tw
    is near the middle of a group of copies;
 2. members of a hub that are still in different components are verified in rounds. In each
    round a member meets, of those that may still be links, the nearest one (in the next round the nearest of each of
-   two bins, then of four, and so on); then components are joined again. A group of
+   two bins, then of four, and so on); if links were found, components are joined again. A group of
    copies grows together in the first rounds, and the rounds end when no pair is left that may be a
    link. A pair is left out where it cannot be one (Jaccard distance is a metric, so two sets whose
    distances to the hub differ by more than 1/4 are further apart than 1/4), or where 1,024
@@ -174,15 +174,17 @@ def near_links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     texts = candidates(stars, docs)
     tested = written(compare(stars, texts), "tested")
     joined = components(linked(tested).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    refused, met, bins = unlinked(tested), meetings(stars, tested, joined, texts), 1
+    refused, open_, bins = unlinked(tested), meetings(stars, tested, joined, texts), 1
     while True:
-        more = written(open_pairs(met, joined, refused, bins), "pairs")
+        more = written(open_pairs(open_, refused, bins), "pairs")
         if more.isEmpty():
             return joined
         compared = written(compare(more, texts), "tested")
         refused = written(refused.union(unlinked(compared)), "refused")
         found = linked(compared).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        joined = components(found.union(joined))
+        if not found.isEmpty():
+            joined = components(found.union(joined))
+            open_ = written(mixed_hubs(placed_in(open_.drop("component"), joined)), "open")
         bins *= 2
 
 
@@ -205,21 +207,20 @@ def placed_in(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def meetings(stars: DataFrame, tested: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of hubs that are not all in one component, with distance to the hub and bits."""
+    """Members of hubs that are not all in one component, with component, distance to the hub and bits."""
     far = tested.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("whole")).alias("far"))
     members = stars.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
-    some = mixed_hubs(placed_in(members, joined)).drop("component")
+    some = mixed_hubs(placed_in(members, joined))
     met = some.join(far, ["hub", "doc_id"]).join(texts.drop("norm"), "doc_id")
     return written(met.withColumn("cell", F.floor(F.col("far") * CELLS)), "open")
 
 
-def open_pairs(met: DataFrame, joined: DataFrame, refused: DataFrame, bins: int) -> DataFrame:
+def open_pairs(open_: DataFrame, refused: DataFrame, bins: int) -> DataFrame:
     """At most ``bins`` pairs for each member: others of its hub, in another component so far, that may be links.
 
     The partners of a member are dealt into ``bins`` by their ids, and of each bin the nearest by bits is taken. The minima are
     combined where the pairs are made, so no more than these leave a task.
     """
-    open_ = mixed_hubs(placed_in(met, joined))
 
     def side(name: str, cell: Column) -> DataFrame:
         renamed = [F.col(c).alias(f"{name}_{c}") for c in ("doc_id", "component", "far", *BITS)]

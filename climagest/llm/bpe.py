@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from climagest.llm.columns import quoted, with_mapped
 
 #: Bytes of pieces, and number of pairs, remembered in a worker by each of two generations. Results do not depend on it.
-HELD = 24 << 20
+HELD = 56 << 20
 PAIRS = 120_000
 #: What an entry of a dict, its key's and its value's headers take.
 ENTRY = 180

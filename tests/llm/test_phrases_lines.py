@@ -68,6 +68,14 @@ def test_phrases_edges(edges, nothing):
     assert collocations(nothing).count() == 0
 
 
+def test_phrases_zero_bytes(spark):
+    """A zero byte that ends a language is not one that begins a word."""
+    rows = [("\0w v \0w u", "a"), ("w v w t", "a\0"), ("\0 v", ""), (None, "empty")] * 40
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = sorted(map(tuple, collocations(docs).collect()))
+    assert found == mined(rows, Mining()) and {row[0] for row in found} == {"a", "a\0", ""}
+
+
 def test_counts_of_a_text():
     text = "One two three four\nOne two three\n\n \nOne two three\n#a $b é漢\u00a0x"  # no ASCII white space, so one word
     assert counted(text.encode())[0] == [13, len(re.sub("[ \t-\r]", "", text)), 2, 1, 9]

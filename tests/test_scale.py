@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 import climagest as c
 from climagest.catalogue import standin
 from climagest.operators import weather as weather_module
+from climagest.operators import wide
 from climagest.schema import PERCENTILES
+from climagest.sources import shared, writers
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -149,3 +151,42 @@ def test_postcode_filter_and_columns_reach_the_reader(spark, tmp_path):
     standin.births(spark, FOLDER).withColumn("unused", F.lit(1)).write.parquet(path)
     text = plan(c.prepare_births(spark.read.parquet(path)))
     assert "GreaterThan(ZIP,29000)" in text and "LessThan(ZIP,29945)" in text and "unused" not in text
+
+
+def test_pivot_of_scattered_days(spark):
+    """Repeated, missing and outside days, null keys and values, in any order; days are not grouped one by one."""
+    rows = [(i % 7 if i % 11 else None, i % 3, 1 + i * 5 % 12, None if i % 6 == 0 else float(i * 7 % 19)) for i in range(300)]
+    rows += [(99, 0, 400, 1.0), (98, 0, None, 2.0), (97, 1, 3, None), (96, 1, 2, float("-inf")), (95, 2, 4, float("nan")), (95, 2, 4, 5.0)]
+    for parts in (1, 5):
+        long = spark.createDataFrame(rows, "location int, RFA_ID long, day_idx int, exposure double").repartition(parts)
+        pivoted = wide.pivot_days(long, ["location", "RFA_ID"], 2, 9)
+        expected = {(a, b): [None] * 8 for a, b, _, _ in rows}
+        for a, b, day, value in rows:
+            if day is not None and 2 <= day <= 9 and value is not None:
+                values, at = expected[a, b], day - 2
+                values[at] = value if values[at] is None or value != value or value > values[at] else values[at]
+        found = pivoted.collect()
+        assert len(found) == len(expected)
+        assert all(repr(list(r)[2:]) == repr(expected[r.location, r.RFA_ID]) for r in found)
+        assert pivoted.columns[2:] == [f"Day_{k}" for k in range(2, 10)]
+        assert "pivotfirst" not in pivoted._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_narrow_rows_are_dealt(spark, monkeypatch):
+    """Steps that make many values of a row deal the rows over tasks first, however few files they lie in."""
+    monkeypatch.setattr(shared, "TASK_VALUES", 200)
+    births = spark.range(50, numPartitions=1).toDF("RFA_ID")
+    assert shared.spread(births, 40).rdd.getNumPartitions() == 10
+    assert sorted(r.RFA_ID for r in shared.spread(births, 40).collect()) == list(range(50))
+    assert shared.spread(births, 4).rdd.getNumPartitions() == 1
+
+
+def test_rows_laid_by_location(spark, tmp_path):
+    """Wide rows that lie by postcode are written where they are: no shuffle, few files, the same rows."""
+    path = str(tmp_path / "laid")
+    rows = spark.range(300).selectExpr("CAST(29001 + id % 3 AS INT) AS location", "id AS RFA_ID")
+    writers.write_by_location(rows.repartitionByRange(6, "location", "RFA_ID").sortWithinPartitions("location", "RFA_ID"), path, laid=True)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("location", "RFA_ID", "zip_part").collect()) == [
+        (29001 + k, i, 29001 + k) for k in range(3) for i in range(k, 300, 3)
+    ]
+    assert len(list((tmp_path / "laid").glob("zip_part=*/*.parquet"))) <= 6 + 3

@@ -15,20 +15,20 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from climagest.functions.columns import day_names, named_like
 from climagest.operators.blocks import BLOCK_DAYS, Blocks, block_of, join_blocks, place_in_block
 from climagest.operators.numbering import number_rows
-from climagest.sources.shared import written
+from climagest.sources.shared import spread, written
 
 WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
 
 
 def exposure_wide(
-    births: DataFrame, blocks: Blocks, n_days: int, first: int = 1, keep: Sequence[str] = WIDE_KEYS
+    births: DataFrame, blocks: Blocks, n_days: int, first: int = 1, keep: Sequence[str] = WIDE_KEYS, dealt: bool = False
 ) -> DataFrame:
     """One row per birth with the columns ``keep`` and Day_``first`` .. Day_``n_days``.
 
     Days after delivery are null. A birth's days lie in a few consecutive blocks.
     With broadcast blocks these are looked up one after the other and laid end to
-    end, without any shuffle. Otherwise births are numbered, split by block,
-    joined once and put together.
+    end, without moving births again once they are dealt evenly over tasks; with ``dealt``, the caller has
+    done that, and their order stays. Otherwise births are numbered, split by block, joined once and put together.
     """
     needed = list(dict.fromkeys([*keep, "location", "RFA_ID", "pre", "tr3_end"]))
     begun = births.select(*needed, F.date_add("pre", first - 1).alias("_begin"))
@@ -36,7 +36,7 @@ def exposure_wide(
     # as many rows of blocks as the range touches when it begins on a block's last day
     touched = math.ceil((BLOCK_DAYS - 1 + length) / (blocks.reach * BLOCK_DAYS))
     if blocks.fits:
-        rows = begun
+        rows = begun if dealt else spread(begun, length)
         for k in range(touched):
             block = block_of(F.col("_begin")) + k * blocks.reach
             rows = join_blocks(rows, blocks, "location", block, {"exposure": f"_block_{k}"})

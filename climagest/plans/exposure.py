@@ -55,7 +55,7 @@ def write_percentile_dataset(
     blocks = exposure_blocks(open_range(weather, "location", POSTCODE_BOUNDS))
     percentiles = written(location_percentiles(weather), "percentiles")
     n_days = longest_span(cohort).first()["max_days"] or 0
-    write_by_location(percentile_dataset(cohort, blocks, percentiles, n_days), output)
+    write_by_location(percentile_dataset(cohort, blocks, percentiles, n_days), output, laid=blocks.fits)
 
 
 def write_band_means(

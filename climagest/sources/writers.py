@@ -16,19 +16,15 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_by_location(df: DataFrame, path: str, location: str = "location") -> None:
+def write_by_location(df: DataFrame, path: str, location: str = "location", laid: bool = False) -> None:
     """One directory per postcode.
 
     The rebalance hint gathers each postcode's rows in few files and lets
-    adaptive execution split a postcode too large for one task.
+    adaptive execution split a postcode too large for one task. With ``laid``, rows
+    come cut and sorted by postcode and are written as they come, without being moved.
     """
-    (
-        df.withColumn(ZIP_PART, F.col(location))
-        .hint("rebalance", ZIP_PART)
-        .write.mode("overwrite")
-        .partitionBy(ZIP_PART)
-        .parquet(path)
-    )
+    rows = df.withColumn(ZIP_PART, F.col(location))
+    (rows if laid else rows.hint("rebalance", ZIP_PART)).write.mode("overwrite").partitionBy(ZIP_PART).parquet(path)
 
 
 def _in_order(df: DataFrame, sort_by: tuple[str, ...]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from climagest.llm.columns import quoted, with_mapped
 
-#: Bytes of pieces, and number of pairs, remembered in a worker by each of two generations. Results do not depend on it.
+#: Bytes of pieces (unless told otherwise), and number of pairs, remembered in a worker by each of two generations. Results do not depend on it.
 HELD = 56 << 20
 PAIRS = 120_000
 #: What an entry of a dict, its key's and its value's headers take.
@@ -169,10 +169,10 @@ class Encoder(dict):
     When the younger one is full it becomes the older one, from which pieces come back as they are met.
     """
 
-    def __init__(self, lines: bytes, pattern: str) -> None:
+    def __init__(self, lines: bytes, pattern: str, most: int = HELD) -> None:
         self.vocabulary, self.pieces = Vocabulary(lines), regex.compile(pattern).findall
         self.before: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, most
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.before.get(piece)
@@ -180,7 +180,7 @@ class Encoder(dict):
             ids = encode_piece(self.vocabulary, piece.encode())
             packed = struct.pack(f"<{len(ids)}i", *ids)
         self.held += ENTRY + 4 * len(piece) + len(packed)
-        if self.held > HELD:
+        if self.held > self.most:
             self.before, self.held = dict(self), 0
             self.clear()
         self[piece] = packed
@@ -194,26 +194,35 @@ class Encoder(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(lines: bytes, pattern: str) -> Encoder:
+def encoder(lines: bytes, pattern: str, most: int = HELD) -> Encoder:
     """One per worker process and vocabulary."""
-    return Encoder(lines, pattern)
+    return Encoder(lines, pattern, most)
 
 
 def _text(value: pa.Scalar) -> str:
     return (value.as_py() or b"").decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", into: str = "tokens") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    text: str = "text",
+    into: str = "tokens",
+    keep: list[str] | None = None,
+    most: int = HELD,
+) -> DataFrame:
     """``docs`` with the array of token ids of ``text``, each match of ``pattern`` encoded separately.
 
     ``vocabulary`` names a file of base64 tokens with ranks, read on the driver and sent
     along (under a megabyte). A null text counts as empty and has no tokens. Bytes that are not UTF-8 count
-    as U+FFFD. Other columns and repeated rows stay; a column named like ``into`` is replaced.
+    as U+FFFD. Other columns (or those in ``keep``) and repeated rows stay; a column named like ``into`` is replaced.
+    ``most`` bounds the bytes of pieces that a generation remembers in a worker.
     """
     lines = Path(vocabulary).read_bytes()
 
     def start() -> Callable[[pa.Array], pa.Array]:
-        codes = encoder(lines, pattern)
+        codes = encoder(lines, pattern, most)
 
         def tokens(texts: pa.Array) -> pa.Array:
             ids = [codes.encode(_text(value)) for value in texts]
@@ -223,8 +232,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
 
         return tokens
 
-    value = F.col(quoted(text)).cast("string").cast("binary")
-    return with_mapped(docs, value, into, T.ArrayType(T.IntegerType()), start)
+    return with_mapped(docs, text, into, T.ArrayType(T.IntegerType()), start, keep)
 
 
 def decode(tokens: DataFrame, vocabulary: str, tokens_column: str = "tokens", into: str = "decoded") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climagest.llm.columns import quoted, with_mapped
+from climagest.llm.columns import with_mapped
 from climagest.llm.shingles import WIDTH, Hasher, mix, normal, shingle_set
 
 BANDS, ROWS = 16, 2
@@ -175,7 +175,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text:
         scanner = Scanner(templates)
         return lambda values: pa.array([scanner.scan(value.as_py()) for value in values], arrow)
 
-    return with_mapped(docs, F.col(quoted(text)).cast("string").cast("binary"), into, kind, start)
+    return with_mapped(docs, text, into, kind, start)
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climagest.llm.columns import quoted, with_mapped
+from climagest.llm.columns import with_mapped
 from climagest.sources.shared import written
 
 BUCKETS = 1 << 17
@@ -244,8 +244,7 @@ def score(docs: DataFrame, model: Model, others: list[str], text: str = "text",
 
         return chances
 
-    value = F.col(quoted(text)).cast("string").cast("binary")
-    return with_mapped(docs, value, into, T.DoubleType(), start, others)
+    return with_mapped(docs, text, into, T.DoubleType(), start, others)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,7 +1,8 @@
 """Stages that turn documents into training data.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; its result is
-written as Parquet and read again as the next one's documents.
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; it writes its
+result as Parquet, which is read again as the next one's documents. Stages that hand whole texts to Python do so
+in batches of few rows, so neither the JVM nor a worker holds a task's texts at once.
 """
 
 from __future__ import annotations
@@ -11,38 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climagest.llm.bpe import encode
-from climagest.llm.exact_dedup import drop_copies
+from climagest.llm.exact_dedup import drop_copies, settings
 from climagest.llm.mixing import mixed
-from climagest.llm.near_dedup import keep_one
+from climagest.llm.near_dedup import BATCHES, keep_one
 from climagest.llm.toxicity import drop_toxic
 from climagest.sources.shared import written
 
+#: Bytes of pieces that a worker remembers in each of two generations: less than where encoding runs alone.
+PIECES = 16 << 20
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones, rejects go."""
-    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with settings(spark, BATCHES):
+        return written(kept, "toxicity")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    return drop_copies(docs)
+    return written(drop_copies(docs), "exact-dedup")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays."""
-    return keep_one(docs)
+    return written(keep_one(docs), "near-dedup")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights of its domain, language and source ask for."""
-    return mixed(docs)
+    return written(mixed(docs), "mixing")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left; repeated rows of the mixture stay repeated."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    rows, names = docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"]
+    coded = encode(rows, vocabulary, public_tokenizers.PATTERN, keep=names, most=PIECES)
+    coded = coded.select(*names, F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    with settings(spark, BATCHES):
+        return written(coded, "encoding")
 
 
 STAGES = [
@@ -59,6 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs

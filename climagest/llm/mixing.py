@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climagest.llm.toxicity import free_name
-from climagest.sources.shared import small, written
+from climagest.sources.shared import settled, small, written
 
 LEVELS = ("domain", "language", "source")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -156,7 +156,7 @@ def mixture_of(docs: DataFrame, mixture: Mixture = MIXTURE) -> DataFrame:
 def mixed(docs: DataFrame, mixture: Mixture = MIXTURE) -> DataFrame:
     """``docs`` with each row as often as the mixture takes it, all columns; order is not defined."""
     sizes = docs.select("doc_id", *tree(F.col("lang"), F.col("source")), tokens(F.col("text")).alias("n_tokens"))
-    plan = small(written(cutoffs(written(sizes, "sizes"), mixture), "cutoffs"))
+    plan = small(settled(docs.sparkSession, lambda: cutoffs(written(sizes, "sizes"), mixture), "cutoffs"))
     row = free_name(docs, "row")
     whole = docs.select(
         F.struct(*(f"`{name}`" for name in docs.columns)).alias(row),

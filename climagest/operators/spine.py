@@ -17,6 +17,10 @@ from climagest.operators.blocks import (
 from climagest.schema import MAX_SPAN_DAYS
 from climagest.sources.shared import spread
 
+#: Births of a postcode that begin on the same day have the same exposure on each day until one ends. Next to each other
+#: their days take little room once they are stored, and sums by postcode and day are made of few rows.
+BIRTH_ORDER = ("location", "pre", "tr3_end", "RFA_ID")
+
 
 def _range(first: int, last: int | None) -> tuple[Column, Column]:
     """Dates of the days ``first`` .. ``last`` (counted from 1), cut at delivery."""

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from climagest.functions.columns import day_names, named_like
 from climagest.operators.blocks import BLOCK_DAYS, Blocks, block_of, join_blocks, place_in_block
 from climagest.operators.numbering import number_rows
+from climagest.operators.spine import BIRTH_ORDER
 from climagest.sources.shared import spread, written
 
 WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
@@ -27,7 +28,7 @@ def exposure_wide(
 
     Days after delivery are null. A birth's days lie in a few consecutive blocks.
     With broadcast blocks these are looked up one after the other and laid end to
-    end, without moving births again once they are dealt evenly over tasks; with ``dealt``, the caller has
+    end, without moving births again once they are laid out evenly over tasks by ``BIRTH_ORDER``; with ``dealt``, the caller has
     done that, and their order stays. Otherwise births are numbered, split by block, joined once and put together.
     """
     needed = list(dict.fromkeys([*keep, "location", "RFA_ID", "pre", "tr3_end"]))
@@ -36,17 +37,18 @@ def exposure_wide(
     # as many rows of blocks as the range touches when it begins on a block's last day
     touched = math.ceil((BLOCK_DAYS - 1 + length) / (blocks.reach * BLOCK_DAYS))
     if blocks.fits:
-        rows = begun if dealt else spread(begun, length)
+        rows = begun if dealt else spread(begun, length, BIRTH_ORDER)
         for k in range(touched):
             block = block_of(F.col("_begin")) + k * blocks.reach
             rows = join_blocks(rows, blocks, "location", block, {"exposure": f"_block_{k}"})
         rows = rows.withColumn("_days", F.concat(*(F.coalesce(f"_block_{k}", _missing(blocks)) for k in range(touched))))
     else:
         rows = _gathered(begun, blocks, touched)
-    begin = place_in_block(F.col("_begin")).alias("_place")
-    rows = rows.select(*keep, "_days", begin, F.date_diff("tr3_end", "_begin").alias("_last"))
-    days = enumerate(day_names(first, n_days))
-    return rows.selectExpr(*keep, *(f"if({k} <= _last, get(_days, _place + {k}), NULL) AS {name}" for k, name in days))
+    # the days from the first one until delivery, cut out once
+    last = F.date_diff("tr3_end", "_begin")
+    own = F.slice("_days", place_in_block(F.col("_begin")) + 1, F.least(F.lit(length), last + 1))
+    rows = rows.select(*keep, F.when(last >= 0, own).alias("_own"))
+    return rows.select(*keep, *(F.get("_own", F.lit(k)).alias(name) for k, name in enumerate(day_names(first, n_days))))
 
 
 def _missing(blocks: Blocks) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +192,36 @@ def test_rows_laid_by_location(spark, tmp_path):
         (29001 + k, i, 29001 + k) for k in range(3) for i in range(k, 300, 3)
     ]
     assert len(list((tmp_path / "laid").glob("zip_part=*/*.parquet"))) <= 6 + 3
+
+
+def laid_births(spark, copies=40):
+    """Births of two postcodes, several on each first day, in mixed order, and weather on every day."""
+    first = dt.date(2001, 1, 1)
+    rows = [(29401 + 3 * (i % 2), 1000 - i, first + dt.timedelta(days=i % 5), 4 + i % 3) for i in range(copies)]
+    births = spark.createDataFrame([(z, r, p, p, p + dt.timedelta(days=n - 1), n) for z, r, p, n in rows],
+                                   "location int, RFA_ID long, admd date, pre date, tr3_end date, n_days int")
+    days = [(z, first + dt.timedelta(days=k), float(z % 7 + k)) for z in (29401, 29404) for k in range(20)]
+    return births, c.exposure_blocks(spark.createDataFrame(days, "location int, date date, exposure double"))
+
+
+def parts_of(df, columns):
+    return [part for part in df.select(*columns).rdd.map(tuple).glom().collect() if part]
+
+
+def test_wide_births_lie_by_postcode_and_first_day(spark, monkeypatch):
+    """Births with the same exposures lie next to each other, also behind the joins with the weather."""
+    monkeypatch.setattr(shared, "TASK_VALUES", 40)
+    births, blocks = laid_births(spark)
+    order = ["location", "pre", "tr3_end", "RFA_ID"]
+    parts = parts_of(c.exposure_wide(births, blocks, 6), order)
+    assert 3 <= len(parts) and sum(map(len, parts)) == 40
+    assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)
+
+
+def test_wide_days_end_with_the_birth(spark):
+    """Days after delivery, and of births without an end or delivered before they begin, are null."""
+    births, blocks = laid_births(spark, 3)
+    odd = births.withColumn("tr3_end", F.expr("CASE RFA_ID WHEN 1000 THEN NULL WHEN 999 THEN date_sub(pre, 2) ELSE tr3_end END"))
+    found = {r.RFA_ID: list(r)[5:] for r in c.exposure_wide(odd, blocks, 8).collect()}
+    assert found[1000] == found[999] == [None] * 8
+    assert found[998] == [29401 % 7 + 2.0 + k for k in range(6)] + [None, None]

@@ -124,8 +124,17 @@ def _run_layer(width: int, first: int) -> Callable:
 
 
 def unpivot_days(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Day_ columns back to rows of ``name`` and ``value``."""
-    return wide.unpivot(list(keys), named_like(wide, "Day_"), "name", "value")
+    """Day_ columns back to rows of ``name`` and ``value``.
+
+    The days of a row are laid into one array first. That step reads hundreds of columns and cannot be compiled as a whole, but
+    has few rows; the next, which makes a row of each day, has few columns and is. (An array of one array keeps them apart.)
+    """
+    days = named_like(wide, "Day_")
+    if not days:
+        return wide.unpivot(list(keys), days, "name", "value")
+    rows = wide.select(*keys, F.explode(F.array(F.array(*days))).alias("_values"))
+    rows = rows.select(*keys, F.posexplode("_values").alias("_at", "value"))
+    return rows.select(*keys, F.get(F.array(*(F.lit(day) for day in days)), F.col("_at")).alias("name"), "value")
 
 
 def split_groups(df: DataFrame, key: str, order_by: Sequence[str], rows: int) -> DataFrame:

@@ -225,3 +225,14 @@ def test_wide_days_end_with_the_birth(spark):
     found = {r.RFA_ID: list(r)[5:] for r in c.exposure_wide(odd, blocks, 8).collect()}
     assert found[1000] == found[999] == [None] * 8
     assert found[998] == [29401 % 7 + 2.0 + k for k in range(6)] + [None, None]
+
+
+def test_unpivot_has_one_step_for_all_days(spark):
+    """No projection for each day column, of which each task would compile hundreds."""
+    rows = [(29401, 1, 1.5, None, 2.0), (None, 2, None, None, None), (None, 2, None, float("nan"), 0.0)]
+    table = spark.createDataFrame(rows, "location int, RFA_ID long, Day_9 double, Day_10 double, Day_11 double")
+    long = wide.unpivot_days(table, ["location", "RFA_ID"])
+    assert long.columns == ["location", "RFA_ID", "name", "value"]
+    expected = [(r[0], r[1], f"Day_{9 + k}", r[2 + k]) for r in rows for k in range(3)]
+    assert sorted(map(repr, map(tuple, long.collect()))) == sorted(map(repr, expected))
+    assert "Expand" not in plan(long)

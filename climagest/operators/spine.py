@@ -52,7 +52,7 @@ def day_exposure(births: DataFrame, blocks: Blocks, first: int = 1, last: int |
     start, end = _range(first, last)
     ranged = births.withColumn("_start", start).withColumn("_end", end).where("_start <= _end")
     touched = F.sequence(block_of(F.col("_start")), block_of(F.col("_end")), F.lit(blocks.reach))
-    split = (spread(ranged, MAX_SPAN_DAYS) if blocks.fits else ranged).withColumn("_touched", F.explode(touched))
+    split = (spread(ranged, MAX_SPAN_DAYS, BIRTH_ORDER) if blocks.fits else ranged).withColumn("_touched", F.explode(touched))
     met = join_blocks(split, blocks, "location", F.col("_touched"), {"exposure": "_values"})
     met = met.withColumn("_from", first_day_of_block(F.col("_touched")))
     beyond = first_day_of_block(F.col("_touched") + blocks.reach)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from climagest.functions.columns import day_names, named_like
 from climagest.operators.blocks import BLOCK_DAYS, Blocks, block_of, join_blocks, place_in_block
@@ -19,6 +18,9 @@ from climagest.operators.spine import BIRTH_ORDER
 from climagest.sources.shared import spread, written
 
 WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
+_STRETCH_BITS = 4
+#: Day columns handled together where rows are made wide or long; Spark compiles steps of at most a hundred columns.
+STRETCH = 1 << _STRETCH_BITS
 
 
 def exposure_wide(
@@ -72,55 +74,22 @@ def _gathered(begun: DataFrame, blocks: Blocks, touched: int) -> DataFrame:
 def pivot_days(long: DataFrame, keys: Sequence[str], first: int, last: int) -> DataFrame:
     """Long day rows to Day_ columns. ``keys`` identify a birth; of repeated days the largest exposure counts.
 
-    Neighbouring rows of a birth are laid into one array before anything is grouped, so births are shuffled, not
-    their days. The column names are given, which saves the pass that would look for them.
+    Days are first gathered by stretches of ``STRETCH`` days, whose few columns Spark compiles, and the stretches of a birth then put
+    next to each other. Where the long rows come divided among tasks by some of the keys, as from ``day_exposure``, neither
+    step moves them. The column names are given, which saves the pass that would look for them.
     """
     days = day_names(first, last)
-    day = F.when(F.col("day_idx").between(first, last), F.col("day_idx")).cast("int")
-    runs = long.select(*keys, day.alias("_day"), F.col("exposure").cast("double").alias("_value"))
-    fields = [runs.schema[key] for key in keys]
-    schema = StructType([*fields, StructField("_from", IntegerType()), StructField("_values", ArrayType(DoubleType()))])
-    laid = runs.mapInArrow(_run_layer(len(keys), first), schema)
-    kind = long.schema["exposure"].dataType
-    found = (F.max(F.get("_values", F.lit(k) - F.col("_from"))).cast(kind).alias(name) for k, name in enumerate(days))
-    return laid.groupBy(*keys).agg(*found)
-
-
-def _run_layer(width: int, first: int) -> Callable:
-    """Lays neighbouring rows of equal keys (the first ``width`` columns) into one array each, which begins at place ``_from``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.num_rows
-            if not size:
-                continue
-            new = np.ones(size, bool)
-            new[1:] = False
-            for column in batch.columns[:width]:
-                codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                new[1:] |= codes[1:] != codes[:-1]
-            places, values = batch.column(width), batch.column(width + 1)
-            run_of, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-            # a row without a day or a value still makes its birth's row
-            real = places.is_valid().to_numpy(zero_copy_only=False) & values.is_valid().to_numpy(zero_copy_only=False)
-            place = places.fill_null(first).to_numpy(zero_copy_only=False).astype(np.int64) - first
-            low = np.full(len(starts), np.iinfo(np.int32).max, np.int64)
-            high = np.full(len(starts), -1, np.int64)
-            np.minimum.at(low, run_of[real], place[real])
-            np.maximum.at(high, run_of[real], place[real])
-            low = np.where(high < 0, 0, low)
-            offsets = np.concatenate(([0], np.cumsum(high - low + 1)))
-            held = np.full(offsets[-1], -np.inf)
-            there = np.zeros(offsets[-1], bool)
-            at = offsets[run_of[real]] + place[real] - low[run_of[real]]
-            np.maximum.at(held, at, values.fill_null(0.0).to_numpy(zero_copy_only=False)[real])
-            there[at] = True
-            laid = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(held, mask=~there))
-            keys = [column.take(pa.array(starts)) for column in batch.columns[:width]]
-            names = [*batch.schema.names[:width], "_from", "_values"]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(low.astype(np.int32)), laid], names=names)
-
-    return run
+    places = range(min(STRETCH, len(days)))
+    at = F.when(F.col("day_idx").between(first, last), F.col("day_idx") - first).cast("int")
+    stretch, place = F.shiftright(at, _STRETCH_BITS), at.bitwiseAND(F.lit(STRETCH - 1))
+    placed = long.select(*keys, stretch.alias("_stretch"), place.alias("_at"), "exposure")
+    # births are put together in the order in which they lie
+    order = sorted(keys, key=lambda key: BIRTH_ORDER.index(key) if key in BIRTH_ORDER else len(BIRTH_ORDER))
+    stretches = placed.groupBy(*order, "_stretch").agg(*(F.max(F.when(F.col("_at") == k, F.col("exposure"))).alias(f"_{k}") for k in places))
+    whole = stretches.select(*keys, "_stretch", F.array(*(f"_{k}" for k in places)).alias("_values"))
+    number = math.ceil(len(days) / STRETCH)
+    births = whole.groupBy(*order).agg(*(F.max(F.when(F.col("_stretch") == k, F.col("_values"))).alias(f"_{k}") for k in range(number)))
+    return births.select(*keys, *(F.get(f"_{k // STRETCH}", F.lit(k % STRETCH)).alias(name) for k, name in enumerate(days)))
 
 
 def unpivot_days(wide: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -216,6 +216,8 @@ def test_wide_births_lie_by_postcode_and_first_day(spark, monkeypatch):
     parts = parts_of(c.exposure_wide(births, blocks, 6), order)
     assert 3 <= len(parts) and sum(map(len, parts)) == 40
     assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)
+    parts = parts_of(c.day_exposure(births, blocks), [*order, "date"])
+    assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)
 
 
 def test_wide_days_end_with_the_birth(spark):
@@ -236,3 +238,16 @@ def test_unpivot_has_one_step_for_all_days(spark):
     expected = [(r[0], r[1], f"Day_{9 + k}", r[2 + k]) for r in rows for k in range(3)]
     assert sorted(map(repr, map(tuple, long.collect()))) == sorted(map(repr, expected))
     assert "Expand" not in plan(long)
+
+
+def test_pivot_of_laid_days_moves_nothing(spark, monkeypatch):
+    """The days of births that ``day_exposure`` divided among tasks are put together where they are."""
+    monkeypatch.setattr(shared, "TASK_VALUES", 40)
+    births, blocks = laid_births(spark)
+    keys = ["location", "RFA_ID", "admd", "pre", "tr3_end"]
+    pivoted = wide.pivot_days(c.day_exposure(births.unionByName(births.limit(7)), blocks), keys, 1, 6)
+    same(pivoted, c.exposure_wide(births, blocks, 6))
+    text = plan(pivoted)
+    assert "rangepartitioning(" in text and "hashpartitioning(" not in text and "MapInArrow" not in text
+    parts = parts_of(pivoted, ["location", "pre", "tr3_end", "RFA_ID"])
+    assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)

@@ -435,7 +435,7 @@ def wide_missing_days(spark: SparkSession, folder: str) -> DataFrame:
 
 def pivoted_days(spark: SparkSession, folder: str) -> DataFrame:
     births = _cohort(spark, folder)
-    days = day_exposure(births, exposure_blocks(_temperature(spark, folder)))
+    days = day_exposure(births, exposure_blocks(_temperature(spark, folder)), whole=True)
     last = longest_span(births).first()["max_days"] or 0
     return pivot_days(days, ["location", "RFA_ID", "admd", "pre", "tr3_end"], 1, last)
 

@@ -46,13 +46,18 @@ def attach_exposure(days: DataFrame, blocks: Blocks) -> DataFrame:
     return exposure_on(days, blocks, "date")
 
 
-def day_exposure(births: DataFrame, blocks: Blocks, first: int = 1, last: int | None = None) -> DataFrame:
+def day_exposure(
+    births: DataFrame, blocks: Blocks, first: int = 1, last: int | None = None, whole: bool = False
+) -> DataFrame:
     """``day_spine`` followed by ``attach_exposure``, meeting the weather once per
-    birth and row of blocks instead of once per birth and day."""
+    birth and row of blocks instead of once per birth and day. With ``whole``, for what groups days by birth again,
+    copies of a birth stay in one task."""
     start, end = _range(first, last)
     ranged = births.withColumn("_start", start).withColumn("_end", end).where("_start <= _end")
     touched = F.sequence(block_of(F.col("_start")), block_of(F.col("_end")), F.lit(blocks.reach))
-    split = (spread(ranged, MAX_SPAN_DAYS, BIRTH_ORDER) if blocks.fits else ranged).withColumn("_touched", F.explode(touched))
+    order = [name for name in BIRTH_ORDER if name in births.columns]
+    laid = spread(ranged, MAX_SPAN_DAYS, order, whole) if blocks.fits else ranged
+    split = laid.withColumn("_touched", F.explode(touched))
     met = join_blocks(split, blocks, "location", F.col("_touched"), {"exposure": "_values"})
     met = met.withColumn("_from", first_day_of_block(F.col("_touched")))
     beyond = first_day_of_block(F.col("_touched") + blocks.reach)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator, Sequence
-import numpy as np
+from collections.abc import Callable, Iterable, Sequence
+
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +17,7 @@ from climagest.operators.spine import BIRTH_ORDER
 from climagest.sources.shared import spread, written
 
 WIDE_KEYS = ("location", "RFA_ID", "admd", "pre", "tr3_end")
+
 _STRETCH_BITS = 4
 #: Day columns handled together where rows are made wide or long; Spark compiles steps of at most a hundred columns.
 STRETCH = 1 << _STRETCH_BITS
@@ -75,8 +75,8 @@ def pivot_days(long: DataFrame, keys: Sequence[str], first: int, last: int) -> D
     """Long day rows to Day_ columns. ``keys`` identify a birth; of repeated days the largest exposure counts.
 
     Days are first gathered by stretches of ``STRETCH`` days, whose few columns Spark compiles, and the stretches of a birth then put
-    next to each other. Where the long rows come divided among tasks by some of the keys, as from ``day_exposure``, neither
-    step moves them. The column names are given, which saves the pass that would look for them.
+    next to each other. Where the long rows come divided among tasks by some of the keys, as from ``day_exposure`` with ``whole``,
+    neither step moves them. The column names are given, which saves the pass that would look for them.
     """
     days = day_names(first, last)
     places = range(min(STRETCH, len(days)))

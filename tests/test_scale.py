@@ -218,6 +218,8 @@ def test_wide_births_lie_by_postcode_and_first_day(spark, monkeypatch):
     assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)
     parts = parts_of(c.day_exposure(births, blocks), [*order, "date"])
     assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)
+    copies = births.limit(1).crossJoin(spark.range(40)).drop("id")
+    assert len(parts_of(c.exposure_wide(copies, blocks, 6), order)) >= 3
 
 
 def test_wide_days_end_with_the_birth(spark):
@@ -245,7 +247,7 @@ def test_pivot_of_laid_days_moves_nothing(spark, monkeypatch):
     monkeypatch.setattr(shared, "TASK_VALUES", 40)
     births, blocks = laid_births(spark)
     keys = ["location", "RFA_ID", "admd", "pre", "tr3_end"]
-    pivoted = wide.pivot_days(c.day_exposure(births.unionByName(births.limit(7)), blocks), keys, 1, 6)
+    pivoted = wide.pivot_days(c.day_exposure(births.unionByName(births.limit(7)), blocks, whole=True), keys, 1, 6)
     same(pivoted, c.exposure_wide(births, blocks, 6))
     text = plan(pivoted)
     assert "rangepartitioning(" in text and "hashpartitioning(" not in text and "MapInArrow" not in text

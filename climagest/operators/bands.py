@@ -16,10 +16,11 @@ from climagest.operators.blocks import (
 )
 from climagest.operators.filters import open_range
 from climagest.operators.numbering import number_rows
+from climagest.operators.spine import BIRTH_ORDER
 from climagest.operators.weather import daily_exposure, location_percentiles
 from climagest.operators.wide import WIDE_KEYS, exposure_wide
 from climagest.schema import PERCENTILES
-from climagest.sources.shared import small, tasks_for, written
+from climagest.sources.shared import small, spread, written
 
 DATASET_ORDER = ("location", "RFA_ID", "admd", "pre")
 
@@ -44,7 +45,7 @@ def percentile_dataset(
     """Wide exposures of births that have one on their first day, with the
     percentiles of their postcode and a running Identifier.
 
-    Births are numbered, and laid out by postcode over as many tasks as their days need, while they are
+    Births are numbered, and laid out by postcode and first day over as many tasks as their days need, while they are
     narrow; the days are added afterwards. If the blocks fit a broadcast the rows stay in that order.
     """
     begun = exposure_on(births.where("RFA_ID IS NOT NULL"), blocks, "pre", "_day_1").where("_day_1 IS NOT NULL")
@@ -52,8 +53,7 @@ def percentile_dataset(
     keep = ["location", *PERCENTILES, *(c for c in WIDE_KEYS if c != "location"), "Identifier"]
     rows = numbered.join(small(percentiles), "location")
     if blocks.fits:
-        order = ("location", "Identifier")
-        rows = rows.repartitionByRange(tasks_for(numbered, n_days), *order).sortWithinPartitions(*order)
+        rows = spread(rows, n_days, (*BIRTH_ORDER, "Identifier"))
     wide = exposure_wide(rows, blocks, n_days, keep=keep, dealt=True)
     return wide.select(*(c for c in wide.columns if c != "Identifier"), "Identifier")
 

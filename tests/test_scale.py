@@ -253,3 +253,16 @@ def test_pivot_of_laid_days_moves_nothing(spark, monkeypatch):
     assert "rangepartitioning(" in text and "hashpartitioning(" not in text and "MapInArrow" not in text
     parts = parts_of(pivoted, ["location", "pre", "tr3_end", "RFA_ID"])
     assert [row for part in parts for row in part] == sorted(row for part in parts for row in part)
+
+
+def test_dataset_lies_by_postcode_and_first_day(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_VALUES", 40)
+    births, blocks = laid_births(spark)
+    percentiles = spark.createDataFrame([(z, 4.0, 3.0, 2.0, 1.0) for z in (29401, 29404)], ["location", *PERCENTILES])
+    percentiles = percentiles.withColumn("location", F.col("location").cast("int"))
+    dataset = c.percentile_dataset(births, blocks, percentiles, 6)
+    parts = parts_of(dataset, ["location", "pre", "tr3_end", "RFA_ID", "Identifier"])
+    rows = [row for part in parts for row in part]
+    assert len(parts) >= 3 and rows == sorted(rows)
+    numbers = sorted((r[0], r[3], r[4]) for r in rows)
+    assert [n for _, _, n in numbers] == list(range(1, 41))
